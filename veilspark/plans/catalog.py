@@ -110,3 +110,38 @@ def v4_metrics(spark, sf_dir, definition: str = "v1") -> DataFrame:
           f"SELECT {_METRIC_COLS} FROM ({O.metrics_sql(O.confusion_sql(O.cascade_sql(V4_CONFIGS)))})")
 def classifier_metrics(spark, sf_dir):
     return v4_metrics(spark, sf_dir).select(*[c.strip() for c in _METRIC_COLS.split(",")])
+
+
+# ------------------------------------------------------- C: detectors
+from veilspark.functions import rules as R  # noqa: E402
+from veilspark.sources.derived import probe_text, probe_text_sql  # noqa: E402
+
+PROBE_DOCS_SQL = f"SELECT doc_id, {probe_text_sql('text', 'doc_id')} AS text FROM documents"
+
+
+def probe_documents(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents", ["doc_id", "text"]).select(
+        "doc_id", probe_text("text", "doc_id").alias("text"))
+
+
+def _detector_query(key: str, ic: bool):
+    def q(spark, sf_dir):
+        return probe_documents(spark, sf_dir).select("doc_id", R.matches(F.col("text"), key, ic).alias("hit"))
+    return q
+
+
+for _name, (_key, _ic) in R.DETECTORS.items():
+    register(f"detect_{_name}", f"SELECT doc_id, {O.rx('text', _key, _ic)} AS hit FROM ({PROBE_DOCS_SQL})")(
+        _detector_query(_key, _ic))
+
+
+def _guard_query(kind: str):
+    def q(spark, sf_dir):
+        p = table(spark, sf_dir, "pages", ["page_id", "html"])
+        return p.select("page_id", C.guard(F.col("html"), kind).alias("hit"))
+    return q
+
+
+for _g in ("v1", "broad", "narrow"):
+    register(f"guard_{_g}", f"SELECT page_id, {O.any_rx('html', R.GUARDS[_g], True)} AS hit FROM pages")(
+        _guard_query(_g))
