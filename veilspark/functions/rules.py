@@ -65,6 +65,10 @@ PATTERNS: dict[str, str] = {
     "iban_spaced": r"\b[A-Z]{2}\d{2}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{0,2}\b",
     "phone_de": r"\b0\d{3,4}\s?\d{6,8}\b",
     "phone_us_strict": r"\b\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}\b",
+    # corpus keyword filters (matched ignoring case)
+    "kw_personal": r"\b(my doctor|my salary|I was diagnosed|my therapist|I earn|my debt|I was fired|my divorce|mein Arzt|mein Gehalt|meine Schulden|ich wurde|mein Anwalt|I owe|my credit|my boss)\b",
+    "kw_topic": r"\b(explain|how does|what is|difference between|implement|algorithm|write a|code|function|erkläre|was ist|wie funktioniert|unterschied|programmier|tutorial|beispiel)\b",
+    "kw_first_person": r"\b(my |I was |I have |I am |mein |ich bin |ich habe |ich wurde )",
     # code guards (always matched ignoring case)
     "guard_v1_authoring": r"(?:regex|pattern|match|validate|function|test|fixture|faker|mock|example|schema|CSV|columns|template|write a|design a|implement|build a|how do I|library|generate fake)",
     "guard_v1_syntax": r"(?:r'|r\"|`|\{.*:.*\}|def |class |import |from )",

@@ -145,3 +145,225 @@ def _guard_query(kind: str):
 for _g in ("v1", "broad", "narrow"):
     register(f"guard_{_g}", f"SELECT page_id, {O.any_rx('html', R.GUARDS[_g], True)} AS hit FROM pages")(
         _guard_query(_g))
+
+
+# ------------------------------------------------------- B/C/E/H: corpus
+from veilspark.functions import text as TX  # noqa: E402
+from veilspark.operators import corpus as CO  # noqa: E402
+from veilspark.operators import splits as S  # noqa: E402
+from veilspark.sources.registry import SOURCES  # noqa: E402
+
+DOCS_AS_CASES_SQL = ("SELECT doc_id AS case_id, text, source, "
+                     "TRY_CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS source_rank, lang FROM documents")
+
+
+def docs_as_cases(spark, sf_dir) -> DataFrame:
+    from veilspark.sources.cases import source_rank_of
+    d = table(spark, sf_dir, "documents", ["doc_id", "text", "source", "lang"])
+    return d.select(F.col("doc_id").alias("case_id"), "text", "source",
+                    source_rank_of(F.col("source")).alias("source_rank"), "lang")
+
+
+def deduped_docs(spark, sf_dir) -> DataFrame:
+    """E1 over the documents: first row per md5(strip(text)) by (source_rank, case_id)."""
+    d = docs_as_cases(spark, sf_dir).withColumn("fp", TX.fingerprint(TX.strip(F.col("text"))))
+    return CO.first_wins(d.drop("text"), ["fp"], ["source_rank", "case_id"])
+
+
+DEDUP_DOCS_SQL = (f"SELECT * EXCLUDE (text) FROM (SELECT *, md5({O.strip_sql('text')}) AS fp FROM ({DOCS_AS_CASES_SQL})) "
+                  f"QUALIFY row_number() OVER (PARTITION BY fp ORDER BY source_rank, case_id) = 1")
+
+
+@register("clean_text", f"SELECT doc_id, {O.clean_sql('text')} AS cleaned, length({O.clean_sql('text')}) AS n_clean "
+                        f"FROM documents")
+def clean_text(spark, sf_dir):
+    d = table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", TX.clean(F.col("text")).alias("cleaned"))
+    return d.withColumn("n_clean", F.length("cleaned"))
+
+
+@register("text_fingerprint", f"SELECT doc_id, md5(text) AS fp, md5({O.strip_sql('text')}) AS fp_stripped FROM documents")
+def text_fingerprint(spark, sf_dir):
+    return table(spark, sf_dir, "documents", ["doc_id", "text"]).select(
+        "doc_id", TX.fingerprint(F.col("text")).alias("fp"), TX.fingerprint(TX.strip(F.col("text"))).alias("fp_stripped"))
+
+
+_TITLE = r"<title>(.*?)</title>"
+
+
+@register("coalesce_nonempty",
+          f"SELECT page_id, coalesce(nullif(regexp_extract(html, {O.lit(_TITLE)}, 1), ''), nullif(url, '')) AS name "
+          f"FROM pages")
+def coalesce_nonempty(spark, sf_dir):
+    p = table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    return p.select("page_id", TX.first_nonempty(F.regexp_extract("html", _TITLE, 1), F.col("url")).alias("name"))
+
+
+def _band_case_sql() -> str:
+    arms = [f"WHEN {s.where_sql} THEN ({O.band_sql('text', s.min_len, s.max_len, s.inclusive)})"
+            for s in SOURCES if s.table == "documents"]
+    return "CASE " + " ".join(arms) + " ELSE false END"
+
+
+@register("length_band", f"SELECT doc_id, source, length(text) AS n_chars, {_band_case_sql()} AS in_band FROM documents")
+def length_band(spark, sf_dir):
+    d = table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
+    band = None
+    for s in SOURCES:
+        if s.table != "documents":
+            continue
+        c = CO.length_band(F.col("text"), s.min_len, s.max_len, s.inclusive)
+        band = F.when(F.expr(s.where_sql), c) if band is None else band.when(F.expr(s.where_sql), c)
+    return d.select("doc_id", "source", F.length("text").alias("n_chars"), band.otherwise(F.lit(False)).alias("in_band"))
+
+
+@register("language_bucket",
+          f"SELECT doc_id, lang, (contains({_L} , 'en') OR contains({_L}, 'english')) AS en_ok, "
+          f"(contains({_L}, 'de') OR contains({_L}, 'german')) AS de_ok, {_L} = 'en' AS en_exact, {_L} = 'de' AS de_exact "
+          f"FROM documents".replace("{_L}", "lower(coalesce(nullif(lang, ''), ''))")
+          if False else
+          "SELECT doc_id, lang, (contains(lower(coalesce(nullif(lang, ''), '')), 'en') OR "
+          "contains(lower(coalesce(nullif(lang, ''), '')), 'english')) AS en_ok, "
+          "(contains(lower(coalesce(nullif(lang, ''), '')), 'de') OR "
+          "contains(lower(coalesce(nullif(lang, ''), '')), 'german')) AS de_ok, "
+          "lower(coalesce(nullif(lang, ''), '')) = 'en' AS en_exact, "
+          "lower(coalesce(nullif(lang, ''), '')) = 'de' AS de_exact FROM documents")
+def language_bucket(spark, sf_dir):
+    from veilspark.sources.registry import LANG_SQL
+    d = table(spark, sf_dir, "documents", ["doc_id", "lang"]).withColumn("_l", F.expr(LANG_SQL))
+    en, de = CO.language_bucket(F.col("_l"), "substring")
+    en_x, de_x = CO.language_bucket(F.col("_l"), "exact")
+    return d.select("doc_id", "lang", en.alias("en_ok"), de.alias("de_ok"), en_x.alias("en_exact"), de_x.alias("de_exact"))
+
+
+@register("role_filter", "SELECT conv_id, turn, length(text) AS n_chars FROM conversations WHERE role = 'user'")
+def role_filter(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    return c.where(F.col("role") == "user").select("conv_id", "turn", F.length("text").alias("n_chars"))
+
+
+_CONV_PROBE_SQL = (f"SELECT conv_id, turn, {probe_text_sql('text', '(conv_id * 7 + turn)')} AS text "
+                   f"FROM conversations WHERE role = 'user'")
+
+
+def _conv_probe(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]).where(F.col("role") == "user")
+    return c.select("conv_id", "turn", probe_text("text", "(conv_id * 7 + turn)").alias("raw"))
+
+
+@register("keyword_include", f"SELECT conv_id, turn FROM ({_CONV_PROBE_SQL}) WHERE {O.rx('text', 'kw_personal', True)}")
+def keyword_include(spark, sf_dir):
+    return CO.keyword_filter(_conv_probe(spark, sf_dir), "kw_personal", None).select("conv_id", "turn")
+
+
+@register("keyword_include_exclude",
+          f"SELECT conv_id, turn FROM ({_CONV_PROBE_SQL}) WHERE {O.rx('text', 'kw_topic', True)} "
+          f"AND NOT {O.rx('text', 'kw_first_person', True)}")
+def keyword_include_exclude(spark, sf_dir):
+    return CO.keyword_filter(_conv_probe(spark, sf_dir), "kw_topic", "kw_first_person").select("conv_id", "turn")
+
+
+@register("first_user_message",
+          "SELECT conv_id, arg_min(text, turn) AS text, min(turn) AS turn FROM conversations "
+          "WHERE role = 'user' GROUP BY conv_id")
+def first_user_message(spark, sf_dir):
+    return CO.first_user_message(table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]))
+
+
+@register("collect_source", f"SELECT case_id, text, label, source, lang FROM ({O.collect_source_sql(SOURCES[0], 1)})")
+def collect_source(spark, sf_dir):
+    return CO.collect_source(spark, sf_dir, SOURCES[0], 1).select("case_id", "text", "label", "source", "lang")
+
+
+@register("union_sources",
+          f"SELECT case_id, label, source, source_rank, lang, length(text) AS n_chars FROM ({O.union_sources_sql()})")
+def union_sources(spark, sf_dir):
+    return CO.union_sources(spark, sf_dir).select("case_id", "label", "source", "source_rank", "lang",
+                                                  F.length("text").alias("n_chars"))
+
+
+@register("build_corpus", f"SELECT case_id, label, source, lang, fp FROM ({O.corpus_sql()})")
+def build_corpus(spark, sf_dir):
+    return CO.build_corpus(spark, sf_dir).select("case_id", "label", "source", "lang", "fp")
+
+
+@register("corpus_composition",
+          f"SELECT label, count(*) AS n, sum(count(*)) OVER () AS total, "
+          f"CAST(count(*) AS DOUBLE) * 100.0::DOUBLE / CAST(sum(count(*)) OVER () AS DOUBLE) AS share_pct "
+          f"FROM ({O.corpus_sql()}) GROUP BY label")
+def corpus_composition(spark, sf_dir):
+    return E.corpus_composition(CO.build_corpus(spark, sf_dir)).select(
+        "label", "n", F.col("total").cast("long").alias("total"), "share_pct")
+
+
+@register("dedup_first_wins", f"SELECT case_id, source, fp FROM ({DEDUP_DOCS_SQL})")
+def dedup_first_wins(spark, sf_dir):
+    return deduped_docs(spark, sf_dir).select("case_id", "source", "fp")
+
+
+@register("dedup_within_source",
+          "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source, md5(text) "
+          "ORDER BY doc_id) = 1")
+def dedup_within_source(spark, sf_dir):
+    d = table(spark, sf_dir, "documents", ["doc_id", "source", "text"]).withColumn("fp", TX.fingerprint(F.col("text")))
+    return CO.first_wins(d.select("doc_id", "source", "fp"), ["source", "fp"], ["doc_id"]).select("doc_id", "source")
+
+
+QUOTA_N = 3
+
+
+@register("source_quota",
+          f"SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS pos "
+          f"FROM documents QUALIFY pos <= {QUOTA_N}")
+def source_quota(spark, sf_dir):
+    d = table(spark, sf_dir, "documents", ["doc_id", "source", "lang"])
+    return S.first_n_per_group(d, ["source", "lang"], [F.col("doc_id")], QUOTA_N)
+
+
+# ------------------------------------------------------------ J: splits
+def split_docs(spark, sf_dir) -> DataFrame:
+    return S.split_train_dev_test(deduped_docs(spark, sf_dir), "case_id", 42)
+
+
+SPLIT_DOCS_SQL = O.split_sql(DEDUP_DOCS_SQL)
+
+
+@register("split_train_dev_test", f"SELECT case_id, split, rank FROM ({SPLIT_DOCS_SQL})")
+def split_train_dev_test(spark, sf_dir):
+    return split_docs(spark, sf_dir).select("case_id", "split", "rank")
+
+
+@register("split_holdout", f"SELECT case_id, split, rank FROM ({O.split_sql(DEDUP_DOCS_SQL, kind='50/50')})")
+def split_holdout(spark, sf_dir):
+    return S.split_holdout(deduped_docs(spark, sf_dir), "case_id", 42).select("case_id", "split", "rank")
+
+
+@register("train_head", f"SELECT case_id, rank FROM ({SPLIT_DOCS_SQL}) WHERE split = 'train' AND rank <= 200")
+def train_head(spark, sf_dir):
+    """The first 200 training cases (train occupies ranks 1..floor(.6n))."""
+    return split_docs(spark, sf_dir).where((F.col("split") == "train") & (F.col("rank") <= 200)).select("case_id", "rank")
+
+
+@register("seeded_sample",
+          f"SELECT case_id FROM ({SPLIT_DOCS_SQL}) WHERE split = 'dev' "
+          f"ORDER BY {O.seeded_hash_sql('case_id', 42, 1)}, case_id LIMIT 100")
+def seeded_sample(spark, sf_dir):
+    """100 dev cases by smallest md5(seed|round|id)."""
+    dev = split_docs(spark, sf_dir).where(F.col("split") == "dev")
+    return S.seeded_sample(dev, 100, "case_id", 42, 1).select("case_id")
+
+
+_LAB_DOCS_SQL = (f"SELECT s.*, CASE WHEN l.toxic = 1 THEN 'SENSITIVE' ELSE 'PUBLIC' END AS label "
+                 f"FROM ({SPLIT_DOCS_SQL}) s JOIN labels l ON s.case_id = l.doc_id")
+
+
+@register("balanced_sample",
+          f"""WITH t AS (SELECT * FROM ({_LAB_DOCS_SQL}) WHERE split = 'train'),
+              k AS (SELECT least(min(n), 200) AS k FROM (SELECT label, count(*) AS n FROM t GROUP BY label))
+              SELECT case_id, label, pos FROM (SELECT case_id, label,
+                 row_number() OVER (PARTITION BY label ORDER BY rank) AS pos FROM t), k WHERE pos <= k.k""")
+def balanced_sample(spark, sf_dir):
+    from veilspark.operators.joins import join_small
+    labels = table(spark, sf_dir, "labels", ["doc_id", "toxic"]).select(
+        F.col("doc_id").alias("case_id"), F.when(F.col("toxic") == 1, "SENSITIVE").otherwise("PUBLIC").alias("label"))
+    train = join_small(split_docs(spark, sf_dir).where(F.col("split") == "train"), labels, "case_id")
+    return S.balanced_sample(train, 200).select("case_id", "label", "pos")
