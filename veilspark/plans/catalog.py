@@ -75,7 +75,7 @@ for _rs in ("v0", "v1", "v2", "v3", "v4"):
 
 @register("classify_rules_fast",
           f"SELECT kind, msg_id, (NOT {O.any_rx('text', ('guard_narrow',))} AND "
-          f"{O.any_rx('text', [k for _, k in __import__('veilspark.functions.rules', fromlist=['R']).RULE_SETS['v4'].tiers[0]], False)}) "
+          f"{O.any_rx('text', [k for _, k in O.R.RULE_SETS['v4'].tiers[0]], False)}) "
           f"AS rule_hit FROM ({O.MESSAGES})")
 def classify_rules_fast(spark, sf_dir):
     return C.classify_fast(messages(spark, sf_dir), "v4").select("kind", "msg_id", "rule_hit")
@@ -216,17 +216,13 @@ def length_band(spark, sf_dir):
     return d.select("doc_id", "source", F.length("text").alias("n_chars"), band.otherwise(F.lit(False)).alias("in_band"))
 
 
+_LANG = "lower(coalesce(nullif(lang, ''), ''))"
+
+
 @register("language_bucket",
-          f"SELECT doc_id, lang, (contains({_L} , 'en') OR contains({_L}, 'english')) AS en_ok, "
-          f"(contains({_L}, 'de') OR contains({_L}, 'german')) AS de_ok, {_L} = 'en' AS en_exact, {_L} = 'de' AS de_exact "
-          f"FROM documents".replace("{_L}", "lower(coalesce(nullif(lang, ''), ''))")
-          if False else
-          "SELECT doc_id, lang, (contains(lower(coalesce(nullif(lang, ''), '')), 'en') OR "
-          "contains(lower(coalesce(nullif(lang, ''), '')), 'english')) AS en_ok, "
-          "(contains(lower(coalesce(nullif(lang, ''), '')), 'de') OR "
-          "contains(lower(coalesce(nullif(lang, ''), '')), 'german')) AS de_ok, "
-          "lower(coalesce(nullif(lang, ''), '')) = 'en' AS en_exact, "
-          "lower(coalesce(nullif(lang, ''), '')) = 'de' AS de_exact FROM documents")
+          f"SELECT doc_id, lang, (contains({_LANG}, 'en') OR contains({_LANG}, 'english')) AS en_ok, "
+          f"(contains({_LANG}, 'de') OR contains({_LANG}, 'german')) AS de_ok, "
+          f"{_LANG} = 'en' AS en_exact, {_LANG} = 'de' AS de_exact FROM documents")
 def language_bucket(spark, sf_dir):
     from veilspark.sources.registry import LANG_SQL
     d = table(spark, sf_dir, "documents", ["doc_id", "lang"]).withColumn("_l", F.expr(LANG_SQL))
@@ -367,3 +363,292 @@ def balanced_sample(spark, sf_dir):
         F.col("doc_id").alias("case_id"), F.when(F.col("toxic") == 1, "SENSITIVE").otherwise("PUBLIC").alias("label"))
     train = join_small(split_docs(spark, sf_dir).where(F.col("split") == "train"), labels, "case_id")
     return S.balanced_sample(train, 200).select("case_id", "label", "pos")
+
+
+# ------------------------------------------- B/D/E/F/H: scoring & evaluation
+from veilspark.functions import answers as A  # noqa: E402
+from veilspark.operators.joins import join_small  # noqa: E402
+
+_PRED_SQL = O.cascade_sql(V4_CONFIGS)
+_PRED_OUT_SQL = f"SELECT *, {O.outcome_sql()} AS outcome FROM ({_PRED_SQL})"
+# every model with prompt G (the v6 grid: generate and chat endpoints)
+ALL_MODEL_CONFIGS = P.default_configs(P.MODELS, ["G: topic-vs-person + hard PUBLIC examples"])
+
+
+def _templates_case_sql(configs, field: str) -> str:
+    return "CASE config_id " + " ".join(f"WHEN {c['config_id']} THEN {O.lit(str(c[field]))}" for c in configs) + " END"
+
+
+@register("outcome_tag", f"SELECT case_id, config_id, {O.outcome_sql()} AS outcome, "
+                         f"{O.outcome_sql(definition='v0')} AS outcome_v0 FROM ({_PRED_SQL})")
+def outcome_tag(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    return p.select("case_id", "config_id", "outcome",
+                    outcome(F.col("label"), F.col("predicted"), "v0").alias("outcome_v0"))
+
+
+_UNDECIDED_SQL = (f"SELECT c.case_id, c.text, cfg.config_id FROM ({O.classify_select('v4', '(' + O.CASES + ')')}) c "
+                  f"CROSS JOIN {O.config_values(V4_CONFIGS)} WHERE c.verdict <> 'SENSITIVE'")
+
+
+@register("render_prompt",
+          f"SELECT case_id, config_id, md5(p) AS prompt_md5, length(p) AS prompt_chars FROM "
+          f"(SELECT *, replace({_templates_case_sql(V4_CONFIGS, 'template')}, '{{text}}', text) AS p "
+          f"FROM ({_UNDECIDED_SQL}))")
+def render_prompt(spark, sf_dir):
+    r = K.undecided_requests(C.classify(labelled_cases(spark, sf_dir), "v4"), V4_CONFIGS)
+    return r.select("case_id", "config_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_chars"))
+
+
+def _fewshot_prompt_sql(examples, text: str = "text", cut: int = 150) -> str:
+    lines = ", ".join(O.lit(f'Message: "{t[:cut]}" -> {l}') for t, l in examples)
+    return (f"array_to_string(['Examples:', {lines}, chr(10) || 'Message: \"' || {text} || '\"' || chr(10) "
+            f"|| 'Classification:'], chr(10))")
+
+
+@register("render_fewshot_prompt",
+          f"SELECT case_id, md5(p) AS prompt_md5, length(p) AS prompt_chars FROM "
+          f"(SELECT case_id, {_fewshot_prompt_sql(P.SEED_EXAMPLES)} AS p FROM ({O.CASES}))")
+def render_fewshot_prompt(spark, sf_dir):
+    c = labelled_cases(spark, sf_dir)
+    p = P.render_fewshot_prompt(P.examples_literal(P.SEED_EXAMPLES), F.col("text"))
+    return c.select("case_id", p.alias("p")).select("case_id", F.md5("p").alias("prompt_md5"),
+                                                     F.length("p").alias("prompt_chars"))
+
+
+_ALL_UNDECIDED_SQL = (f"SELECT c.case_id, c.text, cfg.config_id FROM ({O.classify_select('v4', '(' + O.CASES + ')')}) c "
+                      f"CROSS JOIN {O.config_values(ALL_MODEL_CONFIGS)} WHERE c.verdict <> 'SENSITIVE'")
+
+
+@register("route_endpoint",
+          f"SELECT case_id, config_id, CASE WHEN {_templates_case_sql(ALL_MODEL_CONFIGS, 'model')} IN "
+          f"({', '.join(O.lit(m) for m in sorted(P.CHAT_MODELS))}) THEN 'chat' ELSE 'generate' END AS endpoint "
+          f"FROM ({_ALL_UNDECIDED_SQL})")
+def route_endpoint(spark, sf_dir):
+    r = K.undecided_requests(C.classify(labelled_cases(spark, sf_dir), "v4"), ALL_MODEL_CONFIGS)
+    return r.select("case_id", "config_id", P.endpoint_column(F.col("model")).alias("endpoint"))
+
+
+@register("build_requests",
+          f"""SELECT case_id, config_id, md5(to_json({{'model': m, 'messages': [{{'role': 'system', 'content': s}},
+              {{'role': 'user', 'content': replace(t, '{{text}}', text)}}], 'stream': false,
+              'options': {{'temperature': 0, 'num_predict': n}}}})) AS request_md5 FROM
+              (SELECT *, {_templates_case_sql(ALL_MODEL_CONFIGS, 'model')} AS m,
+                 {_templates_case_sql(ALL_MODEL_CONFIGS, 'system')} AS s,
+                 {_templates_case_sql(ALL_MODEL_CONFIGS, 'template')} AS t,
+                 CAST({_templates_case_sql(ALL_MODEL_CONFIGS, 'max_tokens')} AS INTEGER) AS n
+               FROM ({_ALL_UNDECIDED_SQL}))""")
+def build_requests(spark, sf_dir):
+    r = K.undecided_requests(C.classify(labelled_cases(spark, sf_dir), "v4"), ALL_MODEL_CONFIGS)
+    req = P.build_request(F.col("model"), F.col("system"), F.col("prompt"), F.col("max_tokens"))
+    return r.select("case_id", "config_id", F.md5(req).alias("request_md5"))
+
+
+_RAW, _ERR, _LAT = O.standin()
+
+
+@register("parse_response",
+          f"SELECT case_id, config_id, raw, error, {O.parse('raw', 'error')} AS parsed, "
+          f"{O.parse('raw', 'error', False)} AS parsed_no_strip, "
+          f"CASE WHEN {O.parse('raw', 'error')} IN ('SENSITIVE', 'PUBLIC') THEN {O.parse('raw', 'error')} "
+          f"ELSE 'SENSITIVE' END AS final FROM (SELECT c.case_id, cfg.config_id, {_RAW} AS raw, {_ERR} AS error "
+          f"FROM ({O.CASES}) c CROSS JOIN {O.config_values(V4_CONFIGS)})")
+def parse_response(spark, sf_dir):
+    rows = P.with_configs(labelled_cases(spark, sf_dir).select("case_id", "text"), V4_CONFIGS, ("config_id",))
+    raw, err, _ = A.standin_answer(F.col("config_id"), F.col("text"))
+    r = rows.select("case_id", "config_id", raw.alias("raw"), err.alias("error"))
+    parsed = A.parse_answer(F.col("raw"), F.col("error"))
+    return r.select("case_id", "config_id", "raw", "error", parsed.alias("parsed"),
+                    A.parse_answer(F.col("raw"), F.col("error"), False).alias("parsed_no_strip"),
+                    A.failsafe(parsed).alias("final"))
+
+
+@register("score_undecided",
+          f"SELECT case_id, config_id, {O.standin()[0]} AS raw, {O.standin()[1]} AS error, "
+          f"{O.standin()[2]} AS latency_ms FROM ({_UNDECIDED_SQL})")
+def score_undecided(spark, sf_dir):
+    """D6 through the Python batch hook (mapInPandas) with the stand-in callable."""
+    r = K.undecided_requests(C.classify(labelled_cases(spark, sf_dir), "v4"), V4_CONFIGS)
+    return K.score_batches(r.select("case_id", "config_id", "text", "model", "endpoint", "prompt"))
+
+
+@register("join_responses",
+          f"SELECT case_id, config_id, label, predicted, method, latency_ms FROM ({_PRED_SQL})")
+def join_responses(spark, sf_dir):
+    """D6/D8 with a landed responses table: the scorer's answers are written
+    to the shared checkpoint folder, then joined (LEFT) to the case rows."""
+    cases = labelled_cases(spark, sf_dir)
+    pred = K.cascade(cases, V4_CONFIGS, "v4", scorer=K.standin_scorer)
+    return pred.select("case_id", "config_id", "label", "predicted", "method", "latency_ms")
+
+
+@register("second_stage_only",
+          f"SELECT case_id, config_id, label, CASE WHEN p IN ('SENSITIVE', 'PUBLIC') THEN p ELSE 'SENSITIVE' END "
+          f"AS predicted, {_LAT} AS latency_ms FROM (SELECT c.*, cfg.config_id, {O.parse(_RAW, _ERR)} AS p "
+          f"FROM ({O.CASES}) c CROSS JOIN {O.config_values(V4_CONFIGS)})")
+def second_stage_only(spark, sf_dir):
+    return K.second_stage_only(labelled_cases(spark, sf_dir), V4_CONFIGS).select(
+        "case_id", "config_id", "label", "predicted", "latency_ms")
+
+
+@register("route_messages",
+          f"SELECT case_id, config_id, predicted, CASE WHEN predicted = 'PUBLIC' THEN 'cloud' ELSE 'local' END "
+          f"AS route FROM ({_PRED_SQL})")
+def route_messages(spark, sf_dir):
+    return K.route(predictions(spark, sf_dir)).select("case_id", "config_id", "predicted", "route")
+
+
+@register("case_config_matrix",
+          f"SELECT c.case_id, cfg.config_id, c.verdict FROM ({O.classify_select('v4', '(' + O.CASES + ')')}) c "
+          f"CROSS JOIN {O.config_values(V4_CONFIGS)}")
+def case_config_matrix(spark, sf_dir):
+    """Rules run once per case, then each case row is expanded per config."""
+    c = C.classify(labelled_cases(spark, sf_dir), "v4").select("case_id", "verdict")
+    return P.with_configs(c, V4_CONFIGS, ("config_id",)).select("case_id", "config_id", "verdict")
+
+
+# confusion under three definitions: hybrid v4 predictions (configs 1..6) plus
+# the v0 rules-only baseline (config 0), whose UNCERTAIN answers make the
+# definitions differ
+_V0_RULES_SQL = (f"SELECT case_id, 0 AS config_id, label, verdict AS predicted, 0.0::DOUBLE AS latency_ms "
+                 f"FROM ({O.classify_select('v0', '(' + O.CASES + ')')})")
+_MIXED_SQL = (f"SELECT case_id, config_id, label, predicted, latency_ms FROM ({_PRED_SQL}) "
+              f"UNION ALL {_V0_RULES_SQL}")
+
+
+def mixed_predictions(spark, sf_dir) -> DataFrame:
+    h = predictions(spark, sf_dir).select("case_id", "config_id", "label", "predicted", "latency_ms")
+    v0 = C.rules_only(labelled_cases(spark, sf_dir), "v0", uncertain_as=None).select(
+        "case_id", F.lit(0).alias("config_id"), "label", "predicted", "latency_ms")
+    return h.unionByName(v0)
+
+
+_CONF_COLS = "config_id, total, n_sensitive, n_public, correct, false_negatives, false_positives"
+for _d in ("v0", "v1", "fewshot"):
+    register(f"confusion_{_d}", f"SELECT {_CONF_COLS} FROM ({O.confusion_sql(_MIXED_SQL, definition=_d)})")(
+        (lambda d: lambda spark, sf_dir: E.confusion(mixed_predictions(spark, sf_dir), ("config_id",), d)
+         .select(*[c.strip() for c in _CONF_COLS.split(",")]))(_d))
+
+
+_METRICS_SQL = O.metrics_sql(O.confusion_sql(_PRED_SQL))
+
+
+@register("latency_summary", f"SELECT config_id, llm_calls, total_latency_ms, avg_latency_ms, total_time_s "
+                             f"FROM ({_METRICS_SQL})")
+def latency_summary(spark, sf_dir):
+    return v4_metrics(spark, sf_dir).select("config_id", "llm_calls", "total_latency_ms", "avg_latency_ms",
+                                            "total_time_s")
+
+
+@register("weighted_utility",
+          f"""SELECT config_id, sum(u) AS utility_sum, count(*) AS n, count_if(predicted = label) AS hits,
+              sum(u) / CAST(count(*) AS DOUBLE) AS weighted_utility,
+              CAST(count_if(predicted = label) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS plain_accuracy
+              FROM (SELECT *, CASE WHEN predicted = label THEN 1.0::DOUBLE WHEN label = 'SENSITIVE' AND
+                    predicted = 'PUBLIC' THEN -2.0::DOUBLE ELSE 0.0::DOUBLE END AS u FROM ({_PRED_SQL}))
+              GROUP BY config_id""")
+def weighted_utility(spark, sf_dir):
+    return E.weighted_utility(predictions(spark, sf_dir))
+
+
+@register("combined_scores",
+          f"SELECT config_id, fnr_pct + fpr_pct AS score_sum, fnr_pct + fpr_pct * 0.5::DOUBLE AS score_half_fpr, "
+          f"fnr_pct * 2.0::DOUBLE + fpr_pct AS score_double_fnr FROM ({_METRICS_SQL})")
+def combined_scores(spark, sf_dir):
+    return E.combined_scores(v4_metrics(spark, sf_dir)).select("config_id", "score_sum", "score_half_fpr",
+                                                              "score_double_fnr")
+
+
+@register("leak_samples",
+          f"SELECT config_id, outcome, case_id, substr(text, 1, 100) AS preview, "
+          f"row_number() OVER (PARTITION BY config_id, outcome ORDER BY case_id) AS pos "
+          f"FROM ({_PRED_OUT_SQL}) WHERE outcome <> 'OK' QUALIFY pos <= 10")
+def leak_samples(spark, sf_dir):
+    return E.leak_samples(predictions(spark, sf_dir, keep_text=True), 10, 100)
+
+
+@register("stage_coverage",
+          f"SELECT config_id, label, count(*) AS n, count_if(starts_with(method, 'regex:')) AS rule_decided, "
+          f"CAST(count_if(starts_with(method, 'regex:')) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS rule_share "
+          f"FROM ({_PRED_SQL}) GROUP BY config_id, label")
+def stage_coverage(spark, sf_dir):
+    return E.stage_coverage(predictions(spark, sf_dir))
+
+
+@register("rule_hit_counts",
+          f"SELECT rule, count(*) AS hits FROM (SELECT unnest(matches) AS rule FROM "
+          f"({O.classify_select('v1', '(' + O.MESSAGES + ')')})) GROUP BY rule")
+def rule_hit_counts(spark, sf_dir):
+    return E.rule_hit_counts(C.classify(messages(spark, sf_dir), "v1"))
+
+
+_LB = "config_id, accuracy_pct, fnr_pct, fpr_pct"
+
+
+@register("leaderboard_accuracy",
+          f"SELECT {_LB}, row_number() OVER (ORDER BY accuracy_pct DESC, fnr_pct, config_id) AS rank FROM ({_METRICS_SQL})")
+def leaderboard_accuracy(spark, sf_dir):
+    return E.leaderboard(v4_metrics(spark, sf_dir), "accuracy").select(*_LB.split(", "), "rank")
+
+
+@register("leaderboard_fnr",
+          f"SELECT {_LB}, row_number() OVER (ORDER BY fnr_pct, config_id) AS rank FROM ({_METRICS_SQL})")
+def leaderboard_fnr(spark, sf_dir):
+    return E.leaderboard(v4_metrics(spark, sf_dir), "fnr").select(*_LB.split(", "), "rank")
+
+
+@register("leaderboard_combined",
+          f"SELECT {_LB}, row_number() OVER (ORDER BY fnr_pct + fpr_pct, config_id) AS rank, "
+          f"fnr_pct + fpr_pct AS score, fnr_pct < 3.0 AND fpr_pct < 15.0 AS target FROM ({_METRICS_SQL})")
+def leaderboard_combined(spark, sf_dir):
+    return E.leaderboard(v4_metrics(spark, sf_dir), "combined").select(*_LB.split(", "), "rank", "score", "target")
+
+
+_CFG_VALUES = ("(VALUES " + ", ".join(f"({c['config_id']}, {O.lit(c['model'])}, {O.lit(c['prompt_name'])})"
+                                      for c in V4_CONFIGS) + ") AS cfg(config_id, model, prompt_name)")
+
+
+@register("best_config",
+          f"SELECT m.config_id, cfg.model, cfg.prompt_name, m.accuracy_pct, m.fnr_pct, m.fpr_pct, m.avg_latency_ms "
+          f"FROM ({_METRICS_SQL}) m JOIN {_CFG_VALUES} ON m.config_id = cfg.config_id WHERE m.fpr_pct < 20 "
+          f"ORDER BY m.fnr_pct + m.fpr_pct * 0.5, m.config_id LIMIT 1")
+def best_config(spark, sf_dir):
+    """H6 + E6 + A8: constrained argmin, joined to its configuration by id."""
+    best = E.best_config(v4_metrics(spark, sf_dir), 20.0)
+    cfg = P.configs_frame(spark, V4_CONFIGS).select("config_id", "model", "prompt_name")
+    return best.join(F.broadcast(cfg), "config_id").select(
+        "config_id", "model", "prompt_name", "accuracy_pct", "fnr_pct", "fpr_pct", "avg_latency_ms")
+
+
+_HOLD_SQL = O.split_sql(O.CASES, kind="50/50")
+
+
+@register("eval_by_subset",
+          f"""WITH p AS ({_PRED_SQL}), h AS (SELECT case_id, split FROM ({_HOLD_SQL})),
+              m AS (SELECT p.*, 'full' AS eval_set FROM p UNION ALL
+                    SELECT p.*, 'holdout' AS eval_set FROM p JOIN h ON p.case_id = h.case_id WHERE h.split = 'test'),
+              mm AS (SELECT m.*, cfg.model FROM m JOIN {_CFG_VALUES} ON m.config_id = cfg.config_id)
+              SELECT eval_set, model, {_METRIC_COLS} FROM ({O.metrics_sql(O.confusion_sql('SELECT * FROM mm', by='eval_set, model, config_id'))})""")
+def eval_by_subset(spark, sf_dir):
+    """E4 + F10: every config on the full set and on the holdout half; the
+    split column rides along the cascade (no join back), memberships are
+    exploded, and all subsets are kept (not only the last)."""
+    cases = S.split_holdout(labelled_cases(spark, sf_dir), "case_id", 42)
+    pred = K.cascade(cases, V4_CONFIGS, "v4")
+    sets = F.filter(F.array(F.lit("full"), F.when(F.col("split") == "test", F.lit("holdout"))), lambda x: x.isNotNull())
+    pred = pred.withColumn("eval_set", F.explode(sets))
+    model = F.element_at(F.array(*[F.lit(c["model"]) for c in V4_CONFIGS]), F.col("config_id"))
+    m = E.metrics(E.confusion(pred.withColumn("model", model), ("eval_set", "model", "config_id")))
+    return m.select("eval_set", "model", *[c.strip() for c in _METRIC_COLS.split(",")])
+
+
+@register("best_config_unconstrained",
+          f"SELECT m.config_id, cfg.model, cfg.prompt_name, m.accuracy_pct, m.fnr_pct, m.fpr_pct, m.avg_latency_ms "
+          f"FROM ({_METRICS_SQL}) m JOIN {_CFG_VALUES} ON m.config_id = cfg.config_id "
+          f"ORDER BY m.fnr_pct + m.fpr_pct * 0.5, m.config_id LIMIT 1")
+def best_config_unconstrained(spark, sf_dir):
+    """H6 variant without the FPR constraint (min fnr + 0.5 fpr over all runs)."""
+    best = E.best_config(v4_metrics(spark, sf_dir), None)
+    cfg = P.configs_frame(spark, V4_CONFIGS).select("config_id", "model", "prompt_name")
+    return best.join(F.broadcast(cfg), "config_id").select(
+        "config_id", "model", "prompt_name", "accuracy_pct", "fnr_pct", "fpr_pct", "avg_latency_ms")
