@@ -652,3 +652,114 @@ def best_config_unconstrained(spark, sf_dir):
     cfg = P.configs_frame(spark, V4_CONFIGS).select("config_id", "model", "prompt_name")
     return best.join(F.broadcast(cfg), "config_id").select(
         "config_id", "model", "prompt_name", "accuracy_pct", "fnr_pct", "fpr_pct", "avg_latency_ms")
+
+
+# ------------------------------------------------------------ K: few-shot
+from veilspark.operators import fewshot as FS  # noqa: E402
+
+_FS_SPLIT_SQL = O.split_sql(O.CASES)
+_FS_TRAIN_SQL = f"SELECT case_id, text, label FROM ({_FS_SPLIT_SQL}) WHERE split = 'train'"
+
+
+def fewshot_cases(spark, sf_dir) -> DataFrame:
+    """Labelled cases with the exact 60/20/20 split."""
+    return S.split_train_dev_test(labelled_cases(spark, sf_dir), "case_id", FS.SEED)
+
+
+def _fs_train(spark, sf_dir):
+    return fewshot_cases(spark, sf_dir).where(F.col("split") == "train").select("case_id", "text", "label")
+
+
+def _candidates_sql(incumbent, rnd: int, seed: int = FS.SEED) -> str:
+    """Round-``rnd`` candidates in SQL: each replacement is the train row of
+    the wanted label with the smallest md5(seed|round|move|j|id)."""
+    parts = []
+    for m in FS.candidate_moves(incumbent, rnd, seed):
+        h = f"md5(concat_ws('|', '{seed}', '{rnd}', {O.lit(m['move'])}, '{m['j']}', CAST(case_id AS VARCHAR)))"
+        repl = (f"(SELECT text FROM ({_FS_TRAIN_SQL}) WHERE label = {O.lit(m['label'])} "
+                f"ORDER BY {h}, case_id LIMIT 1)")
+        ex = list(incumbent) + ([None] if m["move"].startswith("add") else [])
+        for i, e in enumerate(ex):
+            if i == m["pos"]:
+                parts.append(f"SELECT {m['slot']} AS cand_id, {O.lit(m['move'])} AS move, {i} AS pos, "
+                             f"{repl} AS text, {O.lit(m['label'])} AS label")
+            else:
+                parts.append(f"SELECT {m['slot']} AS cand_id, {O.lit(m['move'])} AS move, {i} AS pos, "
+                             f"{O.lit(e[0])} AS text, {O.lit(e[1])} AS label")
+    return " UNION ALL ".join(parts)
+
+
+@register("fewshot_candidates",
+          f"SELECT cand_id, move, pos, label, md5(text) AS text_md5 FROM ({_candidates_sql(P.SEED_EXAMPLES, 1)})")
+def fewshot_candidates(spark, sf_dir):
+    c = FS.candidates(spark, _fs_train(spark, sf_dir), P.SEED_EXAMPLES, 1)
+    return c.select("cand_id", "move", "pos", "label", F.md5("text").alias("text_md5"))
+
+
+def _standin_score_sql(cases_sql: str, cands_sql: str) -> str:
+    rule = (f"(NOT {O.any_rx('text', ('guard_narrow',))} AND "
+            f"{O.any_rx('text', [k for _, k in O.R.RULE_SETS['v4'].tiers[0]], False)})")
+    return f"""
+    WITH c AS (SELECT case_id, label, {rule} AS rule_hit, {O.word_set_sql('text')} AS cw FROM ({cases_sql})),
+    e AS (SELECT cand_id, pos, label AS ex_label, {O.word_set_sql('substr(text, 1, 150)')} AS ew FROM ({cands_sql})),
+    j AS (SELECT c.case_id, e.cand_id, e.ex_label,
+                 CAST(len(list_intersect(cw, ew)) AS DOUBLE) /
+                 CAST(len(cw) + len(ew) - len(list_intersect(cw, ew)) AS DOUBLE) AS jac
+          FROM c CROSS JOIN e WHERE NOT c.rule_hit),
+    b AS (SELECT case_id, cand_id, max(jac) AS mj,
+                 bool_or(ex_label = 'SENSITIVE' AND jac = mx) AS s
+          FROM (SELECT *, max(jac) OVER (PARTITION BY case_id, cand_id) AS mx FROM j) GROUP BY case_id, cand_id),
+    g AS (SELECT c.case_id, c.label, c.rule_hit, ids.cand_id FROM c CROSS JOIN (SELECT DISTINCT cand_id FROM e) ids),
+    p AS (SELECT g.case_id, g.cand_id, g.label,
+                 CASE WHEN g.rule_hit THEN 'SENSITIVE' WHEN b.mj IS NULL OR b.mj <= 0 OR b.s THEN 'SENSITIVE'
+                      ELSE 'PUBLIC' END AS predicted, 0.0::DOUBLE AS latency_ms
+          FROM g LEFT JOIN b ON g.case_id = b.case_id AND g.cand_id = b.cand_id)
+    SELECT cand_id, total, correct, false_negatives, false_positives, accuracy_pct, fnr_pct, fpr_pct,
+           fnr_pct * 2.0::DOUBLE + fpr_pct AS score
+    FROM ({O.metrics_sql(O.confusion_sql('SELECT * FROM p', by='cand_id', definition='fewshot'))})"""
+
+
+def _seed_cands_sql(examples, cand_id: int) -> str:
+    return " UNION ALL ".join(f"SELECT {cand_id} AS cand_id, {i} AS pos, {O.lit(t)} AS text, {O.lit(l)} AS label"
+                              for i, (t, l) in enumerate(examples))
+
+
+_FS_DEV_SAMPLE_SQL = (f"SELECT case_id, text, label FROM ({_FS_SPLIT_SQL}) WHERE split = 'dev' "
+                      f"ORDER BY {O.seeded_hash_sql('case_id', FS.SEED, 1)}, case_id LIMIT 100")
+
+
+@register("fewshot_round",
+          _standin_score_sql(_FS_DEV_SAMPLE_SQL,
+                             f"SELECT cand_id, pos, text, label FROM ({_candidates_sql(P.SEED_EXAMPLES, 1)}) "
+                             f"UNION ALL {_seed_cands_sql(P.SEED_EXAMPLES, -1)}"))
+def fewshot_round(spark, sf_dir):
+    """K2: round 1 -- every candidate and the incumbent (cand_id -1) scored on
+    the same seeded 100-case dev sample."""
+    cases = fewshot_cases(spark, sf_dir)
+    train = cases.where(F.col("split") == "train").select("case_id", "text", "label")
+    dev = cases.where(F.col("split") == "dev").select("case_id", "text", "label")
+    rows = FS.candidate_rows(train, P.SEED_EXAMPLES, 1)
+    ids = sorted({r["cand_id"] for r in rows})
+    cands = spark.createDataFrame(rows, FS.EXAMPLE_SCHEMA).unionByName(FS.examples_frame(spark, P.SEED_EXAMPLES, -1))
+    sample = S.seeded_sample(dev, 100, "case_id", FS.SEED, 1)
+    return FS.score(FS.standin_predict(sample, cands, ids + [-1]))
+
+
+@register("fewshot_test_score",
+          _standin_score_sql(f"SELECT case_id, text, label FROM ({_FS_SPLIT_SQL}) WHERE split = 'test'",
+                             _seed_cands_sql(P.SEED_EXAMPLES, 0)))
+def fewshot_test_score(spark, sf_dir):
+    """K4: an example list (here the seed) scored on the held-out test split."""
+    test = fewshot_cases(spark, sf_dir).where(F.col("split") == "test")
+    return FS.score(FS.standin_predict(test, FS.examples_frame(spark, P.SEED_EXAMPLES), [0]))
+
+
+@register("fewshot_search")
+def fewshot_search(spark, sf_dir):
+    """K3: 12 rounds of hill climbing; returns the final example list with its
+    dev and test scores (iterative: rows-only check)."""
+    ex, dev, test = FS.search(spark, fewshot_cases(spark, sf_dir), P.SEED_EXAMPLES, rounds=12)
+    rows = [(i, t, l, float(dev["score"]), float(test["score"]), float(test["fnr_pct"]), float(test["fpr_pct"]))
+            for i, (t, l) in enumerate(ex)]
+    return spark.createDataFrame(rows, "pos int, text string, label string, dev_score double, test_score double, "
+                                       "test_fnr_pct double, test_fpr_pct double")
