@@ -763,3 +763,71 @@ def fewshot_search(spark, sf_dir):
             for i, (t, l) in enumerate(ex)]
     return spark.createDataFrame(rows, "pos int, text string, label string, dev_score double, test_score double, "
                                        "test_fnr_pct double, test_fpr_pct double")
+
+
+# ----------------------------------------------------- L: streaming, X1
+from veilspark.operators.leakage import contained_passages  # noqa: E402
+from veilspark.streaming import stream as ST  # noqa: E402
+
+
+@register("stream_classify",
+          f"SELECT doc_id, verdict, array_to_string(matches, ',') AS matches FROM "
+          f"({O.classify_select('v4', '(SELECT doc_id, text FROM documents)')})")
+def stream_classify(spark, sf_dir):
+    return ST.stream_classify(spark, sf_dir).select("doc_id", "verdict", "matches")
+
+
+_WINNER = ST.winner_config()
+
+
+@register("stream_route",
+          f"SELECT case_id, predicted, method, CASE WHEN predicted = 'PUBLIC' THEN 'cloud' ELSE 'local' END AS route "
+          f"FROM ({O.cascade_sql([_WINNER], cases='SELECT doc_id AS case_id, text, CAST(NULL AS VARCHAR) AS label FROM documents')})")
+def stream_route(spark, sf_dir):
+    return ST.stream_route(spark, sf_dir, _WINNER).select("case_id", "predicted", "method", "route")
+
+
+@register("stream_dedup",
+          "SELECT DISTINCT md5(concat_ws('|', CAST(user_id AS VARCHAR), event_type, props)) AS fp FROM events")
+def stream_dedup(spark, sf_dir):
+    return ST.stream_dedup(spark, sf_dir).select("fp").distinct()
+
+
+@register("stream_window_counts",
+          "SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, "
+          "count(*) AS n FROM events GROUP BY time_bucket(INTERVAL '1 day', ts), event_type "
+          "HAVING time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'")
+def stream_window_counts(spark, sf_dir):
+    return ST.stream_window_counts(spark, sf_dir)
+
+
+@register("exemplar_leakage",
+          "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def exemplar_leakage(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    items = table(spark, sf_dir, "benchmark", ["item_id", "text"])
+    return contained_passages(docs, items, "doc_id", "item_id")
+
+
+# ----------------------------------------------------------- A6/A7: sinks
+from veilspark.sources import sinks as SK  # noqa: E402
+
+
+@register("write_corpus_roundtrip",
+          f"SELECT case_id, label, source, split FROM ({O.split_sql(O.corpus_sql())})")
+def write_corpus_roundtrip(spark, sf_dir):
+    """Corpus with its split written as parquet partitioned by split to
+    the shared folder, then read back."""
+    corpus = S.split_train_dev_test(CO.build_corpus(spark, sf_dir), "case_id", 42)
+    back = SK.write_corpus(corpus.select("case_id", "text", "label", "source", "source_rank", "lang", "split"))
+    return back.select("case_id", "label", "source", "split")
+
+
+@register("write_results", f"SELECT {_METRIC_COLS} FROM ({_METRICS_SQL})")
+def write_results(spark, sf_dir):
+    """Per-config result records written as JSON (full, with leak/false
+    alarm samples, and slim, without them), then the slim file read back."""
+    m = v4_metrics(spark, sf_dir)
+    samples = E.leak_samples(predictions(spark, sf_dir, keep_text=True), 10, 100)
+    full, slim = SK.write_results(m, samples)
+    return slim.select(*[c.strip() for c in _METRIC_COLS.split(",")])
