@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import rules as R
 from veilspark.functions.answers import PUBLIC, SENSITIVE, UNCERTAIN
+from veilspark.operators.joins import spread
 
 CODE_CONTEXT = "code_context"
 
@@ -25,6 +26,7 @@ def classify(df: DataFrame, rule_set: str = "v4", text_col: str = "text") -> Dat
     rs = R.RULE_SETS[rule_set]
     text = F.col(text_col)
     cols = [F.col(c) for c in df.columns]
+    df = spread(df)
     if rs.mode == "plain":
         m = R.hit_names(text, rs.tiers[0], rs.ignore_case)
         step = df.select(*cols, m.alias("matches"))
@@ -60,6 +62,7 @@ def classify_fast(df: DataFrame, rule_set: str = "v4", text_col: str = "text") -
     rs = R.RULE_SETS[rule_set]
     text = F.col(text_col)
     keys = [k for _, k in rs.tiers[0]]
+    df = spread(df)
     hit = ~R.any_match(text, rs.guards, True) & R.any_match(text, keys, rs.ignore_case)
     return df.withColumn("rule_hit", hit)
 

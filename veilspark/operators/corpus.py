@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import rules as R
 from veilspark.functions.text import clean, fingerprint, strip
+from veilspark.operators.joins import spread
 from veilspark.operators.splits import first_n_per_group
 from veilspark.sources.registry import SOURCES, SourceSpec, spec_rows
 
@@ -97,6 +98,7 @@ def collect_source(spark: SparkSession, sf_dir: str, spec: SourceSpec, rank: int
     if rows is None:
         return None
     rows = rows.where(F.col("raw").isNotNull() & length_band(F.col("raw"), spec.min_len, spec.max_len, spec.inclusive))
+    rows = spread(rows)  # after the cheap band filter: only surviving rows move
     rows = keyword_filter(rows, spec.include, spec.exclude)
     rows = first_wins(rows.withColumn("fp", fingerprint(F.col("raw"))), ["fp"], ["local_id"]).drop("fp")
     rows = rows.withColumn("text", clean(F.col("raw")))

@@ -26,3 +26,19 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     if estimated_bytes(small) <= limit:
         small = F.broadcast(small)
     return big.join(small, on, how)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread CPU-bound work (regex rules over long texts) over all cores when
+    the scan yields fewer partitions than the cluster's parallelism -- e.g. a
+    single-row-group file. Many-file inputs already have enough partitions and
+    are left alone (no extra shuffle). Partition count comes from planning,
+    not from a job."""
+    if df.isStreaming:
+        return df
+    want = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001
+        return df
+    return df.repartition(want) if have < want else df

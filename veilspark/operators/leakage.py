@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.operators.joins import join_small
+from veilspark.operators.joins import join_small, spread
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}_]+"
 K = 8
@@ -33,7 +33,7 @@ def contained_passages(texts: DataFrame, passages: DataFrame, text_id: str = "do
     """(text_id, passage_id) for every text containing a passage verbatim."""
     p = passages.select(F.col(passage_id).alias("pid"), F.col("text").alias("ptext")) \
         .withColumn("ptoks", tokens(F.col("ptext"))).withColumn("pn", F.size("ptoks"))
-    t = texts.select(F.col(text_id).alias("tid"), F.col("text").alias("ttext"))
+    t = spread(texts).select(F.col(text_id).alias("tid"), F.col("text").alias("ttext"))
     long_p = p.where(F.col("pn") >= 3).select(
         "pid", F.least(F.lit(K), F.col("pn") - 2).alias("a"),
         F.xxhash64(F.array_join(F.slice("ptoks", 2, F.least(F.lit(K), F.col("pn") - 2)), " ")).alias("ah"))

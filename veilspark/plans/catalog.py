@@ -120,7 +120,8 @@ PROBE_DOCS_SQL = f"SELECT doc_id, {probe_text_sql('text', 'doc_id')} AS text FRO
 
 
 def probe_documents(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents", ["doc_id", "text"]).select(
+    from veilspark.operators.joins import spread
+    return spread(table(spark, sf_dir, "documents", ["doc_id", "text"])).select(
         "doc_id", probe_text("text", "doc_id").alias("text"))
 
 
@@ -159,7 +160,8 @@ DOCS_AS_CASES_SQL = ("SELECT doc_id AS case_id, text, source, "
 
 def docs_as_cases(spark, sf_dir) -> DataFrame:
     from veilspark.sources.cases import source_rank_of
-    d = table(spark, sf_dir, "documents", ["doc_id", "text", "source", "lang"])
+    from veilspark.operators.joins import spread
+    d = spread(table(spark, sf_dir, "documents", ["doc_id", "text", "source", "lang"]))
     return d.select(F.col("doc_id").alias("case_id"), "text", "source",
                     source_rank_of(F.col("source")).alias("source_rank"), "lang")
 
