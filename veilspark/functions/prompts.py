@@ -102,6 +102,20 @@ SEED_EXAMPLES: list[tuple[str, str]] = [
     ("Design a database schema for encrypted credit card data", "PUBLIC"),
 ]
 
+# Seeded starting demos of the optimizer variant: balanced 5 SENSITIVE + 5 PUBLIC.
+SEED_DEMOS_BALANCED: list[tuple[str, str]] = [
+    ("My credit score dropped to 580 after missing payments", "SENSITIVE"),
+    ("Customer Joe_Schuster53, verify your account 48308813", "SENSITIVE"),
+    ("Mein Gehalt beträgt 65.000 Euro im Jahr", "SENSITIVE"),
+    ("I was diagnosed with diabetes last month", "SENSITIVE"),
+    ("I was arrested for DUI and need a lawyer", "SENSITIVE"),
+    ("What are the penalties for a first-time DUI?", "PUBLIC"),
+    ("What are the grounds for divorce in California?", "PUBLIC"),
+    ("Wie funktioniert das Scheidungsrecht in Deutschland?", "PUBLIC"),
+    ("What medications are commonly prescribed for ADHD?", "PUBLIC"),
+    ("Design a database schema for encrypted credit card data", "PUBLIC"),
+]
+
 PROMPTS: list[dict] = [
     {"prompt_name": "D: v3 baseline", "system": SYSTEM_D, "template": TEMPLATE_D},
     {"prompt_name": "F: topic-vs-person distinction", "system": SYSTEM_F, "template": TEMPLATE_F},
