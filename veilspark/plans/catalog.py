@@ -176,7 +176,7 @@ DEDUP_DOCS_SQL = (f"SELECT * EXCLUDE (text) FROM (SELECT *, md5({O.strip_sql('te
                   f"QUALIFY row_number() OVER (PARTITION BY fp ORDER BY source_rank, case_id) = 1")
 
 
-@register("clean_text", f"SELECT doc_id, {O.clean_sql('text')} AS cleaned, length({O.clean_sql('text')}) AS n_clean "
+@register("clean_text", f"SELECT doc_id, {O.clean_sql('text')} AS cleaned, CAST(length({O.clean_sql('text')}) AS INTEGER) AS n_clean "
                         f"FROM documents")
 def clean_text(spark, sf_dir):
     d = table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", TX.clean(F.col("text")).alias("cleaned"))
@@ -206,7 +206,7 @@ def _band_case_sql() -> str:
     return "CASE " + " ".join(arms) + " ELSE false END"
 
 
-@register("length_band", f"SELECT doc_id, source, length(text) AS n_chars, {_band_case_sql()} AS in_band FROM documents")
+@register("length_band", f"SELECT doc_id, source, CAST(length(text) AS INTEGER) AS n_chars, {_band_case_sql()} AS in_band FROM documents")
 def length_band(spark, sf_dir):
     d = table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
     band = None
@@ -233,7 +233,7 @@ def language_bucket(spark, sf_dir):
     return d.select("doc_id", "lang", en.alias("en_ok"), de.alias("de_ok"), en_x.alias("en_exact"), de_x.alias("de_exact"))
 
 
-@register("role_filter", "SELECT conv_id, turn, length(text) AS n_chars FROM conversations WHERE role = 'user'")
+@register("role_filter", "SELECT conv_id, turn, CAST(length(text) AS INTEGER) AS n_chars FROM conversations WHERE role = 'user'")
 def role_filter(spark, sf_dir):
     c = table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
     return c.where(F.col("role") == "user").select("conv_id", "turn", F.length("text").alias("n_chars"))
@@ -273,7 +273,7 @@ def collect_source(spark, sf_dir):
 
 
 @register("union_sources",
-          f"SELECT case_id, label, source, source_rank, lang, length(text) AS n_chars FROM ({O.union_sources_sql()})")
+          f"SELECT case_id, label, source, source_rank, lang, CAST(length(text) AS INTEGER) AS n_chars FROM ({O.union_sources_sql()})")
 def union_sources(spark, sf_dir):
     return CO.union_sources(spark, sf_dir).select("case_id", "label", "source", "source_rank", "lang",
                                                   F.length("text").alias("n_chars"))
@@ -285,7 +285,7 @@ def build_corpus(spark, sf_dir):
 
 
 @register("corpus_composition",
-          f"SELECT label, count(*) AS n, sum(count(*)) OVER () AS total, "
+          f"SELECT label, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total, "
           f"CAST(count(*) AS DOUBLE) * 100.0::DOUBLE / CAST(sum(count(*)) OVER () AS DOUBLE) AS share_pct "
           f"FROM ({O.corpus_sql()}) GROUP BY label")
 def corpus_composition(spark, sf_dir):
@@ -310,7 +310,7 @@ QUOTA_N = 3
 
 
 @register("source_quota",
-          f"SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS pos "
+          f"SELECT doc_id, source, lang, CAST(row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS INTEGER) AS pos "
           f"FROM documents QUALIFY pos <= {QUOTA_N}")
 def source_quota(spark, sf_dir):
     d = table(spark, sf_dir, "documents", ["doc_id", "source", "lang"])
@@ -358,7 +358,7 @@ _LAB_DOCS_SQL = (f"SELECT s.*, CASE WHEN l.toxic = 1 THEN 'SENSITIVE' ELSE 'PUBL
           f"""WITH t AS (SELECT * FROM ({_LAB_DOCS_SQL}) WHERE split = 'train'),
               k AS (SELECT least(min(n), 200) AS k FROM (SELECT label, count(*) AS n FROM t GROUP BY label))
               SELECT case_id, label, pos FROM (SELECT case_id, label,
-                 row_number() OVER (PARTITION BY label ORDER BY rank) AS pos FROM t), k WHERE pos <= k.k""")
+                 CAST(row_number() OVER (PARTITION BY label ORDER BY rank) AS INTEGER) AS pos FROM t), k WHERE pos <= k.k""")
 def balanced_sample(spark, sf_dir):
     from veilspark.operators.joins import join_small
     labels = table(spark, sf_dir, "labels", ["doc_id", "toxic"]).select(
@@ -394,7 +394,7 @@ _UNDECIDED_SQL = (f"SELECT c.case_id, c.text, cfg.config_id FROM ({O.classify_se
 
 
 @register("render_prompt",
-          f"SELECT case_id, config_id, md5(p) AS prompt_md5, length(p) AS prompt_chars FROM "
+          f"SELECT case_id, config_id, md5(p) AS prompt_md5, CAST(length(p) AS INTEGER) AS prompt_chars FROM "
           f"(SELECT *, replace({_templates_case_sql(V4_CONFIGS, 'template')}, '{{text}}', text) AS p "
           f"FROM ({_UNDECIDED_SQL}))")
 def render_prompt(spark, sf_dir):
@@ -409,7 +409,7 @@ def _fewshot_prompt_sql(examples, text: str = "text", cut: int = 150) -> str:
 
 
 @register("render_fewshot_prompt",
-          f"SELECT case_id, md5(p) AS prompt_md5, length(p) AS prompt_chars FROM "
+          f"SELECT case_id, md5(p) AS prompt_md5, CAST(length(p) AS INTEGER) AS prompt_chars FROM "
           f"(SELECT case_id, {_fewshot_prompt_sql(P.SEED_EXAMPLES)} AS p FROM ({O.CASES}))")
 def render_fewshot_prompt(spark, sf_dir):
     c = labelled_cases(spark, sf_dir)
@@ -543,7 +543,7 @@ def latency_summary(spark, sf_dir):
 
 
 @register("weighted_utility",
-          f"""SELECT config_id, sum(u) AS utility_sum, count(*) AS n, count_if(predicted = label) AS hits,
+          f"""SELECT config_id, sum(u) AS utility_sum, count(*) AS n, CAST(count_if(predicted = label) AS BIGINT) AS hits,
               sum(u) / CAST(count(*) AS DOUBLE) AS weighted_utility,
               CAST(count_if(predicted = label) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS plain_accuracy
               FROM (SELECT *, CASE WHEN predicted = label THEN 1.0::DOUBLE WHEN label = 'SENSITIVE' AND
@@ -563,14 +563,14 @@ def combined_scores(spark, sf_dir):
 
 @register("leak_samples",
           f"SELECT config_id, outcome, case_id, substr(text, 1, 100) AS preview, "
-          f"row_number() OVER (PARTITION BY config_id, outcome ORDER BY case_id) AS pos "
+          f"CAST(row_number() OVER (PARTITION BY config_id, outcome ORDER BY case_id) AS INTEGER) AS pos "
           f"FROM ({_PRED_OUT_SQL}) WHERE outcome <> 'OK' QUALIFY pos <= 10")
 def leak_samples(spark, sf_dir):
     return E.leak_samples(predictions(spark, sf_dir, keep_text=True), 10, 100)
 
 
 @register("stage_coverage",
-          f"SELECT config_id, label, count(*) AS n, count_if(starts_with(method, 'regex:')) AS rule_decided, "
+          f"SELECT config_id, label, count(*) AS n, CAST(count_if(starts_with(method, 'regex:')) AS BIGINT) AS rule_decided, "
           f"CAST(count_if(starts_with(method, 'regex:')) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS rule_share "
           f"FROM ({_PRED_SQL}) GROUP BY config_id, label")
 def stage_coverage(spark, sf_dir):
@@ -588,19 +588,19 @@ _LB = "config_id, accuracy_pct, fnr_pct, fpr_pct"
 
 
 @register("leaderboard_accuracy",
-          f"SELECT {_LB}, row_number() OVER (ORDER BY accuracy_pct DESC, fnr_pct, config_id) AS rank FROM ({_METRICS_SQL})")
+          f"SELECT {_LB}, CAST(row_number() OVER (ORDER BY accuracy_pct DESC, fnr_pct, config_id) AS INTEGER) AS rank FROM ({_METRICS_SQL})")
 def leaderboard_accuracy(spark, sf_dir):
     return E.leaderboard(v4_metrics(spark, sf_dir), "accuracy").select(*_LB.split(", "), "rank")
 
 
 @register("leaderboard_fnr",
-          f"SELECT {_LB}, row_number() OVER (ORDER BY fnr_pct, config_id) AS rank FROM ({_METRICS_SQL})")
+          f"SELECT {_LB}, CAST(row_number() OVER (ORDER BY fnr_pct, config_id) AS INTEGER) AS rank FROM ({_METRICS_SQL})")
 def leaderboard_fnr(spark, sf_dir):
     return E.leaderboard(v4_metrics(spark, sf_dir), "fnr").select(*_LB.split(", "), "rank")
 
 
 @register("leaderboard_combined",
-          f"SELECT {_LB}, row_number() OVER (ORDER BY fnr_pct + fpr_pct, config_id) AS rank, "
+          f"SELECT {_LB}, CAST(row_number() OVER (ORDER BY fnr_pct + fpr_pct, config_id) AS INTEGER) AS rank, "
           f"fnr_pct + fpr_pct AS score, fnr_pct < 3.0 AND fpr_pct < 15.0 AS target FROM ({_METRICS_SQL})")
 def leaderboard_combined(spark, sf_dir):
     return E.leaderboard(v4_metrics(spark, sf_dir), "combined").select(*_LB.split(", "), "rank", "score", "target")

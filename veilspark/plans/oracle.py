@@ -145,12 +145,17 @@ def confusion_sql(pred: str, by: str = "config_id", definition: str = "v1") -> s
         fn = f"(NOT ({ok}) AND label = 'SENSITIVE')"
         fp = f"(NOT ({ok}) AND label <> 'SENSITIVE')"
     return f"""SELECT {by}, count(*) AS total,
-      count_if(label = 'SENSITIVE') AS n_sensitive, count_if(label = 'PUBLIC') AS n_public,
-      count_if({ok}) AS correct, count_if({fn}) AS false_negatives, count_if({fp}) AS false_positives,
-      count_if(coalesce(latency_ms, 0) > 0) AS llm_calls, sum(coalesce(latency_ms, 0.0)) AS total_latency_ms
+      {cnt("label = 'SENSITIVE'")} AS n_sensitive, {cnt("label = 'PUBLIC'")} AS n_public,
+      {cnt(ok)} AS correct, {cnt(fn)} AS false_negatives, {cnt(fp)} AS false_positives,
+      {cnt('coalesce(latency_ms, 0) > 0')} AS llm_calls, sum(coalesce(latency_ms, 0.0)) AS total_latency_ms
     FROM ({pred}) GROUP BY {by}"""
 
 
+def cnt(cond: str) -> str:
+    """count_if typed like Spark's (bigint; DuckDB would give HUGEINT)."""
+    return f"CAST(count_if({cond}) AS BIGINT)"
+
+
 def rate_sql(num: str, den: str) -> str:
     return f"CASE WHEN {den} > 0 THEN CAST({num} AS DOUBLE) * 100.0::DOUBLE / CAST({den} AS DOUBLE) ELSE 0.0::DOUBLE END"
 
