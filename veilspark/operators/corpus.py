@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import rules as R
 from veilspark.functions.text import clean, fingerprint, strip
-from veilspark.operators.joins import spread
+from veilspark.operators.joins import join_small, spread
 from veilspark.operators.splits import first_n_per_group
 from veilspark.sources.registry import SOURCES, SourceSpec, spec_rows
+from veilspark.sources.tables import table
 
 # case_id = source_rank * ID_STRIDE + local id (local ids of a source < 10^12)
 ID_STRIDE = 1_000_000_000_000
@@ -65,57 +66,133 @@ def language_bucket(lang: Column, mode: str = "substring") -> tuple[Column, Colu
             F.contains(lang, F.lit("de")) | F.contains(lang, F.lit("german")))
 
 
-def bucket_quota(df: DataFrame, spec: SourceSpec) -> DataFrame:
-    """H1 with the reference's EN/DE rule: a row goes to EN while the EN quota
-    is open, else to DE if its tag qualifies; total quota otherwise. Adds
-    ``lang`` (bucket) and ``bucket_order`` (EN rows precede DE rows)."""
+def _scan_groups(specs: list[tuple[int, SourceSpec]]) -> dict:
+    """Specs that read the same table the same way share one scan."""
+    groups: dict = {}
+    for rank, spec in specs:
+        key = (spec.table, spec.first_human, spec.id_sql, spec.text_sql, spec.human_role)
+        groups.setdefault(key, []).append((rank, spec))
+    return groups
+
+
+def _tagged_rows(spark: SparkSession, sf_dir: str, members: list[tuple[int, SourceSpec]]) -> DataFrame | None:
+    """One scan for all ``members``; each row is tagged with every source
+    (source_rank) whose predicate it satisfies -> (source_rank, local_id, raw, lang)."""
+    rank0, spec0 = members[0]
+    rows = spec_rows(spark, sf_dir, spec0.__class__(**{**spec0.__dict__, "where_sql": None, "lang_sql": None}))
+    if rows is None:
+        return None
+    if spec0.first_human:
+        tags = F.array(*[F.lit(r) for r, _ in members])
+        return rows.select(F.explode(tags).alias("source_rank"), "local_id", "raw", "lang")
+    base = table(spark, sf_dir, spec0.table)
+    if spec0.human_role:
+        base = base.where(F.col("role") == spec0.human_role)
+    tag_items = [F.when(F.expr(sp.where_sql), F.lit(r)) if sp.where_sql else F.lit(r) for r, sp in members]
+    lang_col = F.lit(None).cast("string")
+    for r, sp in members:
+        if sp.lang_sql:
+            lang_col = F.when(F.col("source_rank") == r, F.expr(sp.lang_sql)).otherwise(lang_col)
+    t = base.select(F.expr(spec0.id_sql).cast("long").alias("local_id"), F.expr(spec0.text_sql).alias("raw"),
+                    *[c for c in ("lang",) if c in base.columns],
+                    F.filter(F.array(*tag_items), lambda x: x.isNotNull()).alias("_tags"))
+    t = t.select(F.explode("_tags").alias("source_rank"), "local_id", "raw",
+                 *[c for c in ("lang",) if c in base.columns])
+    if "lang" not in t.columns:
+        t = t.withColumn("lang", F.lit(None).cast("string"))
+    return t.withColumn("lang", lang_col)
+
+
+def _per_source(col_rank, specs: list[tuple[int, SourceSpec]], fn, default):
+    out = None
+    for r, sp in specs:
+        v = fn(sp)
+        if v is None:
+            continue
+        out = F.when(col_rank == r, v) if out is None else out.when(col_rank == r, v)
+    return default if out is None else out.otherwise(default)
+
+
+def _collect(spark: SparkSession, sf_dir: str, specs: list[tuple[int, SourceSpec]]) -> DataFrame | None:
+    """All sources at once: band -> keywords -> per-source first-wins dedup ->
+    clean -> quotas (ids chosen per source, then one bounded semi-join)."""
+    parts = [p for m in _scan_groups(specs).values() if (p := _tagged_rows(spark, sf_dir, m)) is not None]
+    if not parts:
+        return None
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    rk = F.col("source_rank")
+    band = _per_source(rk, specs, lambda sp: length_band(F.col("raw"), sp.min_len, sp.max_len, sp.inclusive),
+                       F.lit(False))
+    kw = _per_source(rk, specs, lambda sp: (
+        (R.matches(F.col("raw"), sp.include, True) if sp.include else F.lit(True)) &
+        (~R.matches(F.col("raw"), sp.exclude, True) if sp.exclude else F.lit(True))
+    ) if (sp.include or sp.exclude) else None, F.lit(True))
+    rows = rows.where(F.col("raw").isNotNull() & band)
+    rows = spread(rows).where(kw)  # after the cheap band filter: only surviving rows move
+    rows = first_wins(rows.withColumn("fp", fingerprint(F.col("raw"))), ["source_rank", "fp"], ["local_id"]).drop("fp")
+    rows = rows.withColumn("text", clean(F.col("raw"))).drop("raw")
+    # the quota picks, the DE spill and the final join all read these rows:
+    # land them once in the shared folder (each source table is scanned once;
+    # only band-passing, deduplicated rows are written)
+    from veilspark.operators.cascade import land
+    rows = land(rows, "corpus-rows")
     order = [F.col("local_id")]
 
-    def first_ids(rows: DataFrame, n: int) -> DataFrame:
-        # the quota is chosen on ids only (text stays out of the limit's
-        # merge); the result holds <= n ids, a bound known up front
-        return F.broadcast(first_n_per_group(rows.select("local_id"), [], order, n).select("local_id"))
-
-    if spec.lang_quotas is None or spec.lang_sql is None:
-        n = spec.quota if spec.quota is not None else (sum(spec.lang_quotas) if spec.lang_quotas else None)
-        out = df if n is None else df.join(first_ids(df, n), "local_id", "left_semi")
-        return out.withColumn("bucket_order", F.lit(0)).withColumn("lang", F.lit(None).cast("string"))
-    n_en, n_de = spec.lang_quotas
-    en_ok, de_ok = language_bucket(F.col("lang"), spec.lang_mode)
-    en_ids = first_ids(df.where(en_ok), n_en)
-    # rows that qualify for DE and were not taken while the EN quota was open
-    de_rows = df.where(de_ok).join(en_ids, "local_id", "left_anti")
-    de_ids = first_ids(de_rows, n_de)
-    en = df.join(en_ids, "local_id", "left_semi")
-    de = df.join(de_ids, "local_id", "left_semi")
-    return (en.withColumn("bucket_order", F.lit(0)).withColumn("lang", F.lit("en"))
-            .unionByName(de.withColumn("bucket_order", F.lit(1)).withColumn("lang", F.lit("de"))))
+    def pick(sub: DataFrame, n_of, group_specs) -> DataFrame:
+        # first n per source on (source_rank, local_id) only; the window limit
+        # is the largest quota, the per-source quota is applied after it
+        n_max = max(n_of(sp) for _, sp in group_specs)
+        ranked = first_n_per_group(sub.select("source_rank", "local_id"), ["source_rank"], order, n_max)
+        n_col = _per_source(rk, group_specs, lambda sp: F.lit(n_of(sp)), F.lit(0))
+        return ranked.where(F.col("pos") <= n_col).select("source_rank", "local_id")
+
+    total = [(r, sp) for r, sp in specs if sp.lang_quotas is None or sp.lang_sql is None]
+    langq = [(r, sp) for r, sp in specs if not (sp.lang_quotas is None or sp.lang_sql is None)]
+    quota_total = [(r, sp) for r, sp in total
+                   if sp.quota is not None or sp.lang_quotas is not None]
+    open_ranks = [r for r, sp in total if sp.quota is None and sp.lang_quotas is None]
+    chosen = []
+    if quota_total:
+        n_tot = lambda sp: sp.quota if sp.quota is not None else sum(sp.lang_quotas)
+        ids = pick(rows.where(rk.isin([r for r, _ in quota_total])), n_tot, quota_total)
+        chosen.append(ids.withColumn("bucket_order", F.lit(0)).withColumn("bucket", F.lit(None).cast("string")))
+    if open_ranks:
+        ids = rows.where(rk.isin(open_ranks)).select("source_rank", "local_id")
+        chosen.append(ids.withColumn("bucket_order", F.lit(0)).withColumn("bucket", F.lit(None).cast("string")))
+    if langq:
+        mode = {r: sp.lang_mode for r, sp in langq}
+        en_ok = _per_source(rk, langq, lambda sp: language_bucket(F.col("lang"), mode[[r for r, s in langq if s is sp][0]])[0], F.lit(False))
+        de_ok = _per_source(rk, langq, lambda sp: language_bucket(F.col("lang"), mode[[r for r, s in langq if s is sp][0]])[1], F.lit(False))
+        lq = rows.where(rk.isin([r for r, _ in langq]))
+        en_ids = pick(lq.where(en_ok), lambda sp: sp.lang_quotas[0], langq)
+        # DE: qualifies and was not taken while the EN quota was open
+        de_rows = lq.where(de_ok).join(F.broadcast(en_ids), ["source_rank", "local_id"], "left_anti")
+        de_ids = pick(de_rows, lambda sp: sp.lang_quotas[1], langq)
+        chosen.append(en_ids.withColumn("bucket_order", F.lit(0)).withColumn("bucket", F.lit("en")))
+        chosen.append(de_ids.withColumn("bucket_order", F.lit(1)).withColumn("bucket", F.lit("de")))
+    ids = chosen[0]
+    for c in chosen[1:]:
+        ids = ids.unionByName(c)
+    out = join_small(rows.drop("lang"), ids, ["source_rank", "local_id"], "inner")
+    label = _per_source(rk, specs, lambda sp: F.lit(sp.label), F.lit(None).cast("string"))
+    name = _per_source(rk, specs, lambda sp: F.lit(sp.name), F.lit(None).cast("string"))
+    return out.select((rk.cast("long") * F.lit(ID_STRIDE) + F.col("local_id")).alias("case_id"),
+                      "local_id", "text", label.alias("label"), name.alias("source"),
+                      rk.cast("int").alias("source_rank"), F.col("bucket").alias("lang"), "bucket_order")
 
 
 def collect_source(spark: SparkSession, sf_dir: str, spec: SourceSpec, rank: int) -> DataFrame | None:
     """One source's contribution (text cleaned, not yet stripped)."""
-    rows = spec_rows(spark, sf_dir, spec)
-    if rows is None:
-        return None
-    rows = rows.where(F.col("raw").isNotNull() & length_band(F.col("raw"), spec.min_len, spec.max_len, spec.inclusive))
-    rows = spread(rows)  # after the cheap band filter: only surviving rows move
-    rows = keyword_filter(rows, spec.include, spec.exclude)
-    rows = first_wins(rows.withColumn("fp", fingerprint(F.col("raw"))), ["fp"], ["local_id"]).drop("fp")
-    rows = rows.withColumn("text", clean(F.col("raw")))
-    q = bucket_quota(rows, spec)
-    return q.select((F.lit(rank).cast("long") * F.lit(ID_STRIDE) + F.col("local_id")).alias("case_id"),
-                    "local_id", "text", F.lit(spec.label).alias("label"), F.lit(spec.name).alias("source"),
-                    F.lit(rank).alias("source_rank"), "lang", "bucket_order")
+    return _collect(spark, sf_dir, [(rank, spec)])
 
 
 def union_sources(spark: SparkSession, sf_dir: str, specs: list[SourceSpec] | None = None) -> DataFrame:
-    """A5: union in priority order; provenance = (source, source_rank)."""
+    """A5: all sources in priority order (provenance = source, source_rank);
+    each table is scanned once for all the sources that read it."""
     specs = specs or SOURCES
-    parts = [p for i, s in enumerate(specs, start=1) if (p := collect_source(spark, sf_dir, s, i)) is not None]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _collect(spark, sf_dir, list(enumerate(specs, start=1)))
 
 
 def build_corpus(spark: SparkSession, sf_dir: str, specs: list[SourceSpec] | None = None) -> DataFrame:
