@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from veilspark.session import scratch_path
 from veilspark.sources.tables import table
 
-from . import decontaminate, line_dedup, secrets, sharding, warc
+from . import decontaminate, line_dedup, near_dedup, packing, quality, rollups, secrets, sharding, topk, warc
+from .common import land
 from .sql import ORACLES  # noqa: F401
 
 
@@ -28,6 +30,39 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_text")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op5_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted under both tokenizer versions; exact copies
+    of a document with a smaller id are deleted; documents labelled toxic have
+    their counts revised to 0; the second batch is committed twice."""
+    counts = land(rollups.count_tokens(table(spark, sf_dir, "documents"), ["word_bpe_49k", "byte_bpe_50k"]), "token-counts")
+    first = counts.groupBy(F.col("text_md5").alias("_md5")).agg(F.min("doc_id").alias("_first"))
+    kept = counts.join(first, F.col("text_md5").eqNullSafe(F.col("_md5")))
+    copies, own = kept.where("doc_id <> _first"), kept.where("doc_id = _first")
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    batches = {"1": rollups.inserts(counts.where("tokenizer = 'word_bpe_49k'")), "2": rollups.inserts(counts.where("tokenizer = 'byte_bpe_50k'")),
+               "3": rollups.deletes(copies), "4": rollups.revisions(own.join(toxic, "doc_id", "left_semi"), F.lit(0))}
+    store = scratch_path(spark, "token-rollups")
+    for batch_id in ("1", "2", "3", "2", "4"):
+        rollups.commit(batches[batch_id], store, batch_id)
+    return rollups.totals(spark, store)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), folder)
@@ -40,5 +75,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_secrets, op3_decontamination, op9_warc, op10_line_dedup)
-}
+    f.__name__: f for f in (op1_sharding, op2_secrets, op3_decontamination, op4_topk, op5_token_rollups, op6_quality, op7_near_dedup, op8_packing, op9_warc, op10_line_dedup)
+} | {"pipeline": corpus_pipeline.run}
