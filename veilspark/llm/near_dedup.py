@@ -187,18 +187,24 @@ def candidate_links(texts: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """``id, label`` for every end of ``links(a, b)``: the least id of its
-    component. Labels spread along links and then jump to the label's label,
-    so rounds grow with the logarithm of a component's diameter; each round is
-    written to the shared folder."""
-    both = land(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = land(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least"))
-                  .select("id", F.least("id", "least").alias("label"), F.lit(True).alias("changed")), "labels")
-    while labels.where("changed").limit(1).count():
-        near = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("of_b")), "b").groupBy(F.col("a").alias("id")).agg(F.min("of_b").alias("of_b"))
-        spread = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "of_b").alias("label"))
-        heads = spread.select(F.col("id").alias("label"), F.col("label").alias("head"))
-        labels = land(spread.join(heads, "label").select("id", F.col("head").alias("label"), (F.col("head") != F.col("old")).alias("changed")), "labels")
-    return labels.select("id", "label")
+    component. Each round maps every end to its least neighbour's least
+    neighbour and contracts the links by that map, so links shrink from round to
+    round and rounds grow with the logarithm of a component's diameter. Each
+    round is written to the shared folder."""
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    links = land(ordered(links), "links")
+    labels = links.select(F.col("a").alias("id")).union(links.select("b")).distinct().withColumn("label", F.col("id"))
+    while links.limit(1).count():
+        least = links.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("m"))  # the lesser end of a link maps to itself, unless it has a lesser one
+        ahead = least.select(F.col("v").alias("m"), F.col("m").alias("n"))
+        to = land(least.join(ahead, "m", "left").select("v", F.coalesce("n", "m").alias("m")), "heads")
+        on = lambda name: to.select(F.col("v").alias(name), F.col("m").alias(f"m_{name}"))
+        labels = land(labels.join(on("label"), "label", "left").select("id", F.coalesce("m_label", "label").alias("label")), "labels")
+        links = land(ordered(links.join(on("a"), "a", "left").join(on("b"), "b")
+                             .select(F.coalesce("m_a", "a").alias("a"), F.col("m_b").alias("b"))), "links")
+    return labels
 
 
 class Forest:
