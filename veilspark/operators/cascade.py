@@ -17,6 +17,7 @@ the config). The scorer sees undecided rows only. Answers come from one of:
 
 from __future__ import annotations
 
+import time
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -52,15 +53,22 @@ def score_batches(df: DataFrame, scorer: Scorer = standin_scorer) -> DataFrame:
     """Batch scoring with an injected callable under ``mapInPandas``.
 
     Arrow batches (``spark.sql.execution.arrow.maxRecordsPerBatch``) go to the
-    callable; an exception fails soft per batch into the ``error`` column (the
-    cascade then fails safe), never failing the task."""
+    callable. If a batch raises, its rows are tried one by one, so that only
+    the rows that raise get an ``error`` (the cascade then fails safe), with the
+    time their call took; the task never fails."""
+    def one(row: pd.DataFrame) -> pd.DataFrame:
+        began = time.perf_counter()
+        try:
+            return scorer(row)
+        except Exception as e:  # noqa: BLE001 - becomes a fail-safe row
+            return pd.DataFrame({"raw": [None], "error": [str(e)], "latency_ms": [(time.perf_counter() - began) * 1000.0]})
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             try:
                 res = scorer(pdf).reset_index(drop=True)
-            except Exception as e:  # noqa: BLE001 - becomes a fail-safe row
-                res = pd.DataFrame({"raw": [None] * len(pdf), "error": [str(e)] * len(pdf),
-                                    "latency_ms": [0.0] * len(pdf)})
+            except Exception:  # noqa: BLE001 - found row by row
+                res = pd.concat([one(pdf.iloc[[i]]) for i in range(len(pdf))], ignore_index=True)
             yield pd.DataFrame({
                 "case_id": pdf["case_id"].astype("int64").values,
                 "config_id": pdf["config_id"].astype("int32").values,

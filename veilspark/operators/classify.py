@@ -40,14 +40,14 @@ def classify(df: DataFrame, rule_set: str = "v4", text_col: str = "text") -> Dat
         return step.withColumn(
             "verdict", F.when(F.size("matches") > 0, F.lit(SENSITIVE)).otherwise(F.lit(UNCERTAIN)))
     if rs.mode == "tiered":
-        step1 = df.select(*cols,
-                          R.any_match(text, rs.guards, ignore_case=True).alias("_code"),
-                          R.hit_names(text, rs.tiers[0], rs.ignore_case).alias("_m1"))
+        step1 = df.select(*cols, R.hit_names(text, rs.tiers[0], rs.ignore_case).alias("_m1"))
         # context tier only when the structured tier is empty
         m = F.when(F.size("_m1") > 0, F.col("_m1")).otherwise(
             R.hit_names(text, rs.tiers[1], rs.ignore_case))
-        step2 = step1.select(*cols, "_code", m.alias("_m"))
         hit = F.size("_m") > 0
+        # the guards matter to hits alone: the other rows are not searched for them
+        code = F.when(hit, R.any_match(text, rs.guards, ignore_case=True)).otherwise(F.lit(False))
+        step2 = step1.select(*cols, m.alias("_m")).withColumn("_code", code)
         return step2.select(
             *cols,
             F.when(hit & F.col("_code"), F.concat(F.col("_m"), F.array(F.lit(CODE_CONTEXT))))

@@ -24,11 +24,17 @@ from veilspark.operators.splits import first_n_per_group
 from veilspark.sources.registry import SOURCES, SourceSpec, spec_rows
 from veilspark.sources.tables import table
 
-# case_id = source_rank * ID_STRIDE + local id (local ids of a source < 10^12)
-ID_STRIDE = 1_000_000_000_000
+# a row of a source: documents have turn 0
+LOCAL_KEY = ["local_id", "local_turn"]
 MIN_FINAL_CHARS = 10
 
 
+def case_id(rank: Column) -> Column:
+    """One id for (source, local id, turn): the first 60 bits of their MD5. The
+    parts themselves are kept through dedup, quotas and joins."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", rank.cast("string"), *[F.col(c).cast("string") for c in LOCAL_KEY])), 1, 15), 16, 10).cast("long")
+
+
 def length_band(text: Column, lo: int, hi: int | None, inclusive: bool = True) -> Column:
     """Code-point length inside the band, measured before cleaning."""
     n = F.length(text)
@@ -70,7 +76,7 @@ def _scan_groups(specs: list[tuple[int, SourceSpec]]) -> dict:
     """Specs that read the same table the same way share one scan."""
     groups: dict = {}
     for rank, spec in specs:
-        key = (spec.table, spec.first_human, spec.id_sql, spec.text_sql, spec.human_role)
+        key = (spec.table, spec.first_human, spec.id_sql, spec.turn_sql, spec.text_sql, spec.human_role)
         groups.setdefault(key, []).append((rank, spec))
     return groups
 
@@ -84,8 +90,8 @@ def _tagged_rows(spark: SparkSession, sf_dir: str, members: list[tuple[int, Sour
         return None
     if spec0.first_human:
         tags = F.array(*[F.lit(r) for r, _ in members])
-        return rows.select(F.explode(tags).alias("source_rank"), "local_id", "raw", "lang")
-    base = table(spark, sf_dir, spec0.table)
+        return rows.select(F.explode(tags).alias("source_rank"), *LOCAL_KEY, "raw", "lang")
+    base = spread(table(spark, sf_dir, spec0.table))
     if spec0.human_role:
         base = base.where(F.col("role") == spec0.human_role)
     tag_items = [F.when(F.expr(sp.where_sql), F.lit(r)) if sp.where_sql else F.lit(r) for r, sp in members]
@@ -93,10 +99,11 @@ def _tagged_rows(spark: SparkSession, sf_dir: str, members: list[tuple[int, Sour
     for r, sp in members:
         if sp.lang_sql:
             lang_col = F.when(F.col("source_rank") == r, F.expr(sp.lang_sql)).otherwise(lang_col)
-    t = base.select(F.expr(spec0.id_sql).cast("long").alias("local_id"), F.expr(spec0.text_sql).alias("raw"),
+    t = base.select(F.expr(spec0.id_sql).cast("long").alias("local_id"),
+                    F.expr(spec0.turn_sql).cast("long").alias("local_turn"), F.expr(spec0.text_sql).alias("raw"),
                     *[c for c in ("lang",) if c in base.columns],
                     F.filter(F.array(*tag_items), lambda x: x.isNotNull()).alias("_tags"))
-    t = t.select(F.explode("_tags").alias("source_rank"), "local_id", "raw",
+    t = t.select(F.explode("_tags").alias("source_rank"), *LOCAL_KEY, "raw",
                  *[c for c in ("lang",) if c in base.columns])
     if "lang" not in t.columns:
         t = t.withColumn("lang", F.lit(None).cast("string"))
@@ -129,24 +136,23 @@ def _collect(spark: SparkSession, sf_dir: str, specs: list[tuple[int, SourceSpec
         (R.matches(F.col("raw"), sp.include, True) if sp.include else F.lit(True)) &
         (~R.matches(F.col("raw"), sp.exclude, True) if sp.exclude else F.lit(True))
     ) if (sp.include or sp.exclude) else None, F.lit(True))
-    rows = rows.where(F.col("raw").isNotNull() & band)
-    rows = spread(rows).where(kw)  # after the cheap band filter: only surviving rows move
-    rows = first_wins(rows.withColumn("fp", fingerprint(F.col("raw"))), ["source_rank", "fp"], ["local_id"]).drop("fp")
+    rows = rows.where(F.col("raw").isNotNull() & band & kw)
+    rows = first_wins(rows.withColumn("fp", fingerprint(F.col("raw"))), ["source_rank", "fp"], LOCAL_KEY).drop("fp")
     rows = rows.withColumn("text", clean(F.col("raw"))).drop("raw")
     # the quota picks, the DE spill and the final join all read these rows:
     # land them once in the shared folder (each source table is scanned once;
     # only band-passing, deduplicated rows are written)
     from veilspark.operators.cascade import land
     rows = land(rows, "corpus-rows")
-    order = [F.col("local_id")]
+    order, row_key = [F.col(c) for c in LOCAL_KEY], ["source_rank", *LOCAL_KEY]
 
     def pick(sub: DataFrame, n_of, group_specs) -> DataFrame:
         # first n per source on (source_rank, local_id) only; the window limit
         # is the largest quota, the per-source quota is applied after it
         n_max = max(n_of(sp) for _, sp in group_specs)
-        ranked = first_n_per_group(sub.select("source_rank", "local_id"), ["source_rank"], order, n_max)
+        ranked = first_n_per_group(sub.select(*row_key), ["source_rank"], order, n_max)
         n_col = _per_source(rk, group_specs, lambda sp: F.lit(n_of(sp)), F.lit(0))
-        return ranked.where(F.col("pos") <= n_col).select("source_rank", "local_id")
+        return ranked.where(F.col("pos") <= n_col).select(*row_key)
 
     total = [(r, sp) for r, sp in specs if sp.lang_quotas is None or sp.lang_sql is None]
     langq = [(r, sp) for r, sp in specs if not (sp.lang_quotas is None or sp.lang_sql is None)]
@@ -159,7 +165,7 @@ def _collect(spark: SparkSession, sf_dir: str, specs: list[tuple[int, SourceSpec
         ids = pick(rows.where(rk.isin([r for r, _ in quota_total])), n_tot, quota_total)
         chosen.append(ids.withColumn("bucket_order", F.lit(0)).withColumn("bucket", F.lit(None).cast("string")))
     if open_ranks:
-        ids = rows.where(rk.isin(open_ranks)).select("source_rank", "local_id")
+        ids = rows.where(rk.isin(open_ranks)).select(*row_key)
         chosen.append(ids.withColumn("bucket_order", F.lit(0)).withColumn("bucket", F.lit(None).cast("string")))
     if langq:
         mode = {r: sp.lang_mode for r, sp in langq}
@@ -168,18 +174,17 @@ def _collect(spark: SparkSession, sf_dir: str, specs: list[tuple[int, SourceSpec
         lq = rows.where(rk.isin([r for r, _ in langq]))
         en_ids = pick(lq.where(en_ok), lambda sp: sp.lang_quotas[0], langq)
         # DE: qualifies and was not taken while the EN quota was open
-        de_rows = lq.where(de_ok).join(F.broadcast(en_ids), ["source_rank", "local_id"], "left_anti")
+        de_rows = lq.where(de_ok).join(F.broadcast(en_ids), row_key, "left_anti")
         de_ids = pick(de_rows, lambda sp: sp.lang_quotas[1], langq)
         chosen.append(en_ids.withColumn("bucket_order", F.lit(0)).withColumn("bucket", F.lit("en")))
         chosen.append(de_ids.withColumn("bucket_order", F.lit(1)).withColumn("bucket", F.lit("de")))
     ids = chosen[0]
     for c in chosen[1:]:
         ids = ids.unionByName(c)
-    out = join_small(rows.drop("lang"), ids, ["source_rank", "local_id"], "inner")
+    out = join_small(rows.drop("lang"), ids, row_key, "inner")
     label = _per_source(rk, specs, lambda sp: F.lit(sp.label), F.lit(None).cast("string"))
     name = _per_source(rk, specs, lambda sp: F.lit(sp.name), F.lit(None).cast("string"))
-    return out.select((rk.cast("long") * F.lit(ID_STRIDE) + F.col("local_id")).alias("case_id"),
-                      "local_id", "text", label.alias("label"), name.alias("source"),
+    return out.select(case_id(rk).alias("case_id"), *LOCAL_KEY, "text", label.alias("label"), name.alias("source"),
                       rk.cast("int").alias("source_rank"), F.col("bucket").alias("lang"), "bucket_order")
 
 
@@ -197,10 +202,10 @@ def union_sources(spark: SparkSession, sf_dir: str, specs: list[SourceSpec] | No
 
 def build_corpus(spark: SparkSession, sf_dir: str, specs: list[SourceSpec] | None = None) -> DataFrame:
     """Whole corpus: union -> strip -> length >= 10 -> first-wins dedup on
-    md5(stripped) by (source_rank, bucket_order, local_id)."""
+    md5(stripped) by (source_rank, bucket_order, local_id, local_turn)."""
     u = union_sources(spark, sf_dir, specs).withColumn("text", strip(F.col("text")))
     u = u.where(F.length("text") >= MIN_FINAL_CHARS).withColumn("fp", fingerprint(F.col("text")))
-    d = first_wins(u, ["fp"], ["source_rank", "bucket_order", "local_id"])
+    d = first_wins(u, ["fp"], ["source_rank", "bucket_order", *LOCAL_KEY])
     return d.select("case_id", "text", "label", "source", "source_rank", "lang", "fp")
 
 

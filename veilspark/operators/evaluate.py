@@ -129,6 +129,13 @@ def best_config(m: DataFrame, max_fpr: float | None = 20.0) -> DataFrame:
     return q.orderBy((c("fnr_pct") + c("fpr_pct") * 0.5).asc(), c("config_id").asc()).limit(1)
 
 
+def misses(pred: DataFrame, n_chars: int = 100, by=("config_id",)) -> DataFrame:
+    """every leak and false alarm as a row, with a preview of the text and
+    the method that decided."""
+    return pred.where(F.col("outcome") != "OK") \
+        .select(*by, "outcome", "case_id", preview(F.col("text"), n_chars).alias("preview"), "method")
+
+
 def leak_samples(pred: DataFrame, k: int = 10, n_chars: int = 100, by=("config_id",)) -> DataFrame:
     """first k leaks and false alarms per group in case order. The cap k
     is the feature (the reference keeps ``leaks[:10]``); row_number <= k is

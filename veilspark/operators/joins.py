@@ -1,21 +1,22 @@
-"""Joins with an explicit size check before broadcasting."""
+"""Joins with an explicit size check before broadcasting, and scan spreading.
+Both decide from the optimizer's estimates and file lists; neither runs a job."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A side is broadcast only when the optimizer's size estimate is below this.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+SCAN_NODES = {"Project", "Filter", "Union", "Relation", "LogicalRelation"}
 
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimized plan (file sizes, pruned
-    columns, filter selectivity); no job is run."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # pragma: no cover - very old/new API drift
-        return 1 << 62
+    columns, filter selectivity)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
@@ -28,17 +29,18 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     return big.join(small, on, how)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(scan: DataFrame) -> DataFrame:
     """Spread CPU-bound work (regex rules over long texts) over all cores when
-    the scan yields fewer partitions than the cluster's parallelism -- e.g. a
-    single-row-group file. Many-file inputs already have enough partitions and
-    are left alone (no extra shuffle). Partition count comes from planning,
-    not from a job."""
-    if df.isStreaming:
-        return df
-    want = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001
-        return df
-    return df.repartition(want) if have < want else df
+    a scan yields fewer partitions than the cluster's parallelism, e.g. a
+    single small file. Decided from the number and size of the files; frames
+    that are more than a scan (a join, an aggregate) are left as they are."""
+    if scan.isStreaming:
+        return scan
+    spark = scan.sparkSession
+    nodes = re.findall(r"^[\s:+-]*(\w+)", scan._jdf.queryExecution().optimizedPlan().toString(), re.M)
+    if not set(nodes) <= SCAN_NODES:
+        return scan
+    want = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    have = max(len(scan.inputFiles()), estimated_bytes(scan) // split)
+    return scan.repartition(want) if have < want else scan

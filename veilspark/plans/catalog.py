@@ -797,14 +797,13 @@ def stream_dedup(spark, sf_dir):
 
 @register("stream_window_counts",
           "SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, "
-          "count(*) AS n FROM events GROUP BY time_bucket(INTERVAL '1 day', ts), event_type "
-          "HAVING time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'")
+          "count(*) AS n FROM events GROUP BY time_bucket(INTERVAL '1 day', ts), event_type")
 def stream_window_counts(spark, sf_dir):
     return ST.stream_window_counts(spark, sf_dir)
 
 
 @register("exemplar_leakage",
-          "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+          "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)")
 def exemplar_leakage(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     items = table(spark, sf_dir, "benchmark", ["item_id", "text"])
@@ -825,11 +824,22 @@ def write_corpus_roundtrip(spark, sf_dir):
     return back.select("case_id", "label", "source", "split")
 
 
-@register("write_results", f"SELECT {_METRIC_COLS} FROM ({_METRICS_SQL})")
+_MISSES_SQL = (f"SELECT config_id, outcome, case_id, substr(text, 1, 100) AS preview, method "
+               f"FROM ({_PRED_OUT_SQL}) WHERE outcome <> 'OK'")
+
+
+@register("all_misses", _MISSES_SQL)
+def all_misses(spark, sf_dir):
+    """F7, the whole form: every leak and false alarm with the method that made it."""
+    return E.misses(predictions(spark, sf_dir, keep_text=True), 100)
+
+
+@register("write_results",
+          f"SELECT {', '.join('m.' + c.strip() for c in _METRIC_COLS.split(','))}, outcome, case_id, preview, method "
+          f"FROM ({_METRICS_SQL}) m LEFT JOIN ({_MISSES_SQL}) s ON m.config_id = s.config_id")
 def write_results(spark, sf_dir):
-    """Per-config result records written as JSON (full, with leak/false
-    alarm samples, and slim, without them), then the slim file read back."""
-    m = v4_metrics(spark, sf_dir)
-    samples = E.leak_samples(predictions(spark, sf_dir, keep_text=True), 10, 100)
-    full, slim = SK.write_results(m, samples)
-    return slim.select(*[c.strip() for c in _METRIC_COLS.split(",")])
+    """The full record (metrics, and every miss as a row of a table beside
+    them) written and read back; predictions are landed once for both."""
+    pred = K.land(predictions(spark, sf_dir, keep_text=True), "predictions")
+    metrics, misses = SK.write_results(E.metrics(E.confusion(pred)), E.misses(pred, 100))
+    return metrics.select(*[c.strip() for c in _METRIC_COLS.split(",")]).join(misses, "config_id", "left")

@@ -179,12 +179,12 @@ def metrics_sql(conf: str) -> str:
 # ------------------------------------------------------------------ corpus
 def spec_rows_sql(spec) -> str:
     if spec.first_human:
-        return (f"SELECT CAST(conv_id AS BIGINT) AS local_id, arg_min(text, turn) AS raw, "
+        return (f"SELECT CAST(conv_id AS BIGINT) AS local_id, 0::BIGINT AS local_turn, arg_min(text, turn) AS raw, "
                 f"CAST(NULL AS VARCHAR) AS lang FROM conversations WHERE role = {lit(spec.human_role)} GROUP BY conv_id")
     conds = [c for c in (spec.where_sql, f"role = {lit(spec.human_role)}" if spec.human_role else None) if c]
     where = (" WHERE " + " AND ".join(f"({c})" for c in conds)) if conds else ""
     lang = spec.lang_sql or "CAST(NULL AS VARCHAR)"
-    return (f"SELECT CAST({spec.id_sql} AS BIGINT) AS local_id, {spec.text_sql} AS raw, {lang} AS lang "
+    return (f"SELECT CAST({spec.id_sql} AS BIGINT) AS local_id, CAST({spec.turn_sql} AS BIGINT) AS local_turn, {spec.text_sql} AS raw, {lang} AS lang "
             f"FROM {spec.table}{where}")
 
 
@@ -195,21 +195,20 @@ def band_sql(col: str, lo: int, hi, inclusive: bool) -> str:
 
 
 def collect_source_sql(spec, rank: int) -> str:
-    from veilspark.operators.corpus import ID_STRIDE
     kw = ""
     if spec.include:
         kw += f" AND {rx('raw', spec.include, True)}"
     if spec.exclude:
         kw += f" AND NOT {rx('raw', spec.exclude, True)}"
-    base = (f"SELECT local_id, raw, lang FROM ({spec_rows_sql(spec)}) WHERE raw IS NOT NULL AND "
+    base = (f"SELECT local_id, local_turn, raw, lang FROM ({spec_rows_sql(spec)}) WHERE raw IS NOT NULL AND "
             f"{band_sql('raw', spec.min_len, spec.max_len, spec.inclusive)}{kw} "
-            f"QUALIFY row_number() OVER (PARTITION BY md5(raw) ORDER BY local_id) = 1")
-    cleaned = f"SELECT local_id, {clean_sql('raw')} AS text, lang FROM ({base})"
-    head = (f"SELECT CAST({rank} AS BIGINT) * {ID_STRIDE} + local_id AS case_id, local_id, text, "
+            f"QUALIFY row_number() OVER (PARTITION BY md5(raw) ORDER BY local_id, local_turn) = 1")
+    cleaned = f"SELECT local_id, local_turn, {clean_sql('raw')} AS text, lang FROM ({base})"
+    head = (f"SELECT CAST('0x' || substr(md5(concat_ws(':', {rank}, local_id, local_turn)), 1, 15) AS BIGINT) AS case_id, local_id, local_turn, text, "
             f"{lit(spec.label)} AS label, {lit(spec.name)} AS source, {rank} AS source_rank")
     if spec.lang_quotas is None or spec.lang_sql is None:
         n = spec.quota if spec.quota is not None else (sum(spec.lang_quotas) if spec.lang_quotas else None)
-        q = f" QUALIFY row_number() OVER (ORDER BY local_id) <= {n}" if n is not None else ""
+        q = f" QUALIFY row_number() OVER (ORDER BY local_id, local_turn) <= {n}" if n is not None else ""
         return f"{head}, CAST(NULL AS VARCHAR) AS lang, 0 AS bucket_order FROM ({cleaned}){q}"
     n_en, n_de = spec.lang_quotas
     if spec.lang_mode == "exact":
@@ -217,9 +216,9 @@ def collect_source_sql(spec, rank: int) -> str:
     else:
         en_ok = "(contains(lang, 'en') OR contains(lang, 'english'))"
         de_ok = "(contains(lang, 'de') OR contains(lang, 'german'))"
-    en = f"SELECT * FROM ({cleaned}) WHERE {en_ok} QUALIFY row_number() OVER (ORDER BY local_id) <= {n_en}"
-    de = (f"SELECT * FROM ({cleaned}) WHERE {de_ok} AND local_id NOT IN (SELECT local_id FROM ({en})) "
-          f"QUALIFY row_number() OVER (ORDER BY local_id) <= {n_de}")
+    en = f"SELECT * FROM ({cleaned}) WHERE {en_ok} QUALIFY row_number() OVER (ORDER BY local_id, local_turn) <= {n_en}"
+    de = (f"SELECT * FROM ({cleaned}) WHERE {de_ok} AND (local_id, local_turn) NOT IN (SELECT (local_id, local_turn) FROM ({en})) "
+          f"QUALIFY row_number() OVER (ORDER BY local_id, local_turn) <= {n_de}")
     return (f"{head}, 'en' AS lang, 0 AS bucket_order FROM ({en}) UNION ALL "
             f"{head}, 'de' AS lang, 1 AS bucket_order FROM ({de})")
 
@@ -234,7 +233,7 @@ def corpus_sql(specs=None) -> str:
     u = f"SELECT * REPLACE ({strip_sql('text')} AS text) FROM ({union_sources_sql(specs)})"
     f = f"SELECT *, md5(text) AS fp FROM ({u}) WHERE length(text) >= 10"
     return (f"SELECT case_id, text, label, source, source_rank, lang, fp FROM ({f}) "
-            f"QUALIFY row_number() OVER (PARTITION BY fp ORDER BY source_rank, bucket_order, local_id) = 1")
+            f"QUALIFY row_number() OVER (PARTITION BY fp ORDER BY source_rank, bucket_order, local_id, local_turn) = 1")
 
 
 def seeded_hash_sql(id_col: str, seed, *salt) -> str:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.operators.joins import join_small
+from veilspark.operators.joins import join_small, spread
 from veilspark.sources.tables import table
 
 
@@ -27,7 +27,7 @@ def labelled_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cases(case_id, text, label, source, source_rank, lang) =
     documents JOIN labels; labels is broadcast only if its estimated size is
     within the limit (at scale it is a regular shuffle join)."""
-    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
+    docs = spread(table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"]))
     labels = table(spark, sf_dir, "labels", ["doc_id", "toxic"])
     j = join_small(docs, labels, "doc_id", "inner")
     return j.select(F.col("doc_id").alias("case_id"), "text", gold_label(F.col("toxic")).alias("label"),

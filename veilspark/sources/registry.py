@@ -19,7 +19,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veilspark.sources.tables import table
 
@@ -35,6 +34,7 @@ class SourceSpec:
     max_len: int | None
     inclusive: bool = True
     id_sql: str = "doc_id"
+    turn_sql: str = "0"                           # second part of the id, where one is not enough
     text_sql: str = "coalesce(nullif(text, ''))"
     lang_sql: str | None = None
     where_sql: str | None = None
@@ -62,7 +62,7 @@ SOURCES: list[SourceSpec] = [
                lang_sql=LANG_SQL, lang_quotas=(200, 150)),
     SourceSpec("personal_stories", "documents", "SENSITIVE", 30, 500, where_sql=_srcs(10, 12), quota=200),
     SourceSpec("legal_posts", "documents", "SENSITIVE", 20, 500, where_sql=_srcs(13, 14), quota=150),
-    SourceSpec("assistant_personal", "conversations", "SENSITIVE", 25, 500, id_sql="conv_id * 1000 + turn",
+    SourceSpec("assistant_personal", "conversations", "SENSITIVE", 25, 500, id_sql="conv_id", turn_sql="turn",
                human_role="user", include="kw_personal", quota=200),
     SourceSpec("coding_questions", "documents", "PUBLIC", 15, 300, where_sql=_srcs(15, 19), quota=250),
     SourceSpec("factual_qa", "benchmark", "PUBLIC", 10, 300, id_sql="item_id", quota=200),
@@ -70,22 +70,12 @@ SOURCES: list[SourceSpec] = [
                human_role="user", first_human=True, quota=250),
     SourceSpec("chat_first_human", "conversations", "PUBLIC", 15, 400, inclusive=False, id_sql="conv_id",
                human_role="user", first_human=True, quota=150),
-    SourceSpec("assistant_topics", "conversations", "PUBLIC", 20, 400, id_sql="conv_id * 1000 + turn",
+    SourceSpec("assistant_topics", "conversations", "PUBLIC", 20, 400, id_sql="conv_id", turn_sql="turn",
                human_role="user", include="kw_topic", exclude="kw_first_person", quota=200),
 ]
 
-CORPUS_SCHEMA = T.StructType([
-    T.StructField("case_id", T.LongType(), False),
-    T.StructField("text", T.StringType(), True),
-    T.StructField("label", T.StringType(), False),
-    T.StructField("source", T.StringType(), False),
-    T.StructField("source_rank", T.IntegerType(), False),
-    T.StructField("lang", T.StringType(), True),
-])
-
-
 def spec_rows(spark: SparkSession, sf_dir: str, spec: SourceSpec) -> DataFrame | None:
-    """(local_id, raw, lang) rows of one source, or ``None`` when the table
+    """(local_id, local_turn, raw, lang) rows of one source, or ``None`` when the table
     is missing (A4: a missing *path* is an empty source; a failure while
     reading an existing table is not swallowed)."""
     try:
@@ -102,6 +92,7 @@ def spec_rows(spark: SparkSession, sf_dir: str, spec: SourceSpec) -> DataFrame |
     if spec.first_human:
         # The first human turn of each conversation (partial aggregation)
         return base.groupBy("conv_id").agg(F.min_by("text", "turn").alias("raw")) \
-            .select(F.col("conv_id").cast("long").alias("local_id"), "raw", F.lit(None).cast("string").alias("lang"))
-    return base.select(F.expr(spec.id_sql).cast("long").alias("local_id"),
+            .select(F.col("conv_id").cast("long").alias("local_id"), F.lit(0).cast("long").alias("local_turn"), "raw",
+                    F.lit(None).cast("string").alias("lang"))
+    return base.select(F.expr(spec.id_sql).cast("long").alias("local_id"), F.expr(spec.turn_sql).cast("long").alias("local_turn"),
                        F.expr(spec.text_sql).alias("raw"), lang.alias("lang"))

@@ -21,22 +21,15 @@ def write_corpus(corpus: DataFrame, path: str | None = None, fmt: str = "parquet
     return spark.read.format(fmt).load(path)
 
 
-def write_results(metrics: DataFrame, samples: DataFrame | None = None, path: str | None = None,
-                  by: tuple[str, ...] = ("config_id",)) -> tuple[DataFrame, DataFrame]:
-    """Full records (with first-k leak / false-alarm previews as arrays,
-    bounded by k) and slim records (without them), as JSON."""
+def write_results(metrics: DataFrame, misses: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """One record a configuration, and every miss as a row of a table
+    beside it (JSON both); the metrics alone are the slim record."""
     spark = metrics.sparkSession
     base = path or scratch_path(spark, "results")
-    full = metrics
-    if samples is not None:
-        s = samples.groupBy(*by).agg(
-            F.sort_array(F.collect_list(F.when(F.col("outcome") == "LEAK", F.struct("case_id", "preview")))).alias("leaks"),
-            F.sort_array(F.collect_list(F.when(F.col("outcome") != "LEAK", F.struct("case_id", "preview")))).alias("fps"))
-        full = metrics.join(s, list(by), "left")
-    full.write.mode("overwrite").json(f"{base}/full")
-    full.drop("leaks", "fps").write.mode("overwrite").json(f"{base}/slim")
-    schema = metrics.schema
-    return spark.read.json(f"{base}/full"), spark.read.schema(schema).json(f"{base}/slim")
+    metrics.write.mode("overwrite").json(f"{base}/metrics")
+    misses.write.mode("overwrite").json(f"{base}/misses")
+    return (spark.read.schema(metrics.schema).json(f"{base}/metrics"),
+            spark.read.schema(misses.schema).json(f"{base}/misses"))
 
 
 def write_best_config(best: DataFrame, path: str | None = None) -> DataFrame:

@@ -21,14 +21,20 @@ from veilspark.operators.classify import classify
 from veilspark.session import scratch_path
 
 
+ROUTED = "case_id long, predicted string, method string, route string"
+
+
 def read_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
+    """A stream over a table: of its folder of part files, or, where the table
+    is a single file, of that file in its parent folder."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    # a stream source is a folder: watch the table's folder, keep its files
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    batch = spark.read.parquet(path)
+    r = spark.readStream.schema(batch.schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir.rstrip("/"))
+    if any(f.rstrip("/").endswith(f"/{name}.parquet") for f in batch.inputFiles()):
+        return r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir.rstrip("/"))
+    return r.parquet(path)
 
 
 def run_available_now(df: DataFrame, name: str, output_mode: str = "append",
@@ -67,11 +73,16 @@ def stream_route(spark: SparkSession, sf_dir: str, config: dict, rule_set: str =
 
     def per_batch(b: DataFrame, batch_id: int, out: str) -> None:
         pred = K.route(K.cascade(b, [config], rule_set))
-        pred.select("case_id", "predicted", "method", "route").write.mode("append") \
-            .partitionBy("route").parquet(out)
+        write_batch(pred.select("case_id", "predicted", "method", "route"), batch_id, out)
 
     out = run_available_now(s, "stream-route", batch_fn=per_batch)
-    return spark.read.parquet(out)
+    return spark.read.schema(ROUTED).parquet(out)
+
+
+def write_batch(routed: DataFrame, batch_id: int, out: str) -> None:
+    """One folder a micro-batch, partitioned by route: a batch that is replayed
+    after a failure replaces its own folder and adds no rows."""
+    routed.write.mode("overwrite").partitionBy("route").parquet(f"{out}/batch_id={batch_id}")
 
 
 def event_time(df: DataFrame, col: str = "ts") -> DataFrame:
@@ -93,13 +104,18 @@ def stream_dedup(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> Dat
     return spark.read.parquet(run_available_now(d, "stream-dedup"))
 
 
-def stream_window_counts(spark: SparkSession, sf_dir: str, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """L4 (extension): event counts per tumbling window and type; a window is
-    emitted once the watermark (max event time - delay) passes its end."""
-    s = event_time(read_stream(spark, sf_dir, "events")).withWatermark("ts", delay)
+def stream_window_counts(spark: SparkSession, sf_dir: str, window: str = "1 day") -> DataFrame:
+    """L4 (extension): event counts per tumbling window and type. Every trigger
+    replaces the table of counts by the complete one, so windows that are still
+    open are in it too; state is one row for each window and type."""
+    s = event_time(read_stream(spark, sf_dir, "events"))
     agg = s.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    out = agg.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
-    return spark.read.parquet(run_available_now(out, "stream-windows"))
+    counts = agg.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
+
+    def replace(batch: DataFrame, batch_id: int, out: str) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    return spark.read.schema(counts.schema).parquet(run_available_now(counts, "stream-windows", "complete", batch_fn=replace))
 
 
 def winner_config() -> dict:
