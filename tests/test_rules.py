@@ -84,3 +84,15 @@ def test_fast_form_agrees_with_names(spark):
     full = {r["id"]: r["verdict"] == "SENSITIVE" for r in classify(df, "v4").collect()}
     fast = {r["id"]: r["rule_hit"] for r in classify_fast(df, "v4").collect()}
     assert full == fast
+
+
+def test_prefilters_change_no_answer(spark):
+    """A detector with its cheap test first answers as its bare pattern does."""
+    from veilspark.sources.derived import probe_text
+    extra = ["a@b.de", "a@", "call ٠١٢-٣٤٥-٦٧٨٩", "123-45-6789", "income of $, a year", "my loan is $5", "no figures", "", None]
+    rows = spark.range(400).select("id", F.lit("some words").alias("t")).select(probe_text("t", "id").alias("text"))
+    rows = rows.union(spark.createDataFrame([(t,) for t in extra], "text string"))
+    for key in [*R.NEEDS_DIGIT, *R.NEEDS]:
+        for ic in (True, False):
+            bare = F.coalesce(F.col("text").rlike(R.java_pattern(key, ic)), F.lit(False))
+            assert rows.where(bare != R.matches(F.col("text"), key, ic)).count() == 0, key

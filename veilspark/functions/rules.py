@@ -178,27 +178,49 @@ GUARDS: dict[str, tuple[str, ...]] = {
 }
 
 
+# What a text must hold for a pattern to match at all: a cheap test that spares
+# most texts the search. Every pattern not listed here or in NEEDS needs none.
+NEEDS_DIGIT = frozenset({
+    "ssn_loose", "phone_us_loose", "phone_intl", "card_wide", "iban_compact", "passport", "address_v1",
+    "dob_mmddyyyy", "dl_number", "routing_number", "account_number", "ip_address", "address_v0", "ssn_strict",
+    "card_narrow", "iban_spaced", "phone_de", "phone_us_strict"})
+NEEDS = {"email": "@", "salary_amount": "$", "first_person_dollar": "$"}
+
+
 def java_pattern(key: str, ignore_case: bool) -> str:
     return ("(?iUd)" if ignore_case else "(?Ud)") + PATTERNS[key]
 
 
-def matches(text: Column, key: str, ignore_case: bool) -> Column:
-    """Boolean detector column; null text -> false (never null)."""
-    return F.coalesce(text.rlike(java_pattern(key, ignore_case)), F.lit(False))
+def has_digit(text: Column) -> Column:
+    """A digit as ``(?U)\\d`` has it; null for a null text."""
+    return text.rlike(r"(?U)\d")
+
+
+def matches(text: Column, key: str, ignore_case: bool, digit: Column | None = None) -> Column:
+    """Boolean detector column; null text -> false (never null). ``digit`` is
+    ``has_digit(text)`` where the caller has projected it already."""
+    hit = text.rlike(java_pattern(key, ignore_case))
+    if key in NEEDS:
+        hit = F.contains(text, F.lit(NEEDS[key])) & hit
+    elif key in NEEDS_DIGIT:
+        hit = (has_digit(text) if digit is None else digit) & hit
+    return F.coalesce(hit, F.lit(False))
 
 
-def any_match(text: Column, keys: tuple[str, ...] | list[str], ignore_case: bool = True) -> Column:
+def any_match(text: Column, keys: tuple[str, ...] | list[str], ignore_case: bool = True,
+              digit: Column | None = None) -> Column:
     """OR of detectors, written first-to-last so evaluation short-circuits."""
     out = None
     for k in keys:
-        c = matches(text, k, ignore_case)
+        c = matches(text, k, ignore_case, digit)
         out = c if out is None else (out | c)
     return out if out is not None else F.lit(False)
 
 
-def hit_names(text: Column, rules: tuple[tuple[str, str], ...], ignore_case: bool) -> Column:
+def hit_names(text: Column, rules: tuple[tuple[str, str], ...], ignore_case: bool,
+              digit: Column | None = None) -> Column:
     """array<string> of the names of matching rules, in rule order."""
     return F.filter(
-        F.array(*[F.when(matches(text, key, ignore_case), F.lit(name)) for name, key in rules]),
+        F.array(*[F.when(matches(text, key, ignore_case, digit), F.lit(name)) for name, key in rules]),
         lambda x: x.isNotNull(),
     )

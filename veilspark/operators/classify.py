@@ -23,38 +23,29 @@ def guard(text: Column, kind: str) -> Column:
 
 
 def classify(df: DataFrame, rule_set: str = "v4", text_col: str = "text") -> DataFrame:
+    """Guards matter to hits alone, so they are searched for after the rules and
+    only there; rows without a digit skip the numeric rules."""
     rs = R.RULE_SETS[rule_set]
-    text = F.col(text_col)
+    text, digit = F.col(text_col), F.col("_digit")
     cols = [F.col(c) for c in df.columns]
-    df = spread(df)
-    if rs.mode == "plain":
-        m = R.hit_names(text, rs.tiers[0], rs.ignore_case)
-        step = df.select(*cols, m.alias("matches"))
-        return step.withColumn(
-            "verdict", F.when(F.size("matches") > 0, F.lit(SENSITIVE)).otherwise(F.lit(UNCERTAIN)))
-    if rs.mode == "guard_first":
-        g = R.any_match(text, rs.guards, ignore_case=True)
-        # guard first: a guard hit short-circuits the rules (CASE evaluates lazily)
-        m = F.when(g, F.array().cast("array<string>")).otherwise(R.hit_names(text, rs.tiers[0], rs.ignore_case))
-        step = df.select(*cols, m.alias("matches"))
-        return step.withColumn(
-            "verdict", F.when(F.size("matches") > 0, F.lit(SENSITIVE)).otherwise(F.lit(UNCERTAIN)))
+    step = spread(df).select(*cols, R.has_digit(text).alias("_digit"))
+    step = step.select(*cols, "_digit", R.hit_names(text, rs.tiers[0], rs.ignore_case, digit).alias("_m"))
     if rs.mode == "tiered":
-        step1 = df.select(*cols, R.hit_names(text, rs.tiers[0], rs.ignore_case).alias("_m1"))
         # context tier only when the structured tier is empty
-        m = F.when(F.size("_m1") > 0, F.col("_m1")).otherwise(
-            R.hit_names(text, rs.tiers[1], rs.ignore_case))
-        hit = F.size("_m") > 0
-        # the guards matter to hits alone: the other rows are not searched for them
-        code = F.when(hit, R.any_match(text, rs.guards, ignore_case=True)).otherwise(F.lit(False))
-        step2 = step1.select(*cols, m.alias("_m")).withColumn("_code", code)
-        return step2.select(
-            *cols,
-            F.when(hit & F.col("_code"), F.concat(F.col("_m"), F.array(F.lit(CODE_CONTEXT))))
-             .otherwise(F.col("_m")).alias("matches"),
-            F.when(hit & ~F.col("_code"), F.lit(SENSITIVE)).otherwise(F.lit(UNCERTAIN)).alias("verdict"),
-        )
-    raise ValueError(f"unknown rule-set mode {rs.mode}")
+        m = F.when(F.size("_m") > 0, F.col("_m")).otherwise(R.hit_names(text, rs.tiers[1], rs.ignore_case, digit))
+        step = step.select(*cols, m.alias("_m"))
+    elif rs.mode not in ("plain", "guard_first"):
+        raise ValueError(f"unknown rule-set mode {rs.mode}")
+    hit = F.size("_m") > 0
+    code = F.when(hit, R.any_match(text, rs.guards, ignore_case=True)).otherwise(F.lit(False))
+    step = step.select(*cols, "_m", code.alias("_code"))
+    if rs.mode == "tiered":  # the names stand, the guard is added to them
+        names = F.concat(F.col("_m"), F.array(F.lit(CODE_CONTEXT)))
+    else:
+        names = F.array().cast("array<string>")
+    return step.select(
+        *cols, F.when(F.col("_code"), names).otherwise(F.col("_m")).alias("matches"),
+        F.when(hit & ~F.col("_code"), F.lit(SENSITIVE)).otherwise(F.lit(UNCERTAIN)).alias("verdict"))
 
 
 def classify_fast(df: DataFrame, rule_set: str = "v4", text_col: str = "text") -> DataFrame:
@@ -62,9 +53,9 @@ def classify_fast(df: DataFrame, rule_set: str = "v4", text_col: str = "text") -
     rs = R.RULE_SETS[rule_set]
     text = F.col(text_col)
     keys = [k for _, k in rs.tiers[0]]
-    df = spread(df)
-    hit = ~R.any_match(text, rs.guards, True) & R.any_match(text, keys, rs.ignore_case)
-    return df.withColumn("rule_hit", hit)
+    df = spread(df).withColumn("_digit", R.has_digit(text))
+    hit = R.any_match(text, keys, rs.ignore_case, F.col("_digit")) & ~R.any_match(text, rs.guards, True)
+    return df.withColumn("rule_hit", hit).drop("_digit")
 
 
 def method_of_rules(matches: Column) -> Column:
