@@ -56,5 +56,4 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}_]+"
 
 
 def word_set(text: Column) -> Column:
-    toks = F.split(F.lower(text), TOKEN_SPLIT)
-    return F.array_distinct(F.filter(toks, lambda t: t != F.lit("")))
+    return F.array_distinct(F.array_remove(F.split(F.lower(text), TOKEN_SPLIT), ""))

@@ -7,20 +7,20 @@ example by Jaccard overlap of lower-cased word sets; zero overlap, or a tie
 at the top that includes a SENSITIVE example, fails safe to SENSITIVE. It
 makes the search runnable and checkable; its accuracy is not the model's.
 
-Scale: Jaccard is computed with an inverted index -- case words are joined
-to example words on the word (an equi-join against the bounded example table,
-<= 8 candidates x 12 examples), intersections are counted per
-(case, candidate, example); no case x example pairs are enumerated. Cases
-with no shared word simply produce no row and fall to the default.
-Driver state is the incumbent only (<= 12 examples) and one round's
-candidates (<= 8 lists); every scoring pass is a distributed job.
+Scale: all lists of a round hold few different examples (at most 12 and one
+new one a candidate). Their word sets are constants, so a case finds its overlap
+with each example, and from that its answer under each candidate list, inside
+one projection; the only shuffle is that of the counts per candidate.
+Driver state is the incumbent only (<= 12 examples), one round's candidates
+(<= 8 lists) and the examples drawn for all rounds (<= 8 a round, one pass over
+the training rows); every scoring pass is a distributed job.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,18 +69,22 @@ def slot_hash(case_id, seed: int, rnd: int, move: str, j: int):
                              case_id.cast("string")))
 
 
-def draw_replacements(train: DataFrame, moves: list[dict], rnd: int, seed: int = SEED) -> DataFrame:
-    """One pass over train: per slot, the row of the wanted label with the
-    smallest seeded hash (a partial aggregation; <= 8 rows out)."""
-    aggs = []
-    for m in moves:
-        key = F.struct(slot_hash(F.col("case_id"), seed, rnd, m["move"], m["j"]).alias("h"),
-                       F.col("case_id"), F.col("text"))
-        aggs.append(F.min(F.when(F.col("label") == m["label"], key)).alias(f"s{m['slot']}"))
-    row = train.agg(*aggs)
-    return row.select(F.explode(F.array(*[
-        F.struct(F.lit(m["slot"]).alias("slot"), F.col(f"s{m['slot']}.text").alias("text"))
-        for m in moves])).alias("r")).select("r.*")
+# (move, label, j): every replacement a round may need
+DRAWS = [(move, label, j) for move, label, n in (
+    ("swap_s", SENSITIVE, SWAPS_PER_CLASS), ("swap_p", PUBLIC, SWAPS_PER_CLASS),
+    ("add_s", SENSITIVE, 1), ("add_p", PUBLIC, 1)) for j in range(n)]
+
+
+def draw_replacements(train: DataFrame, rounds: list[int], seed: int = SEED) -> dict[tuple[int, str, int], str]:
+    """For every (round, move, j) the text of the training row of the wanted
+    label with the smallest seeded hash. They depend on nothing else, so one
+    pass over the training rows draws for all rounds; at most 8 texts a round
+    come to the driver."""
+    slots = [(rnd, move, label, j) for rnd in rounds for move, label, j in DRAWS]
+    row = train.agg(*[
+        F.min(F.when(F.col("label") == label, F.struct(slot_hash(F.col("case_id"), seed, rnd, move, j), "case_id", "text"))
+              ).getField("text").alias(f"s{n}") for n, (rnd, move, label, j) in enumerate(slots)]).first()
+    return {(rnd, move, j): row[n] for n, (rnd, move, _, j) in enumerate(slots)}
 
 
 def assemble(incumbent: list[tuple[str, str]], moves: list[dict], repl: dict[int, str]) -> list[dict]:
@@ -100,52 +104,52 @@ def assemble(incumbent: list[tuple[str, str]], moves: list[dict], repl: dict[int
     return rows
 
 
-def candidate_rows(train: DataFrame, incumbent: list[tuple[str, str]], rnd: int, seed: int = SEED) -> list[dict]:
-    """K1: candidate rows. The drawn replacements (<= 8 short rows) are the
-    only data brought to the driver."""
+def candidate_rows(incumbent: list[tuple[str, str]], rnd: int, drawn: dict[tuple[int, str, int], str],
+                   seed: int = SEED) -> list[dict]:
+    """K1: the rows of one round's candidate lists."""
     moves = candidate_moves(incumbent, rnd, seed)
-    repl = {r["slot"]: r["text"] for r in draw_replacements(train, moves, rnd, seed).collect()}
-    return assemble(incumbent, moves, repl)
+    return assemble(incumbent, moves, {m["slot"]: drawn.get((rnd, m["move"], m["j"])) for m in moves})
 
 
-def candidates(spark: SparkSession, train: DataFrame, incumbent: list[tuple[str, str]], rnd: int,
-               seed: int = SEED) -> DataFrame:
-    return spark.createDataFrame(candidate_rows(train, incumbent, rnd, seed), EXAMPLE_SCHEMA)
+def lists_of(rows: list[dict]) -> dict[int, list[tuple[str, str]]]:
+    """Example lists by candidate id."""
+    out: dict[int, list[tuple[str, str]]] = {}
+    for r in sorted(rows, key=lambda r: (r["cand_id"], r["pos"])):
+        out.setdefault(r["cand_id"], []).append((r["text"], r["label"]))
+    return out
 
 
-def examples_frame(spark: SparkSession, examples: list[tuple[str, str]], cand_id: int = 0,
-                   move: str = "incumbent") -> DataFrame:
-    return spark.createDataFrame([{"cand_id": cand_id, "move": move, "pos": i, "text": t, "label": l}
-                                  for i, (t, l) in enumerate(examples)], EXAMPLE_SCHEMA)
+def candidates(spark: SparkSession, train: DataFrame, incumbent: list[tuple[str, str]], rnd: int,
+               seed: int = SEED) -> DataFrame:
+    return spark.createDataFrame(candidate_rows(incumbent, rnd, draw_replacements(train, [rnd], seed), seed), EXAMPLE_SCHEMA)
 
 
-def standin_predict(cases: DataFrame, cands: DataFrame, cand_ids: list[int]) -> DataFrame:
+def standin_predict(cases: DataFrame, lists: dict[int, list[tuple[str, str]]]) -> DataFrame:
     """Predictions (case_id, cand_id, label, predicted) of the stand-in for
-    every case x candidate. ``cands`` is bounded (<= 8 x 12 rows) and built
-    on the driver, so its ids are known there."""
-    ex = cands.select("cand_id", "pos", F.col("label").alias("ex_label"),
-                      word_set(F.substring("text", 1, EXAMPLE_CUT)).alias("ws"))
-    ex_size = ex.select("cand_id", "pos", "ex_label", F.size("ws").alias("ex_n"))
-    ex_words = ex.select("cand_id", "pos", F.explode("ws").alias("w"))
-    fast = classify_fast(cases, "v4")
-    c = fast.select("case_id", "label", "rule_hit", word_set(F.col("text")).alias("ws"))
-    c_size = c.select("case_id", F.size("ws").alias("case_n"))
-    c_words = c.where(~F.col("rule_hit")).select("case_id", F.explode("ws").alias("w"))
-    inter = c_words.join(F.broadcast(ex_words), "w").groupBy("case_id", "cand_id", "pos") \
-        .agg(F.count(F.lit(1)).alias("inter"))
-    j = inter.join(F.broadcast(ex_size), ["cand_id", "pos"]).join(c_size, "case_id") \
-        .withColumn("jac", F.col("inter").cast("double") / (F.col("case_n") + F.col("ex_n") - F.col("inter")).cast("double"))
-    # best example per (case, candidate); at equal Jaccard SENSITIVE wins (fail-safe)
-    best = j.groupBy("case_id", "cand_id").agg(
-        F.max(F.struct("jac", (F.col("ex_label") == SENSITIVE).alias("s"))).alias("b"))
-    # each case once per candidate id: explode of the (bounded) id list
-    grid = c.select("case_id", "label", "rule_hit").withColumn(
-        "cand_id", F.explode(F.array(*[F.lit(int(i)) for i in cand_ids])))
-    out = grid.join(best, ["case_id", "cand_id"], "left")
-    pred = (F.when(F.col("rule_hit"), F.lit(SENSITIVE))
-             .when(F.col("b").isNull() | (F.col("b.jac") <= 0) | F.col("b.s"), F.lit(SENSITIVE))
-             .otherwise(F.lit(PUBLIC)))
-    return out.select("case_id", "cand_id", "label", pred.alias("predicted"))
+    every case and example list (``lists`` by candidate id: <= 9 of <= 12)."""
+    examples = sorted({e for ex in lists.values() for e in ex})
+    number = {e: i for i, e in enumerate(examples)}
+    known = F.array(*[F.struct(word_set(F.substring(F.lit(t), 1, EXAMPLE_CUT)).alias("words"),
+                               F.lit(label == SENSITIVE).alias("s")) for t, label in examples])
+    members = F.array(*[F.struct(F.lit(k).alias("cand_id"), F.array(*[F.lit(number[e]) for e in ex]).alias("of"))
+                        for k, ex in sorted(lists.items())])
+    own = classify_fast(cases, "v4").select("case_id", "label", "rule_hit", word_set(F.col("text")).alias("_own"))
+    # of a long text only the words that some example has are looked at again
+    met = own.select("case_id", "label", "rule_hit", F.size("_own").alias("_n"),
+                     F.array_intersect("_own", F.flatten(known["words"])).alias("_shared"))
+
+    def nearness(example: Column) -> Column:
+        both = F.size(F.array_intersect(F.col("_shared"), example["words"]))
+        share = both.cast("double") / (F.col("_n") + F.size(example["words"]) - both).cast("double")
+        # at equal overlap SENSITIVE wins (fail-safe)
+        return F.struct(F.when(both > 0, share).otherwise(F.lit(0.0)).alias("jac"), example["s"].alias("s"))
+
+    near = met.select("case_id", "label", "rule_hit", F.transform(known, nearness).alias("_near"))
+    best = near.select("case_id", "label", "rule_hit", F.inline(F.transform(members, lambda m: F.struct(
+        m["cand_id"].alias("cand_id"),
+        F.array_max(F.transform(m["of"], lambda i: F.get(F.col("_near"), i))).alias("_best")))))
+    safe = F.col("rule_hit") | (F.col("_best.jac") <= 0) | F.col("_best.s")
+    return best.select("case_id", "cand_id", "label", F.when(safe, F.lit(SENSITIVE)).otherwise(F.lit(PUBLIC)).alias("predicted"))
 
 
 def score(pred: DataFrame) -> DataFrame:
@@ -174,25 +178,25 @@ def search(spark: SparkSession, cases: DataFrame, seed_examples: list[tuple[str,
     test = cases.where(F.col("split") == "test").select("case_id", "text", "label")
 
     def one(ex, on):
-        return score(standin_predict(on, examples_frame(spark, ex), [0])).first().asDict()
+        return score(standin_predict(on, {0: ex})).first().asDict()
 
+    drawn = draw_replacements(train, list(range(1, rounds + 1)), seed)
     best_ex = list(seed_examples)
     best = one(best_ex, dev)
     for rnd in range(1, rounds + 1):
-        rows_c = candidate_rows(train, best_ex, rnd, seed)
-        ids = sorted({r["cand_id"] for r in rows_c})
-        cands = spark.createDataFrame(rows_c, EXAMPLE_SCHEMA)
+        lists = lists_of(candidate_rows(best_ex, rnd, drawn, seed))
         sample = seeded_sample(dev, sample_size, "case_id", seed, rnd)
-        quick = score(standin_predict(sample, cands.unionByName(examples_frame(spark, best_ex, -1)), ids + [-1]))
-        rows = {r["cand_id"]: r for r in quick.collect()}  # <= 9 rows
-        bar = rows[-1]["score"]
-        winner = min((r for k, r in rows.items() if k >= 0 and r["score"] < bar),
-                     key=lambda r: (r["score"], r["cand_id"]), default=None)
+        rows = {r["cand_id"]: r for r in score(standin_predict(sample, lists | {-1: best_ex})).collect()}  # <= 9 rows
+        winner = better(rows)
         if winner is None:
             continue
-        ex_rows = cands.where(F.col("cand_id") == winner["cand_id"]).orderBy("pos").collect()  # <= 12 rows
-        new_ex = [(r["text"], r["label"]) for r in ex_rows]
-        full = one(new_ex, dev)
+        full = one(lists[winner], dev)
         if full["score"] < best["score"]:
-            best, best_ex = full, new_ex
+            best, best_ex = full, lists[winner]
     return best_ex, best, one(best_ex, test)
+
+
+def better(rows: dict[int, Row]) -> int | None:
+    """The candidate with the least score below the incumbent's (-1), if any."""
+    less = [(r["score"], k) for k, r in rows.items() if k >= 0 and -1 in rows and r["score"] < rows[-1]["score"]]
+    return min(less)[1] if less else None

@@ -66,6 +66,48 @@ def split_holdout(df: DataFrame, id_col: str = "case_id", seed: int = 42) -> Dat
                         .otherwise(F.lit("test"))).drop("_h")
 
 
+def cut_keys(df: DataFrame, cuts: list, id_col: str, seed: int) -> DataFrame:
+    """One row, one struct (hash, id) for each of ``cuts`` (functions of the
+    total's column): the key of the row with that rank in the seeded order, null
+    for rank 0. Only ids are read; beyond the counts per bucket only the rows
+    of the buckets that hold a cut are shuffled."""
+    keyed = df.select(F.col(id_col).alias("_id"), seeded_hash(F.col(id_col), seed).alias("_h")) \
+        .withColumn("_b", F.substring("_h", 1, 4))
+    counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_b", "_c", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
+                            F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    at = offsets.select("_b", "_c", "_off", F.posexplode(F.array(*[c(F.col("_n")) for c in cuts])).alias("_i", "_k")) \
+        .where((F.col("_off") < F.col("_k")) & (F.col("_k") <= F.col("_off") + F.col("_c")))  # at most one row a cut
+    ranked = keyed.join(F.broadcast(at), "_b") \
+        .withColumn("_r", F.col("_off") + F.row_number().over(Window.partitionBy("_i").orderBy("_h", "_id")))
+    found = ranked.where(F.col("_r") == F.col("_k")).select("_i", F.struct("_h", "_id").alias("_key"))
+    return found.agg(*[F.max(F.when(F.col("_i") == i, F.col("_key"))).alias(f"k{i}") for i in range(len(cuts))])
+
+
+def label_splits(df: DataFrame, cuts: list[tuple[str, object]], last: str, id_col: str = "case_id", seed: int = 42) -> DataFrame:
+    """``df`` with ``split``: the name of the first cut whose key is not below the
+    row's, else ``last``. The same splits as by rank (J1, J2), but the rows stay
+    where they are: none is shuffled. Rows that repeat an id share a split."""
+    keys = cut_keys(df, [c for _, c in cuts], id_col, seed).select(F.struct("*")).scalar()
+    own = F.struct(seeded_hash(F.col(id_col), seed).alias("_h"), F.col(id_col).alias("_id"))
+    split = F.lit(last)
+    for i, (name, _) in reversed(list(enumerate(cuts))):
+        split = F.when(own <= keys.getField(f"k{i}"), F.lit(name)).otherwise(split)
+    return df.withColumn("split", split)
+
+
+def label_train_dev_test(df: DataFrame, id_col: str = "case_id", seed: int = 42,
+                         train: float = 0.6, dev: float = 0.8) -> DataFrame:
+    """J2 without ranks."""
+    return label_splits(df, [("train", lambda n: cut(n, train)), ("dev", lambda n: cut(n, dev))], "test", id_col, seed)
+
+
+def label_holdout(df: DataFrame, id_col: str = "case_id", seed: int = 42) -> DataFrame:
+    """J1 without ranks."""
+    return label_splits(df, [("dev", lambda n: F.floor(n / 2))], "test", id_col, seed)
+
+
 def first_n_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int,
                       rank_col: str = "pos") -> DataFrame:
     """H1 quota: first n rows per group in ``order``. For n within the

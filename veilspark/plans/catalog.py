@@ -635,7 +635,7 @@ def eval_by_subset(spark, sf_dir):
     """E4 + F10: every config on the full set and on the holdout half; the
     split column rides along the cascade (no join back), memberships are
     exploded, and all subsets are kept (not only the last)."""
-    cases = S.split_holdout(labelled_cases(spark, sf_dir), "case_id", 42)
+    cases = S.label_holdout(labelled_cases(spark, sf_dir), "case_id", 42)
     pred = K.cascade(cases, V4_CONFIGS, "v4")
     sets = F.filter(F.array(F.lit("full"), F.when(F.col("split") == "test", F.lit("holdout"))), lambda x: x.isNotNull())
     pred = pred.withColumn("eval_set", F.explode(sets))
@@ -665,7 +665,7 @@ _FS_TRAIN_SQL = f"SELECT case_id, text, label FROM ({_FS_SPLIT_SQL}) WHERE split
 
 def fewshot_cases(spark, sf_dir) -> DataFrame:
     """Labelled cases with the exact 60/20/20 split."""
-    return S.split_train_dev_test(labelled_cases(spark, sf_dir), "case_id", FS.SEED)
+    return S.label_train_dev_test(labelled_cases(spark, sf_dir), "case_id", FS.SEED)
 
 
 def _fs_train(spark, sf_dir):
@@ -740,11 +740,9 @@ def fewshot_round(spark, sf_dir):
     cases = fewshot_cases(spark, sf_dir)
     train = cases.where(F.col("split") == "train").select("case_id", "text", "label")
     dev = cases.where(F.col("split") == "dev").select("case_id", "text", "label")
-    rows = FS.candidate_rows(train, P.SEED_EXAMPLES, 1)
-    ids = sorted({r["cand_id"] for r in rows})
-    cands = spark.createDataFrame(rows, FS.EXAMPLE_SCHEMA).unionByName(FS.examples_frame(spark, P.SEED_EXAMPLES, -1))
+    lists = FS.lists_of(FS.candidate_rows(P.SEED_EXAMPLES, 1, FS.draw_replacements(train, [1])))
     sample = S.seeded_sample(dev, 100, "case_id", FS.SEED, 1)
-    return FS.score(FS.standin_predict(sample, cands, ids + [-1]))
+    return FS.score(FS.standin_predict(sample, lists | {-1: P.SEED_EXAMPLES}))
 
 
 @register("fewshot_test_score",
@@ -753,20 +751,53 @@ def fewshot_round(spark, sf_dir):
 def fewshot_test_score(spark, sf_dir):
     """K4: an example list (here the seed) scored on the held-out test split."""
     test = fewshot_cases(spark, sf_dir).where(F.col("split") == "test")
-    return FS.score(FS.standin_predict(test, FS.examples_frame(spark, P.SEED_EXAMPLES), [0]))
+    return FS.score(FS.standin_predict(test, {0: P.SEED_EXAMPLES}))
 
 
-@register("fewshot_search")
-def fewshot_search(spark, sf_dir):
-    """K3: 12 rounds of hill climbing; returns the final example list with its
-    dev and test scores (iterative: rows-only check)."""
-    ex, dev, test = FS.search(spark, fewshot_cases(spark, sf_dir), P.SEED_EXAMPLES, rounds=12)
+def search_rows(spark, sf_dir, rounds: int) -> DataFrame:
+    ex, dev, test = FS.search(spark, fewshot_cases(spark, sf_dir), P.SEED_EXAMPLES, rounds=rounds)
     rows = [(i, t, l, float(dev["score"]), float(test["score"]), float(test["fnr_pct"]), float(test["fpr_pct"]))
             for i, (t, l) in enumerate(ex)]
     return spark.createDataFrame(rows, "pos int, text string, label string, dev_score double, test_score double, "
                                        "test_fnr_pct double, test_fpr_pct double")
 
 
+_FS_ROUND1_SQL = _candidates_sql(P.SEED_EXAMPLES, 1)
+_FS_LISTS_SQL = (f"SELECT cand_id, pos, text, label FROM ({_FS_ROUND1_SQL}) "
+                 f"UNION ALL {_seed_cands_sql(P.SEED_EXAMPLES, -1)}")
+
+
+def _fs_split_sql(split: str) -> str:
+    return f"SELECT case_id, text, label FROM ({_FS_SPLIT_SQL}) WHERE split = '{split}'"
+
+
+@register("fewshot_search_one",
+          f"""WITH lists AS MATERIALIZED ({_FS_LISTS_SQL}),
+              quick AS MATERIALIZED ({_standin_score_sql(_FS_DEV_SAMPLE_SQL, 'SELECT * FROM lists')}),
+              dev AS MATERIALIZED ({_standin_score_sql(_fs_split_sql('dev'), 'SELECT * FROM lists')}),
+              test AS MATERIALIZED ({_standin_score_sql(_fs_split_sql('test'), 'SELECT * FROM lists')}),
+              winner AS (SELECT cand_id FROM quick WHERE cand_id >= 0 AND score < (SELECT score FROM quick WHERE cand_id = -1)
+                         ORDER BY score, cand_id LIMIT 1),
+              taken AS (SELECT coalesce((SELECT w.cand_id FROM winner w JOIN dev d ON w.cand_id = d.cand_id
+                                         WHERE d.score < (SELECT score FROM dev WHERE cand_id = -1)), -1) AS cand_id)
+              SELECT l.pos, l.text, l.label, dev.score AS dev_score, test.score AS test_score,
+                     test.fnr_pct AS test_fnr_pct, test.fpr_pct AS test_fpr_pct
+              FROM taken t JOIN lists l ON l.cand_id = t.cand_id JOIN dev ON dev.cand_id = t.cand_id
+              JOIN test ON test.cand_id = t.cand_id""")
+def fewshot_search_one(spark, sf_dir):
+    """K3 with one round: propose, score on the sample, verify on all of dev,
+    accept if better; the list and its scores."""
+    return search_rows(spark, sf_dir, 1)
+
+
+@register("fewshot_search")
+def fewshot_search(spark, sf_dir):
+    """K3: 12 rounds of hill climbing; returns the final example list with its
+    dev and test scores (iterative: rows-only check; the tests hold it against
+    a plain twin)."""
+    return search_rows(spark, sf_dir, 12)
+
+
 # ----------------------------------------------------- L: streaming, X1
 from veilspark.operators.leakage import contained_passages  # noqa: E402
 from veilspark.streaming import stream as ST  # noqa: E402
