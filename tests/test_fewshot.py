@@ -9,7 +9,7 @@ from veilspark.operators import fewshot as FS
 from veilspark.operators import splits as S
 
 NOUNS = ["tax", "dog", "river", "loan", "doctor", "garden", "train", "novel"]
-SEED_LIST = [("my loan is late", "SENSITIVE"), ("the river is long", "PUBLIC")]
+SEED_LIST = [("the number", "SENSITIVE"), ("my river", "PUBLIC")]
 
 
 def rows():
