@@ -184,6 +184,27 @@ def configs_frame(spark, configs: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(c[f.name] for f in CONFIG_SCHEMA.fields) for c in configs], CONFIG_SCHEMA)
 
 
+MOST_CONFIGS = 1000
+
+
+def configs_of(table: DataFrame) -> list[dict]:
+    """Configurations read from a table (E3): ``config_id, model, prompt_name,
+    system, template`` and optionally ``max_tokens``; endpoint, limit and name
+    follow from them. A grid is a parameter table: more than ``MOST_CONFIGS``
+    rows are refused, none is left out."""
+    rows = table.limit(MOST_CONFIGS + 1).collect()
+    if len(rows) > MOST_CONFIGS:
+        raise ValueError(f"more than {MOST_CONFIGS} configurations")
+    out = []
+    for r in sorted((r.asDict() for r in rows), key=lambda r: r["config_id"]):
+        default = MAX_TOKENS_THINKING if r["model"] in CHAT_MODELS else MAX_TOKENS_DEFAULT
+        out.append({"config_id": r["config_id"], "model": r["model"], "endpoint": endpoint_for(r["model"]),
+                    "prompt_name": r["prompt_name"], "system": r["system"], "template": r["template"],
+                    "max_tokens": r.get("max_tokens") or default,
+                    "name": f"{r['model']}{MODEL_FAMILY_SEPARATOR}{r['prompt_name']}"})
+    return out
+
+
 def model_family(name: Column) -> Column:
     """Model part of a legacy run name "model | prompt" (B12)."""
     return F.split_part(name, F.lit(MODEL_FAMILY_SEPARATOR), F.lit(1))

@@ -106,6 +106,11 @@ DETECTORS: dict[str, tuple[str, bool]] = {
     "named_relation": ("named_relation_v1", True),
     "confession": ("confession", True),
     "first_person_dollar": ("first_person_dollar", True),
+    "address_v0": ("address_v0", True),
+    "possessive_health_narrow": ("possessive_health_narrow", True),
+    "possessive_financial_narrow": ("possessive_financial_narrow", True),
+    "possessive_legal_narrow": ("possessive_legal_narrow", True),
+    "named_relation_v0": ("named_relation_v0", True),
 }
 
 

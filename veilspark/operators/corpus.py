@@ -21,12 +21,13 @@ from veilspark.functions import rules as R
 from veilspark.functions.text import clean, fingerprint, strip
 from veilspark.operators.joins import join_small, spread
 from veilspark.operators.splits import first_n_per_group
-from veilspark.sources.registry import SOURCES, SourceSpec, spec_rows
+from veilspark.sources.registry import SOURCES, SourceSpec, existing_table, spec_rows
 from veilspark.sources.tables import table
 
 # a row of a source: documents have turn 0
 LOCAL_KEY = ["local_id", "local_turn"]
 MIN_FINAL_CHARS = 10
+MOST_BROADCAST_IDS = 1_000_000
 
 
 def case_id(rank: Column) -> Column:
@@ -76,7 +77,7 @@ def _scan_groups(specs: list[tuple[int, SourceSpec]]) -> dict:
     """Specs that read the same table the same way share one scan."""
     groups: dict = {}
     for rank, spec in specs:
-        key = (spec.table, spec.first_human, spec.id_sql, spec.turn_sql, spec.text_sql, spec.human_role)
+        key = (spec.table, spec.other_tables, spec.first_human, spec.id_sql, spec.turn_sql, spec.text_sql, spec.human_role)
         groups.setdefault(key, []).append((rank, spec))
     return groups
 
@@ -91,7 +92,7 @@ def _tagged_rows(spark: SparkSession, sf_dir: str, members: list[tuple[int, Sour
     if spec0.first_human:
         tags = F.array(*[F.lit(r) for r, _ in members])
         return rows.select(F.explode(tags).alias("source_rank"), *LOCAL_KEY, "raw", "lang")
-    base = spread(table(spark, sf_dir, spec0.table))
+    base = spread(table(spark, sf_dir, existing_table(spark, sf_dir, spec0)))
     if spec0.human_role:
         base = base.where(F.col("role") == spec0.human_role)
     tag_items = [F.when(F.expr(sp.where_sql), F.lit(r)) if sp.where_sql else F.lit(r) for r, sp in members]
@@ -188,6 +189,19 @@ def _collect(spark: SparkSession, sf_dir: str, specs: list[tuple[int, SourceSpec
                       rk.cast("int").alias("source_rank"), F.col("bucket").alias("lang"), "bucket_order")
 
 
+def collect(df: DataFrame, ids: list[str], text: Column, label: str, n: int, keep: Column | None = None,
+            lo: int = 25, hi: int = 500) -> DataFrame:
+    """C7 over any DataFrame and Columns: rows that ``keep`` holds for and whose
+    text lies in the band, the first of equal texts, cleaned, the first ``n`` in
+    the order of ``ids`` (a quota, so a feature)."""
+    rows = df.where(keep) if keep is not None else df
+    rows = rows.select(*ids, text.alias("raw")).where(F.col("raw").isNotNull() & length_band(F.col("raw"), lo, hi))
+    first = first_wins(rows.select(*ids, fingerprint(F.col("raw")).alias("fp")), ["fp"], ids).orderBy(*ids).limit(n)
+    # at most n ids come back to the texts
+    chosen = F.broadcast(first.select(*ids)) if n <= MOST_BROADCAST_IDS else first.select(*ids)
+    return rows.join(chosen, ids, "left_semi").select(*ids, clean(F.col("raw")).alias("text"), F.lit(label).alias("label"))
+
+
 def collect_source(spark: SparkSession, sf_dir: str, spec: SourceSpec, rank: int) -> DataFrame | None:
     """One source's contribution (text cleaned, not yet stripped)."""
     return _collect(spark, sf_dir, [(rank, spec)])

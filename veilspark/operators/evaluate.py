@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.answers import PUBLIC, SENSITIVE
+from veilspark.functions.answers import PUBLIC, SENSITIVE, normalise_label
 from veilspark.functions.text import preview
 
 
@@ -89,15 +89,29 @@ def combined_scores(m: DataFrame) -> DataFrame:
                     (c("fnr_pct") * F.lit(2.0) + c("fpr_pct")).alias("score_double_fnr"))
 
 
+def outcome_utility(label: Column, predicted: Column, hit: float = 1.0, leak: float = -2.0,
+                    false_alarm: float = 0.0) -> Column:
+    """M3: a metric as a Column. The answer is normalised first (B14), so raw
+    scorer output may be given; what cannot be read counts as SENSITIVE."""
+    answer = normalise_label(F.coalesce(predicted, F.lit("")))
+    return (F.when(answer == label, F.lit(hit)).when((label == SENSITIVE) & (answer == PUBLIC), F.lit(leak))
+             .otherwise(F.lit(false_alarm)))
+
+
+def mean_utility(pred: DataFrame, metrics: dict[str, Column], by=("config_id",)) -> DataFrame:
+    """The mean of each given metric per group, and the group's size."""
+    sums = pred.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(name) for name, c in metrics.items()])
+    return sums.select(*by, "n", *[(F.col(name) / F.col("n").cast("double")).alias(name) for name in metrics])
+
+
 def weighted_utility(pred: DataFrame, by=("config_id",)) -> DataFrame:
     """hit 1, leak -2, false alarm 0, averaged; plus plain accuracy."""
-    lab, prd = F.col("label"), F.col("predicted")
-    u = F.when(prd == lab, F.lit(1.0)).when((lab == SENSITIVE) & (prd == PUBLIC), F.lit(-2.0)).otherwise(F.lit(0.0))
-    return pred.groupBy(*by).agg(F.sum(u).alias("utility_sum"), F.count(F.lit(1)).alias("n"),
-                                 F.count_if(prd == lab).alias("hits")) \
-        .select(*by, "utility_sum", "n", "hits",
-                (F.col("utility_sum") / F.col("n").cast("double")).alias("weighted_utility"),
-                (F.col("hits").cast("double") / F.col("n").cast("double")).alias("plain_accuracy"))
+    label, answer = F.col("label"), F.col("predicted")
+    sums = pred.groupBy(*by).agg(F.sum(outcome_utility(label, answer)).alias("utility_sum"), F.count(F.lit(1)).alias("n"),
+                                 F.count_if(normalise_label(answer) == label).alias("hits"))
+    return sums.select(*by, "utility_sum", "n", "hits",
+                       (F.col("utility_sum") / F.col("n").cast("double")).alias("weighted_utility"),
+                       (F.col("hits").cast("double") / F.col("n").cast("double")).alias("plain_accuracy"))
 
 
 def leaderboard(m: DataFrame, order: str) -> DataFrame:
@@ -121,11 +135,14 @@ def leaderboard(m: DataFrame, order: str) -> DataFrame:
     return out
 
 
-def best_config(m: DataFrame, max_fpr: float | None = 20.0) -> DataFrame:
-    """H6: among fpr < max_fpr, min fnr + 0.5*fpr; ties -> lowest config_id
+def best_config(m: DataFrame, max_fpr: float | Column | None = 20.0) -> DataFrame:
+    """H6: among fpr < max_fpr (a number, or a column of the metrics table), min fnr + 0.5*fpr; ties -> lowest config_id
     (Python ``min`` keeps the first); no row if none qualifies."""
     c = F.col
-    q = m if max_fpr is None else m.where(c("fpr_pct") < max_fpr)
+    if max_fpr is None:
+        q = m
+    else:
+        q = m.withColumn("_max", F.lit(max_fpr)).where(c("fpr_pct") < c("_max")).drop("_max")
     return q.orderBy((c("fnr_pct") + c("fpr_pct") * 0.5).asc(), c("config_id").asc()).limit(1)
 
 

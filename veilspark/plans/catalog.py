@@ -823,7 +823,8 @@ def stream_route(spark, sf_dir):
 @register("stream_dedup",
           "SELECT DISTINCT md5(concat_ws('|', CAST(user_id AS VARCHAR), event_type, props)) AS fp FROM events")
 def stream_dedup(spark, sf_dir):
-    return ST.stream_dedup(spark, sf_dir).select("fp").distinct()
+    """All repeats lie within the delay asked for, so each row has a fingerprint of its own."""
+    return ST.stream_dedup(spark, sf_dir, "10000 days").select("fp")
 
 
 @register("stream_window_counts",
@@ -874,3 +875,124 @@ def write_results(spark, sf_dir):
     pred = K.land(predictions(spark, sf_dir, keep_text=True), "predictions")
     metrics, misses = SK.write_results(E.metrics(E.confusion(pred)), E.misses(pred, 100))
     return metrics.select(*[c.strip() for c in _METRIC_COLS.split(",")]).join(misses, "config_id", "left")
+
+
+# ------------------------------------- rules on probe text: every rule can hit
+for _rs in ("v0", "v1", "v2", "v3", "v4"):
+    register(f"classify_probe_{_rs}",
+             f"SELECT doc_id, verdict, array_to_string(matches, ',') AS matches "
+             f"FROM ({O.classify_select(_rs, '(' + PROBE_DOCS_SQL + ')')})")(
+        (lambda rs: lambda spark, sf_dir: C.classify(probe_documents(spark, sf_dir), rs).select(
+            "doc_id", "verdict", F.array_join("matches", ",").alias("matches")))(_rs))
+    register(f"rule_hit_counts_{_rs}",
+             f"SELECT rule, count(*) AS hits FROM (SELECT unnest(matches) AS rule FROM "
+             f"({O.classify_select(_rs, '(' + PROBE_DOCS_SQL + ')')})) GROUP BY rule")(
+        (lambda rs: lambda spark, sf_dir: E.rule_hit_counts(C.classify(probe_documents(spark, sf_dir), rs)))(_rs))
+
+
+_EVENT_PROBE_SQL = f"SELECT ts, {probe_text_sql('props', 'event_id')} AS text FROM events"
+
+
+@register("stream_verdict_counts",
+          f"""WITH c AS ({O.classify_select('v4', '(' + _EVENT_PROBE_SQL + ')')}),
+              k AS (SELECT ts, 'verdict:' || verdict AS kind FROM c
+                    UNION ALL SELECT ts, 'rule:' || unnest(matches) AS kind FROM c)
+              SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, kind, count(*) AS n
+              FROM k GROUP BY time_bucket(INTERVAL '1 day', ts), kind""")
+def stream_verdict_counts(spark, sf_dir):
+    """L4: verdicts and rule hits per day over the events' properties as messages."""
+    events = ST.event_time(ST.read_stream(spark, sf_dir, "events"))
+    return ST.stream_verdict_counts(events.select("ts", probe_text("props", "event_id").alias("text")))
+
+
+# ----------------------- metrics as parameters, tables of configurations, A4/A8
+_UTILITY = ("CASE WHEN a = label THEN 1.0::DOUBLE WHEN label = 'SENSITIVE' AND a = 'PUBLIC' THEN {leak}::DOUBLE "
+            "ELSE {alarm}::DOUBLE END")
+_NORMAL_SQL = ("CASE WHEN contains(upper(trim(coalesce(raw, ''))), 'SENSITIVE') THEN 'SENSITIVE' "
+               "WHEN contains(upper(trim(coalesce(raw, ''))), 'PUBLIC') THEN 'PUBLIC' ELSE 'SENSITIVE' END")
+
+
+@register("utility_by_metric",
+          f"""SELECT config_id, count(*) AS n,
+              sum({_UTILITY.format(leak='-2.0', alarm='0.0')}) / CAST(count(*) AS DOUBLE) AS leaks_weigh_two,
+              sum({_UTILITY.format(leak='-1.0', alarm='-0.5')}) / CAST(count(*) AS DOUBLE) AS alarms_cost_too
+              FROM (SELECT config_id, label, {_NORMAL_SQL} AS a FROM
+                    (SELECT c.label, cfg.config_id, {_RAW} AS raw FROM ({O.CASES}) c CROSS JOIN {O.config_values(V4_CONFIGS)}))
+              GROUP BY config_id""")
+def utility_by_metric(spark, sf_dir):
+    """M3 + B14: two metrics over raw scorer answers, normalised on the way."""
+    rows = P.with_configs(labelled_cases(spark, sf_dir).select("text", "label"), V4_CONFIGS, ("config_id",))
+    raw = A.standin_answer(F.col("config_id"), F.col("text"))[0]
+    rows = rows.select("config_id", "label", raw.alias("raw"))
+    label, answer = F.col("label"), F.col("raw")
+    return E.mean_utility(rows, {"leaks_weigh_two": E.outcome_utility(label, answer),
+                                 "alarms_cost_too": E.outcome_utility(label, answer, 1.0, -1.0, -0.5)})
+
+
+WHOLE_GRID = P.default_configs(P.MODELS, [p["prompt_name"] for p in P.PROMPTS])
+_WHOLE_METRICS_SQL = O.metrics_sql(O.confusion_sql(O.cascade_sql(WHOLE_GRID)))
+
+
+@register("metrics_of_configs_table", f"SELECT {_METRIC_COLS} FROM ({_WHOLE_METRICS_SQL})")
+def metrics_of_configs_table(spark, sf_dir):
+    """Every model with every prompt, the reframed one without its examples
+    too, as a table of configurations that the run reads."""
+    grid = K.land(P.configs_frame(spark, WHOLE_GRID).select("config_id", "model", "prompt_name", "system", "template"), "configs")
+    pred = predictions(spark, sf_dir, configs=P.configs_of(grid))
+    return E.metrics(E.confusion(pred)).select(*[c.strip() for c in _METRIC_COLS.split(",")])
+
+
+@register("write_best_config",
+          f"SELECT m.config_id, cfg.model, cfg.prompt_name, m.accuracy_pct, m.fnr_pct, m.fpr_pct, m.avg_latency_ms "
+          f"FROM (SELECT *, avg(fpr_pct) OVER () AS mean_fpr FROM ({_METRICS_SQL})) m "
+          f"JOIN {_CFG_VALUES} ON m.config_id = cfg.config_id WHERE m.fpr_pct < m.mean_fpr "
+          f"ORDER BY m.fnr_pct + m.fpr_pct * 0.5, m.config_id LIMIT 1")
+def write_best_config(spark, sf_dir):
+    """A8 + H6: the best of the configurations with fewer false alarms than the
+    mean (a bound that some meet and some do not), written and read back."""
+    from pyspark.sql import Window
+    mean = F.avg("fpr_pct").over(Window.partitionBy())  # one row a configuration
+    best = E.best_config(v4_metrics(spark, sf_dir), mean)
+    cfg = P.configs_frame(spark, V4_CONFIGS).select("config_id", "model", "prompt_name")
+    return SK.write_best_config(best.join(F.broadcast(cfg), "config_id").select(
+        "config_id", "model", "prompt_name", "accuracy_pct", "fnr_pct", "fpr_pct", "avg_latency_ms"))
+
+
+@register("collect_columns",
+          f"""SELECT doc_id, {O.clean_sql('text')} AS text, 'PUBLIC' AS label FROM
+              (SELECT doc_id, text FROM documents WHERE lang = 'en' AND length(text) BETWEEN 25 AND 500
+               QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1)
+              ORDER BY doc_id LIMIT 60""")
+def collect_columns(spark, sf_dir):
+    """C7 over a DataFrame and Columns."""
+    d = table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    return CO.collect(d, ["doc_id"], F.col("text"), "PUBLIC", 60, F.col("lang") == "en")
+
+
+from dataclasses import replace as _with  # noqa: E402
+
+STATUS_SOURCES = [*SOURCES, _with(SOURCES[3], name="legal_elsewhere", table="legal_posts", other_tables=("posts", "documents")),
+                  _with(SOURCES[3], name="legal_nowhere", table="legal_posts"),
+                  _with(SOURCES[3], name="legal_none", where_sql="source = 'none'")]
+
+
+def _status_sql() -> str:
+    parts = []
+    for sp in STATUS_SOURCES:
+        if sp.name == "legal_nowhere":
+            parts.append(f"SELECT '{sp.name}' AS source, CAST(NULL AS VARCHAR) AS table_read, 'missing' AS status, 0::BIGINT AS n_rows")
+            continue
+        read = sp.other_tables[-1] if sp.other_tables else sp.table
+        ok = "fallback" if sp.other_tables else "ok"
+        parts.append(f"SELECT '{sp.name}' AS source, '{read}' AS table_read, "
+                     f"CASE WHEN count(*) > 0 THEN '{ok}' ELSE 'empty' END AS status, count(*) AS n_rows "
+                     f"FROM ({O.spec_rows_sql(_with(sp, table=read))})")
+    return " UNION ALL ".join(parts)
+
+
+@register("source_status", _status_sql())
+def source_status(spark, sf_dir):
+    """A4 + M5: what every source read, with a source whose table is missing,
+    one read from another table, and one without rows."""
+    from veilspark.sources.registry import source_status as status_of
+    return status_of(spark, sf_dir, STATUS_SOURCES)

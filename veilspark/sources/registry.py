@@ -15,8 +15,9 @@ applied as one total quota (documented deviation).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,7 @@ class SourceSpec:
     first_human: bool = False                     # first human turn per conversation (C8)
     include: str | None = None                    # keyword pattern key (C5)
     exclude: str | None = None                    # keyword pattern key (C6)
+    other_tables: tuple[str, ...] = ()            # read instead, in this order, where ``table`` is missing (A4)
 
 
 def _srcs(lo: int, hi: int) -> str:
@@ -74,16 +76,45 @@ SOURCES: list[SourceSpec] = [
                human_role="user", include="kw_topic", exclude="kw_first_person", quota=200),
 ]
 
+
+def existing_table(spark: SparkSession, sf_dir: str, spec: SourceSpec) -> str | None:
+    """The first of the spec's tables that exists (A4). Only a missing *path*
+    counts as absent; a failure while reading an existing table is raised."""
+    for name in (spec.table, *spec.other_tables):
+        try:
+            table(spark, sf_dir, name)
+            return name
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return None
+
+
+def source_status(spark: SparkSession, sf_dir: str, specs: list[SourceSpec] | None = None) -> DataFrame:
+    """M5: what each source read: ``source, table_read, status, n_rows``. Status is
+    ``ok``, ``fallback`` (another table than the first), ``empty`` or ``missing``."""
+    out = None
+    for spec in specs or SOURCES:
+        name = existing_table(spark, sf_dir, spec)
+        found = F.lit("ok" if name == spec.table else "fallback")
+        if name is None:
+            one = spark.range(1).select(F.lit(spec.name).alias("source"), F.lit(None).cast("string").alias("table_read"),
+                                        F.lit("missing").alias("status"), F.lit(0).cast("long").alias("n_rows"))
+        else:
+            one = spec_rows(spark, sf_dir, replace(spec, table=name)).agg(F.count(F.lit(1)).alias("n_rows")) \
+                .select(F.lit(spec.name).alias("source"), F.lit(name).alias("table_read"),
+                        F.when(F.col("n_rows") > 0, found).otherwise(F.lit("empty")).alias("status"), "n_rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def spec_rows(spark: SparkSession, sf_dir: str, spec: SourceSpec) -> DataFrame | None:
     """(local_id, local_turn, raw, lang) rows of one source, or ``None`` when the table
-    is missing (A4: a missing *path* is an empty source; a failure while
-    reading an existing table is not swallowed)."""
-    try:
-        base = table(spark, sf_dir, spec.table)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-            return None
-        raise
+    and its alternatives are missing (A4: an empty source)."""
+    name = existing_table(spark, sf_dir, spec)
+    if name is None:
+        return None
+    base = table(spark, sf_dir, name)
     if spec.where_sql:
         base = base.where(F.expr(spec.where_sql))
     if spec.human_role:

@@ -118,6 +118,23 @@ def stream_window_counts(spark: SparkSession, sf_dir: str, window: str = "1 day"
     return spark.read.schema(counts.schema).parquet(run_available_now(counts, "stream-windows", "complete", batch_fn=replace))
 
 
+def stream_verdict_counts(messages: DataFrame, window: str = "1 day", rule_set: str = "v4") -> DataFrame:
+    """L4: per tumbling window of ``messages(ts, text)``, a stream, the messages
+    of each verdict and the hits of each rule; open windows included."""
+    found = classify(messages, rule_set)
+    kinds = F.concat(F.array(F.concat(F.lit("verdict:"), F.col("verdict"))),
+                     F.transform("matches", lambda m: F.concat(F.lit("rule:"), m)))
+    agg = found.select("ts", F.explode(kinds).alias("kind")).groupBy(F.window("ts", window).alias("w"), "kind") \
+        .agg(F.count(F.lit(1)).alias("n"))
+    counts = agg.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "kind", "n")
+
+    def replace(batch: DataFrame, batch_id: int, out: str) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    out = run_available_now(counts, "stream-verdicts", "complete", batch_fn=replace)
+    return messages.sparkSession.read.schema(counts.schema).parquet(out)
+
+
 def winner_config() -> dict:
     """The configuration the router serves (v4 winner: llama3.2:3b, prompt G)."""
     return next(c for c in P.default_configs() if c["model"] == "llama3.2:3b" and c["prompt_name"].startswith("G:"))
