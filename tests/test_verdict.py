@@ -77,3 +77,47 @@ def test_landed_tables_can_be_removed(spark):
     assert session.clean_scratch(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_every_rule_of_every_set_hits_on_probe_text(spark):
+    from veilspark.functions import rules as R
+    for name, rs in R.RULE_SETS.items():
+        got = {r["rule"] for r in catalog.QUERIES[f"rule_hit_counts_{name}"](spark, "/root/testdata/sf0.01").collect()}
+        assert {n for tier in rs.tiers for n, _ in tier} <= got, name
+
+
+def test_source_read_elsewhere_or_nowhere(spark, tmp_path):
+    from veilspark.sources.registry import source_status, spec_rows
+    spark.createDataFrame([(1, "a text of some length"), (2, "another one")], "doc_id long, text string").write.parquet(f"{tmp_path}/new.parquet")
+    first = SourceSpec("first", "old", "PUBLIC", 5, 500, other_tables=("older", "new"))
+    none = SourceSpec("none", "old", "PUBLIC", 5, 500, other_tables=("older",))
+    got = {r["source"]: tuple(r)[1:] for r in source_status(spark, str(tmp_path), [first, none]).collect()}
+    assert got == {"first": ("new", "fallback", 2), "none": (None, "missing", 0)}
+    assert spec_rows(spark, str(tmp_path), none) is None
+    assert CO.build_corpus(spark, str(tmp_path), [none, first]).count() == 2
+
+
+def test_generic_collector(spark):
+    rows = [(3, "x" * 30), (1, "x" * 30), (2, "short"), (4, "  two\n words" + "y" * 30), (5, None), (6, "z" * 501), (7, "w" * 40)]
+    df = spark.createDataFrame(rows, "id long, body string")
+    got = CO.collect(df, ["id"], F.col("body"), "PUBLIC", 2, F.col("id") != 7).collect()
+    assert {r["id"]: r["text"] for r in got} == {1: "x" * 30, 4: "two words" + "y" * 30}
+
+
+def test_configurations_from_a_table(spark, monkeypatch):
+    from veilspark.functions import prompts as P
+    grid = P.default_configs(P.MODELS, [p["prompt_name"] for p in P.PROMPTS])
+    frame = P.configs_frame(spark, grid)
+    assert P.configs_of(frame) == grid
+    assert P.configs_of(frame.drop("max_tokens", "endpoint", "name")) == grid
+    monkeypatch.setattr(P, "MOST_CONFIGS", len(grid) - 1)
+    with pytest.raises(ValueError, match="configurations"):
+        P.configs_of(frame)
+
+
+def test_metric_is_a_parameter_and_answers_are_normalised(spark):
+    from veilspark.operators import evaluate as E
+    rows = [("SENSITIVE", " public "), ("PUBLIC", "I say SENSITIVE"), ("PUBLIC", "public"), ("SENSITIVE", None)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "config_id int, label string, raw string")
+    own = E.outcome_utility(F.col("label"), F.col("raw"), 1.0, -5.0, -1.0)
+    assert E.mean_utility(df, {"own": own}).first()["own"] == (-5 - 1 + 1 + 1) / 4

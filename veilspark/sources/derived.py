@@ -25,10 +25,10 @@ def planted_sql(id_col: str) -> str:
         f"concat('tax id ', {_d(f'({i} * 7919) % 1000000000', 9)})",
         f"concat('IBAN DE', {_d(f'{i} % 100', 2)}, ' 3704 0044 ', {_d(f'{i} % 10000', 4)}, ' 1320 13')",
         f"concat('iban GB', {_d(f'{i} % 100', 2)}, 'NWBK', {_d(f'({i} * 13) % 10000000', 7)}, 'X1')",
-        f"concat('ruf an 0', CAST(170 + {i} % 9 AS STRING), ' ', {_d(f'({i} * 7) % 100000000', 8)})",
+        f"concat('ruf an 0', CAST(170 + {i} % 9 AS STRING), ' ', {_d(f'({i} * 7) % 100000000', 8)}, ' oder an u', CAST({i} AS STRING), '@post.org')",
         f"concat('call +', CAST(1 + {i} % 98 AS STRING), ' ', CAST(100 + {i} % 900 AS STRING), ' ', {_d(f'{i} % 10000000', 7)})",
         f"concat('passport ', CASE WHEN {i} % 40 < 20 THEN 'X' ELSE 'ab' END, {_d(f'({i} * 3) % 10000000', 7)})",
-        f"concat('I live at ', CAST(1 + {i} % 9999 AS STRING), ' Maple Grove Terrace')",
+        f"concat('I live at ', CAST(1 + {i} % 9999 AS STRING), ' Maple Grove ', CASE WHEN {i} % 40 < 20 THEN 'Street' ELSE 'Terrace' END)",
         f"concat('born ', {_d(f'1 + {i} % 12', 2)}, '/', {_d(f'{i} % 31', 2)}, '/19', {_d(f'{i} % 100', 2)})",
         f"concat('DL-AB', CAST(10 + {i} % 90 AS STRING), '-', {_d(f'{i} % 100000', 5)}, '-', {_d(f'{i} % 100', 2)})",
         f"concat('routing number ', {_d(f'({i} * 101) % 1000000000', 9)}, ' and account no. ', {_d(f'{i} % 100000000', 8)})",
