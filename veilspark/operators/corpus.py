@@ -66,9 +66,12 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def language_bucket(lang: Column, mode: str = "substring") -> tuple[Column, Column]:
     """(EN-eligible, DE-eligible). ``substring`` reproduces the reference
-    (any tag containing "en" counts as English); ``exact`` is the tag test."""
+    (any tag containing "en" counts as English); ``exact`` is the one tag;
+    ``tags`` takes the tag, its regional forms and the language's name."""
     if mode == "exact":
         return lang == "en", lang == "de"
+    if mode == "tags":
+        return lang.isin("en", "english") | lang.startswith("en-"), lang.isin("de", "german") | lang.startswith("de-")
     return (F.contains(lang, F.lit("en")) | F.contains(lang, F.lit("english")),
             F.contains(lang, F.lit("de")) | F.contains(lang, F.lit("german")))
 
@@ -214,10 +217,21 @@ def union_sources(spark: SparkSession, sf_dir: str, specs: list[SourceSpec] | No
     return _collect(spark, sf_dir, list(enumerate(specs, start=1)))
 
 
-def build_corpus(spark: SparkSession, sf_dir: str, specs: list[SourceSpec] | None = None) -> DataFrame:
+def build_corpus(spark: SparkSession, sf_dir: str, specs: list[SourceSpec] | None = None,
+                 labelled: DataFrame | None = None) -> DataFrame:
     """Whole corpus: union -> strip -> length >= 10 -> first-wins dedup on
-    md5(stripped) by (source_rank, bucket_order, local_id, local_turn)."""
-    u = union_sources(spark, sf_dir, specs).withColumn("text", strip(F.col("text")))
+    md5(stripped) by (source_rank, bucket_order, local_id, local_turn).
+    ``labelled`` (case_id, text, label) are case sets that already have labels;
+    they come last, as a source without band or quota (A5, J8)."""
+    u = union_sources(spark, sf_dir, specs)
+    if labelled is not None:
+        rank = F.lit(len(specs or SOURCES) + 1)
+        rows = labelled.select(F.col("case_id").cast("long").alias("local_id"), F.lit(0).cast("long").alias("local_turn"), "text", "label")
+        rows = rows.select(case_id(rank).alias("case_id"), *LOCAL_KEY, "text", "label", F.lit("labelled").alias("source"),
+                           rank.cast("int").alias("source_rank"), F.lit(None).cast("string").alias("lang"),
+                           F.lit(0).alias("bucket_order"))
+        u = rows if u is None else u.unionByName(rows)
+    u = u.withColumn("text", strip(F.col("text")))
     u = u.where(F.length("text") >= MIN_FINAL_CHARS).withColumn("fp", fingerprint(F.col("text")))
     d = first_wins(u, ["fp"], ["source_rank", "bucket_order", *LOCAL_KEY])
     return d.select("case_id", "text", "label", "source", "source_rank", "lang", "fp")

@@ -224,13 +224,17 @@ _LANG = "lower(coalesce(nullif(lang, ''), ''))"
 @register("language_bucket",
           f"SELECT doc_id, lang, (contains({_LANG}, 'en') OR contains({_LANG}, 'english')) AS en_ok, "
           f"(contains({_LANG}, 'de') OR contains({_LANG}, 'german')) AS de_ok, "
-          f"{_LANG} = 'en' AS en_exact, {_LANG} = 'de' AS de_exact FROM documents")
+          f"{_LANG} = 'en' AS en_exact, {_LANG} = 'de' AS de_exact, "
+          f"{_LANG} IN ('en', 'english') OR starts_with({_LANG}, 'en-') AS en_tag, "
+          f"{_LANG} IN ('de', 'german') OR starts_with({_LANG}, 'de-') AS de_tag FROM documents")
 def language_bucket(spark, sf_dir):
     from veilspark.sources.registry import LANG_SQL
     d = table(spark, sf_dir, "documents", ["doc_id", "lang"]).withColumn("_l", F.expr(LANG_SQL))
     en, de = CO.language_bucket(F.col("_l"), "substring")
     en_x, de_x = CO.language_bucket(F.col("_l"), "exact")
-    return d.select("doc_id", "lang", en.alias("en_ok"), de.alias("de_ok"), en_x.alias("en_exact"), de_x.alias("de_exact"))
+    en_t, de_t = CO.language_bucket(F.col("_l"), "tags")
+    return d.select("doc_id", "lang", en.alias("en_ok"), de.alias("de_ok"), en_x.alias("en_exact"), de_x.alias("de_exact"),
+                    en_t.alias("en_tag"), de_t.alias("de_tag"))
 
 
 @register("role_filter", "SELECT conv_id, turn, CAST(length(text) AS INTEGER) AS n_chars FROM conversations WHERE role = 'user'")
@@ -996,3 +1000,25 @@ def source_status(spark, sf_dir):
     one read from another table, and one without rows."""
     from veilspark.sources.registry import source_status as status_of
     return status_of(spark, sf_dir, STATUS_SOURCES)
+
+
+@register("build_corpus_labelled", f"SELECT case_id, label, source, lang, fp FROM ({O.corpus_sql(labelled=O.CASES)})")
+def build_corpus_labelled(spark, sf_dir):
+    """A5 + J8: the ten sources, then the labelled cases."""
+    corpus = CO.build_corpus(spark, sf_dir, labelled=labelled_cases(spark, sf_dir))
+    return corpus.select("case_id", "label", "source", "lang", "fp")
+
+
+@register("write_routed", f"SELECT case_id, predicted, CASE WHEN predicted = 'PUBLIC' THEN 'cloud' ELSE 'local' END AS route "
+                          f"FROM ({O.cascade_sql([_WINNER])})")
+def write_routed(spark, sf_dir):
+    """Batch routing, written by route and read back."""
+    return SK.write_routed(K.route(predictions(spark, sf_dir, configs=[_WINNER])).select("case_id", "predicted", "route"))
+
+
+@register("fewshot_balanced_score",
+          _standin_score_sql(_fs_split_sql("test"), _seed_cands_sql(P.SEED_DEMOS_BALANCED, 0)))
+def fewshot_balanced_score(spark, sf_dir):
+    """K5: the balanced starting examples on the held-out test split."""
+    test = fewshot_cases(spark, sf_dir).where(F.col("split") == "test")
+    return FS.score(FS.standin_predict(test, {0: P.SEED_DEMOS_BALANCED}))

@@ -229,8 +229,19 @@ def union_sources_sql(specs=None) -> str:
     return " UNION ALL ".join(f"({collect_source_sql(s, i)})" for i, s in enumerate(specs, start=1))
 
 
-def corpus_sql(specs=None) -> str:
-    u = f"SELECT * REPLACE ({strip_sql('text')} AS text) FROM ({union_sources_sql(specs)})"
+def case_id_sql(rank: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', {rank}, local_id, local_turn)), 1, 15) AS BIGINT)"
+
+
+def corpus_sql(specs=None, labelled: str | None = None) -> str:
+    from veilspark.sources.registry import SOURCES
+    union = union_sources_sql(specs)
+    if labelled is not None:
+        rank = len(specs or SOURCES) + 1
+        union += (f" UNION ALL (SELECT {case_id_sql(str(rank))} AS case_id, local_id, local_turn, text, label, 'labelled' AS source, "
+                  f"{rank} AS source_rank, CAST(NULL AS VARCHAR) AS lang, 0 AS bucket_order "
+                  f"FROM (SELECT case_id AS local_id, 0::BIGINT AS local_turn, text, label FROM ({labelled})))")
+    u = f"SELECT * REPLACE ({strip_sql('text')} AS text) FROM ({union})"
     f = f"SELECT *, md5(text) AS fp FROM ({u}) WHERE length(text) >= 10"
     return (f"SELECT case_id, text, label, source, source_rank, lang, fp FROM ({f}) "
             f"QUALIFY row_number() OVER (PARTITION BY fp ORDER BY source_rank, bucket_order, local_id, local_turn) = 1")

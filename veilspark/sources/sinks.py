@@ -38,3 +38,11 @@ def write_best_config(best: DataFrame, path: str | None = None) -> DataFrame:
     path = path or scratch_path(spark, "best")
     best.write.mode("overwrite").json(path)
     return spark.read.schema(best.schema).json(path)
+
+
+def write_routed(routed: DataFrame, path: str | None = None) -> DataFrame:
+    """Routed messages, one folder a route."""
+    spark = routed.sparkSession
+    path = path or scratch_path(spark, "routed")
+    routed.write.mode("overwrite").partitionBy("route").parquet(path)
+    return spark.read.schema(routed.schema).parquet(path)
