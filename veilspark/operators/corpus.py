@@ -22,7 +22,6 @@ from veilspark.functions.text import clean, fingerprint, strip
 from veilspark.operators.joins import join_small, spread
 from veilspark.operators.splits import first_n_per_group
 from veilspark.sources.registry import SOURCES, SourceSpec, existing_table, spec_rows
-from veilspark.sources.tables import table
 
 # a row of a source: documents have turn 0
 LOCAL_KEY = ["local_id", "local_turn"]
@@ -89,13 +88,14 @@ def _tagged_rows(spark: SparkSession, sf_dir: str, members: list[tuple[int, Sour
     """One scan for all ``members``; each row is tagged with every source
     (source_rank) whose predicate it satisfies -> (source_rank, local_id, raw, lang)."""
     rank0, spec0 = members[0]
-    rows = spec_rows(spark, sf_dir, spec0.__class__(**{**spec0.__dict__, "where_sql": None, "lang_sql": None}))
-    if rows is None:
-        return None
     if spec0.first_human:
+        rows = spec_rows(spark, sf_dir, spec0.__class__(**{**spec0.__dict__, "where_sql": None, "lang_sql": None}))
         tags = F.array(*[F.lit(r) for r, _ in members])
-        return rows.select(F.explode(tags).alias("source_rank"), *LOCAL_KEY, "raw", "lang")
-    base = spread(table(spark, sf_dir, existing_table(spark, sf_dir, spec0)))
+        return None if rows is None else rows.select(F.explode(tags).alias("source_rank"), *LOCAL_KEY, "raw", "lang")
+    _, base = existing_table(spark, sf_dir, spec0)
+    if base is None:
+        return None
+    base = spread(base)
     if spec0.human_role:
         base = base.where(F.col("role") == spec0.human_role)
     tag_items = [F.when(F.expr(sp.where_sql), F.lit(r)) if sp.where_sql else F.lit(r) for r, sp in members]

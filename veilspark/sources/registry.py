@@ -77,17 +77,17 @@ SOURCES: list[SourceSpec] = [
 ]
 
 
-def existing_table(spark: SparkSession, sf_dir: str, spec: SourceSpec) -> str | None:
-    """The first of the spec's tables that exists (A4). Only a missing *path*
-    counts as absent; a failure while reading an existing table is raised."""
+def existing_table(spark: SparkSession, sf_dir: str, spec: SourceSpec) -> tuple[str | None, DataFrame | None]:
+    """Name and rows of the first of the spec's tables that exists (A4). Only a
+    missing *path* counts as absent; a failure while reading an existing table
+    is raised."""
     for name in (spec.table, *spec.other_tables):
         try:
-            table(spark, sf_dir, name)
-            return name
+            return name, table(spark, sf_dir, name)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-    return None
+    return None, None
 
 
 def source_status(spark: SparkSession, sf_dir: str, specs: list[SourceSpec] | None = None) -> DataFrame:
@@ -95,7 +95,7 @@ def source_status(spark: SparkSession, sf_dir: str, specs: list[SourceSpec] | No
     ``ok``, ``fallback`` (another table than the first), ``empty`` or ``missing``."""
     out = None
     for spec in specs or SOURCES:
-        name = existing_table(spark, sf_dir, spec)
+        name, _ = existing_table(spark, sf_dir, spec)
         found = F.lit("ok" if name == spec.table else "fallback")
         if name is None:
             one = spark.range(1).select(F.lit(spec.name).alias("source"), F.lit(None).cast("string").alias("table_read"),
@@ -111,10 +111,9 @@ def source_status(spark: SparkSession, sf_dir: str, specs: list[SourceSpec] | No
 def spec_rows(spark: SparkSession, sf_dir: str, spec: SourceSpec) -> DataFrame | None:
     """(local_id, local_turn, raw, lang) rows of one source, or ``None`` when the table
     and its alternatives are missing (A4: an empty source)."""
-    name = existing_table(spark, sf_dir, spec)
-    if name is None:
+    _, base = existing_table(spark, sf_dir, spec)
+    if base is None:
         return None
-    base = table(spark, sf_dir, name)
     if spec.where_sql:
         base = base.where(F.expr(spec.where_sql))
     if spec.human_role:
