@@ -1,25 +1,29 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Texts are cut into lower-case alphanumeric tokens. A spaced seed is a mask over
-a window of ``SPAN`` tokens that hashes some positions and ignores the others,
-so a substituted word in an ignored position does not hide a copied passage.
-Benchmark windows are hashed under every mask and joined with the windows of
-the training texts. Around each hit the two windows are compared token by
-token; agreeing positions are united along the diagonal (same offset between
-document and item), and a document holds an item if on one diagonal at least
-``min_overlap`` of the item's tokens agree.
-
-All masks share their first positions (``ANCHOR``), whose hash filters the
-windows of the corpus before masks are applied: a document's window costs one
-lookup, and only those that may hit are carried on. The benchmark's seed table
-is broadcast if its landed size is within the checked limit; beyond that the
-same joins run shuffled. No text is shuffled and no pair of documents formed.
+Texts are cut into lower-case alphanumeric tokens. A spaced seed hashes three
+tokens at most ``REACH`` apart and ignores those between, so substituted words
+do not hide a copied passage. All ten such masks are used: of half of an item's
+tokens, wherever they lie, three are always that near to each other (tokens 0
+and 1, 5 and 6, 10 and 11 of 12 are the worst case), so no item that agrees in
+half of its tokens is missed at any place of the substitutions. For a
+``min_overlap`` under one half this does not hold.
+
+Benchmark seeds are joined with those of the training texts. Hits only name a
+document, an item and a diagonal (the offset between them); where there are as
+many as ``min_overlap`` implies at least (``least_seeds``), the whole item is
+compared with the document's tokens along that diagonal. A document holds an
+item if on one diagonal at least ``min_overlap`` of the item's tokens agree.
+
+The first two tokens of a seed filter the windows of the corpus before the
+third is taken. The benchmark's tables are broadcast if their landed size is
+within the checked limit; beyond that the same joins run shuffled. Texts are
+read again for documents with such diagonals. No pair of documents is formed.
 
 Defined cases: null texts and ids are read as empty text and as an id of their
-own; a document shorter than a mask holds nothing; items with fewer tokens
-than ``SPAN`` are too short to be evidence and are never reported; repeated
-documents or items give one row per distinct pair of ids; empty tables give
-empty results; extra columns are ignored (``without_leaks`` keeps them).
+own; a document of fewer tokens than a seed holds nothing; items with fewer
+tokens than ``SPAN`` are too short to be evidence and are never reported;
+repeated documents or items give one row per distinct pair of ids; empty tables
+give empty results; extra columns are ignored (``without_leaks`` keeps them).
 """
 
 from __future__ import annotations
@@ -32,8 +36,7 @@ from veilspark.operators.joins import join_small
 from .common import land, whole_text
 
 SPAN = 10
-ANCHOR = (0, 1, 3)
-MASKS = ((0, 1, 3, 4, 8), (0, 1, 3, 6, 7), (0, 1, 3, 5, 9))
+REACH = 5
 MIN_OVERLAP = 0.5
 
 
@@ -42,28 +45,57 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def windows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each token: ``keys``, ``_at`` and the ``SPAN`` tokens from there
+def document_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), whole_text())
+
+
+def windows(rows: DataFrame, keys: list[str], width: int = REACH + 1) -> DataFrame:
+    """A row for each token: ``keys``, ``_at`` and the ``width`` tokens from there
     on as ``_t0``.. (null past the end)."""
     tokens = F.col("_tokens")
-    shifted = [F.slice(tokens, k + 1, F.greatest(F.size(tokens) - k, F.lit(0))).alias(f"_t{k}") for k in range(SPAN)]
+    shifted = [F.slice(tokens, k + 1, F.greatest(F.size(tokens) - k, F.lit(0))).alias(f"_t{k}") for k in range(width)]
     at = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
     return rows.select(*keys, F.inline(F.arrays_zip(at.alias("_at"), *shifted)))
 
 
-def hash_of(positions: tuple[int, ...]) -> Column:
-    return F.xxhash64(*[f"_t{p}" for p in positions])
+def pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each window and second position but the last: its ``_pair`` hash."""
+    made = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"_t{i}").alias("_ti"),
+                              F.when(F.col(f"_t{i}").isNotNull(), F.xxhash64(F.lit(i), "_t0", f"_t{i}")).alias("_pair")) for i in range(1, REACH)])
+    return rows.select(*keys, "_at", *[f"_t{k}" for k in range(REACH + 1)], F.inline(made)).where(F.col("_pair").isNotNull())
 
 
-def complete(positions: tuple[int, ...]) -> Column:
-    return F.col(f"_t{max(positions)}").isNotNull()
+def seeds(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each of ``pairs`` and third position after the second: ``keys, _at, _seed``."""
+    made = F.array(*[F.when((F.col("_i") < j) & F.col(f"_t{j}").isNotNull(), F.xxhash64(F.lit(j), "_i", "_t0", "_ti", f"_t{j}"))
+                     for j in range(2, REACH + 1)])
+    return rows.select(*keys, "_at", F.explode(made).alias("_seed")).where(F.col("_seed").isNotNull())
 
 
-def seeds(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each window and mask: ``keys, _at, _window, _mask, _seed``."""
-    made = F.array(*[F.struct(F.lit(m).alias("_mask"), F.when(complete(p), hash_of(p)).alias("_seed")) for m, p in enumerate(MASKS)])
-    return (rows.select(*keys, "_at", F.array(*[f"_t{k}" for k in range(SPAN)]).alias("_window"), F.inline(made))
-            .where(F.col("_seed").isNotNull()))
+def least_seeds(tokens: Column, min_overlap: float) -> Column:
+    """Seeds that ``min_overlap`` of an item's tokens hold on a diagonal, wherever they
+    lie: k of n positions fill the n + REACH windows of REACH + 1 with 6 k, so these
+    hold 6 k - 2 (n + 5) triples or more, and a triple is in four windows at most."""
+    agreeing = F.ceil(min_overlap * tokens - 1e-9)
+    return F.greatest(F.lit(1), F.ceil((6 * agreeing - 2 * (tokens + REACH)) / 4)).cast("long")
+
+
+def along_diagonals(docs: DataFrame, items: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``doc_id, _text, item_id, item_tokens, _diagonal, _agree``: for each row of
+    ``candidates(_doc, _item, item_tokens, _diagonal)`` the whole item compared with the
+    document's tokens, as a string of 1 and 0 by position in the item."""
+    asked = candidates.groupBy("_doc").agg(F.collect_list(F.struct("_item", "item_tokens", "_diagonal")).alias("_asked"))
+    asked = land(asked, "diagonals")
+    read = docs.select("doc_id", whole_text().alias("text"), document_key().alias("_doc"))
+    read = join_small(read, asked, "_doc").select("doc_id", F.xxhash64("text").alias("_text"), token_hashes(F.col("text")).alias("_all"), "_asked")
+
+    def part(c: Column) -> Column:
+        own = F.transform(F.sequence(F.lit(0), c["item_tokens"] - 1), lambda i: F.get("_all", c["_diagonal"] + i))
+        return F.struct(c["_item"].alias("_item"), c["_diagonal"].alias("_diagonal"), own.alias("_own"))
+
+    parts = read.select("doc_id", "_text", F.inline(F.transform("_asked", part)))
+    agree = F.transform(F.arrays_zip(F.col("_own").alias("a"), F.col("_tokens").alias("b")), lambda p: F.when(p["a"] == p["b"], "1").otherwise("0"))
+    return join_small(parts, items, "_item").select("doc_id", "_text", "item_id", "item_tokens", "_diagonal", F.array_join(agree, "").alias("_agree"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVERLAP) -> DataFrame:
@@ -71,27 +103,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_O
     for each row of ``docs(doc_id, text)`` and item found in it the best
     diagonal. ``_text`` (a hash) tells rows with one id apart."""
     items = (benchmark.select("item_id", token_hashes(whole_text()).alias("_tokens"))
-             .where(F.size("_tokens") >= SPAN).withColumn("item_tokens", F.size("_tokens")))
-    known = windows(items, ["item_id", "item_tokens"])
-    known = land(seeds(known.withColumn("_anchor", hash_of(ANCHOR)), ["item_id", "item_tokens", "_anchor"]), "seeds")
-    anchors = known.select("_anchor").distinct()
-    known = known.select("item_id", "item_tokens", F.col("_at").alias("_item_at"), F.col("_window").alias("_item_window"), "_mask", "_seed")
-
-    read = docs.select("doc_id", F.xxhash64(whole_text()).alias("_text"), token_hashes(whole_text()).alias("_tokens"))
-    near = windows(read, ["doc_id", "_text"]).where(complete(ANCHOR)).withColumn("_anchor", hash_of(ANCHOR))
-    near = join_small(near, anchors, "_anchor", "left_semi")
-    hits = join_small(seeds(near, ["doc_id", "_text"]), known, ["_mask", "_seed"])
-
-    agree = F.filter(F.transform(F.arrays_zip(F.col("_window").alias("a"), F.col("_item_window").alias("b")),
-                                 lambda p, i: F.when(p["a"] == p["b"], F.col("_item_at") + i)), lambda i: i.isNotNull())
-    along = hits.select("doc_id", "_text", "item_id", "item_tokens", (F.col("_at") - F.col("_item_at")).alias("_diagonal"),
-                        F.explode(agree).alias("_place")).distinct()
-    best = (along.groupBy("doc_id", "_text", "item_id", "item_tokens", "_diagonal")
-            .agg(F.count(F.lit(1)).alias("matched"), F.min("_place").alias("_first"))
-            .where(F.col("matched") >= min_overlap * F.col("item_tokens"))
+             .where(F.size("_tokens") >= SPAN).withColumn("item_tokens", F.size("_tokens"))
+             .withColumn("_item", F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("-")), "_tokens")))
+    items = land(items.dropDuplicates(["_item"]), "items")
+    own = ["_item", "item_tokens"]
+    known = land(pairs(windows(items, own), own), "pairs")
+    read = docs.select(document_key().alias("_doc"), token_hashes(whole_text()).alias("_tokens"))
+    near = join_small(pairs(windows(read, ["_doc"]), ["_doc"]), known.select("_pair").distinct(), "_pair", "left_semi")
+    known = seeds(known, own).withColumnRenamed("_at", "_item_at").withColumn("_least", least_seeds(F.col("item_tokens"), min_overlap))
+    hits = join_small(seeds(near, ["_doc"]), land(known, "seeds"), "_seed")
+    candidates = (hits.groupBy("_doc", "_item", "item_tokens", "_least", (F.col("_at") - F.col("_item_at")).alias("_diagonal"))
+                  .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= F.col("_least")))
+
+    found = along_diagonals(docs, items, candidates)
+    found = found.withColumn("matched", F.char_length(F.replace("_agree", F.lit("0"), F.lit(""))).cast("long"))
+    best = (found.where(F.col("matched") >= min_overlap * F.col("item_tokens"))
+            .withColumn("_first", F.col("_diagonal") + F.instr("_agree", "1") - 1)
             .groupBy("doc_id", "_text", "item_id")
-            .agg(F.max(F.struct("matched", -(F.col("_diagonal") + F.col("_first")), "item_tokens")).alias("_best")))
-    return best.select("doc_id", "_text", "item_id", (-F.col("_best")["col2"]).cast("long").alias("first_token"),
+            .agg(F.max(F.struct("matched", (-F.col("_first")).alias("_back"), "item_tokens")).alias("_best")))
+    return best.select("doc_id", "_text", "item_id", (-F.col("_best")["_back"]).cast("long").alias("first_token"),
                        F.col("_best")["matched"].alias("matched"), F.col("_best")["item_tokens"].cast("long").alias("item_tokens"),
                        (F.col("_best")["matched"] / F.col("_best")["item_tokens"]).alias("overlap"))
 
