@@ -12,7 +12,15 @@ Benchmark seeds are joined with those of the training texts. Hits only name a
 document, an item and a diagonal (the offset between them); where there are as
 many as ``min_overlap`` implies at least (``least_seeds``), the whole item is
 compared with the document's tokens along that diagonal. A document holds an
-item if on one diagonal at least ``min_overlap`` of the item's tokens agree.
+item of ``SPAN`` tokens or more
+
+* if on one diagonal at least ``min_overlap`` of the item's tokens agree,
+* if on one diagonal ``RUN`` consecutive tokens agree, however long the item is,
+* or if runs of ``PIECE`` tokens or more, on diagonals at most the item's length
+  apart, make up ``min_overlap`` of it: a copy with words put in or left out.
+
+A shorter item is held where its whole token sequence is found. Letters of
+scripts without spaces between words are tokens of their own.
 
 The first two tokens of a seed filter the windows of the corpus before the
 third is taken. The benchmark's tables are broadcast if their landed size is
@@ -20,9 +28,7 @@ within the checked limit; beyond that the same joins run shuffled. Texts are
 read again for documents with such diagonals. No pair of documents is formed.
 
 Defined cases: null texts and ids are read as empty text and as an id of their
-own; a document of fewer tokens than a seed holds nothing; items with fewer
-tokens than ``SPAN`` are too short to be evidence and are never reported;
-repeated documents or items give one row per distinct pair of ids; empty tables
+own; texts without tokens hold nothing and are held by nothing; repeated documents or items give one row per distinct pair of ids; empty tables
 give empty results; extra columns are ignored (``without_leaks`` keeps them).
 """
 
@@ -38,10 +44,16 @@ from .common import land, whole_text
 SPAN = 10
 REACH = 5
 MIN_OVERLAP = 0.5
+RUN = 13
+PIECE = 5
+#: Seeds of a run of PIECE tokens: each diagonal with one is compared.
+PIECE_SEEDS = 10
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def token_hashes(text: Column) -> Column:
-    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    apart = F.when(F.regexp_like(text, F.lit(UNSPACED)), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text)
+    words = F.array_remove(F.split(F.lower(apart), r"[^\p{L}\p{N}]+"), "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
@@ -72,12 +84,21 @@ def seeds(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "_at", F.explode(made).alias("_seed")).where(F.col("_seed").isNotNull())
 
 
+def whole_seeds(rows: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
+    """A row for each window and length of short items: ``keys, _at, _seed``."""
+    made = F.array(*[F.struct(F.lit(n).alias("_length"), F.when(F.col(f"_t{n - 1}").isNotNull(), F.xxhash64(F.lit(-n), *[f"_t{k}" for k in range(n)])).alias("_seed"))
+                     for n in lengths])
+    return rows.select(*keys, "_at", F.inline(made)).where(F.col("_seed").isNotNull())
+
+
 def least_seeds(tokens: Column, min_overlap: float) -> Column:
     """Seeds that ``min_overlap`` of an item's tokens hold on a diagonal, wherever they
     lie: k of n positions fill the n + REACH windows of REACH + 1 with 6 k, so these
-    hold 6 k - 2 (n + 5) triples or more, and a triple is in four windows at most."""
+    hold 6 k - 2 (n + 5) triples or more, and a triple is in four windows at most. A
+    run of ``PIECE`` tokens has ``PIECE_SEEDS``."""
     agreeing = F.ceil(min_overlap * tokens - 1e-9)
-    return F.greatest(F.lit(1), F.ceil((6 * agreeing - 2 * (tokens + REACH)) / 4)).cast("long")
+    least = F.greatest(F.lit(1), F.ceil((6 * agreeing - 2 * (tokens + REACH)) / 4))
+    return F.least(least, F.lit(PIECE_SEEDS)).cast("long")
 
 
 def along_diagonals(docs: DataFrame, items: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -98,29 +119,58 @@ def along_diagonals(docs: DataFrame, items: DataFrame, candidates: DataFrame) ->
     return join_small(parts, items, "_item").select("doc_id", "_text", "item_id", "item_tokens", "_diagonal", F.array_join(agree, "").alias("_agree"))
 
 
+def nearby_pieces(found: DataFrame) -> DataFrame:
+    """``doc_id, _text, item_id, item_tokens, matched, _first``: for each document and
+    item the tokens in runs of ``PIECE`` or more on nearby diagonals, each counted
+    once in the item and in the document. Diagonals are put in stretches of twice
+    the item's length that overlap by half, so those at most its length apart meet."""
+    starts = F.filter(F.sequence(F.lit(0), F.col("item_tokens") - PIECE), lambda i: F.substr("_agree", i + 1, F.lit(PIECE)) == "1" * PIECE)
+    places = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + PIECE - 1))))
+    stretch = F.floor(F.col("_diagonal") / F.col("item_tokens"))
+    runs = found.where(F.col("_agree").contains("1" * PIECE)).withColumn("_place", F.explode(places))
+    runs = runs.withColumn("_stretch", F.explode(F.array(stretch, stretch - 1)))
+    own = ["doc_id", "_text", "item_id", "item_tokens", "_stretch"]
+    in_item = runs.groupBy(*own, "_place").agg(F.min(F.col("_diagonal") + F.col("_place")).alias("_first")).groupBy(*own).agg(
+        F.count(F.lit(1)).alias("_of_item"), F.min("_first").alias("_first"))
+    in_doc = runs.select(*own, (F.col("_diagonal") + F.col("_place")).alias("_at")).distinct().groupBy(*own).agg(F.count(F.lit(1)).alias("_of_doc"))
+    met = in_item.alias("i").join(in_doc.alias("d"), [F.col(f"i.{c}").eqNullSafe(F.col(f"d.{c}")) for c in own])
+    return met.select(*[f"i.{c}" for c in own[:-1]], F.least("_of_item", "_of_doc").alias("matched"), "_first")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVERLAP) -> DataFrame:
     """``doc_id, _text, item_id, first_token, matched, item_tokens, overlap``:
     for each row of ``docs(doc_id, text)`` and item found in it the best
-    diagonal. ``_text`` (a hash) tells rows with one id apart."""
+    diagonal, or nearby diagonals together where these hold more. ``_text`` (a
+    hash) tells rows with one id apart."""
     items = (benchmark.select("item_id", token_hashes(whole_text()).alias("_tokens"))
-             .where(F.size("_tokens") >= SPAN).withColumn("item_tokens", F.size("_tokens"))
+             .where(F.size("_tokens") > 0).withColumn("item_tokens", F.size("_tokens"))
              .withColumn("_item", F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("-")), "_tokens")))
     items = land(items.dropDuplicates(["_item"]), "items")
+    lengths = sorted(r["item_tokens"] for r in items.where(F.col("item_tokens") < SPAN).select("item_tokens").distinct().collect())
     own = ["_item", "item_tokens"]
-    known = land(pairs(windows(items, own), own), "pairs")
+    known = land(pairs(windows(items.where(F.col("item_tokens") >= SPAN), own), own), "pairs")
     read = docs.select(document_key().alias("_doc"), token_hashes(whole_text()).alias("_tokens"))
     near = join_small(pairs(windows(read, ["_doc"]), ["_doc"]), known.select("_pair").distinct(), "_pair", "left_semi")
     known = seeds(known, own).withColumnRenamed("_at", "_item_at").withColumn("_least", least_seeds(F.col("item_tokens"), min_overlap))
     hits = join_small(seeds(near, ["_doc"]), land(known, "seeds"), "_seed")
     candidates = (hits.groupBy("_doc", "_item", "item_tokens", "_least", (F.col("_at") - F.col("_item_at")).alias("_diagonal"))
-                  .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= F.col("_least")))
-
-    found = along_diagonals(docs, items, candidates)
+                  .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= F.col("_least")).select("_doc", *own, "_diagonal"))
+    if lengths:
+        short = whole_seeds(windows(items.where(F.col("item_tokens") < SPAN), own, lengths[-1]), own, lengths)
+        short = land(short.where(F.col("_length") == F.col("item_tokens")).select("_seed", *own), "short-seeds")
+        of_docs = whole_seeds(windows(read, ["_doc"], lengths[-1]), ["_doc"], lengths).drop("_length")
+        candidates = candidates.unionByName(join_small(of_docs, short, "_seed").groupBy("_doc", *own).agg(F.min("_at").alias("_diagonal")))
+
+    found = land(along_diagonals(docs, items, candidates), "compared")
     found = found.withColumn("matched", F.char_length(F.replace("_agree", F.lit("0"), F.lit(""))).cast("long"))
-    best = (found.where(F.col("matched") >= min_overlap * F.col("item_tokens"))
-            .withColumn("_first", F.col("_diagonal") + F.instr("_agree", "1") - 1)
+    enough = F.col("matched") >= min_overlap * F.col("item_tokens")
+    one = (found.where(F.when(F.col("item_tokens") < SPAN, F.col("matched") == F.col("item_tokens")).otherwise(enough | F.col("_agree").contains("1" * RUN)))
+           .withColumn("_first", F.col("_diagonal") + F.instr("_agree", "1") - 1))
+    some = nearby_pieces(found.where(F.col("item_tokens") >= SPAN)).where(enough)
+    columns = ["doc_id", "_text", "item_id", "item_tokens", "matched", "_first"]
+    best = (one.select(*columns, F.lit(1).alias("_one")).unionByName(some.select(*columns, F.lit(0).alias("_one")))
             .groupBy("doc_id", "_text", "item_id")
-            .agg(F.max(F.struct("matched", (-F.col("_first")).alias("_back"), "item_tokens")).alias("_best")))
+            .agg(F.max(F.struct("matched", "_one", (-F.col("_first")).alias("_back"), "item_tokens")).alias("_best")))
     return best.select("doc_id", "_text", "item_id", (-F.col("_best")["_back"]).cast("long").alias("first_token"),
                        F.col("_best")["matched"].alias("matched"), F.col("_best")["item_tokens"].cast("long").alias("item_tokens"),
                        (F.col("_best")["matched"] / F.col("_best")["item_tokens"]).alias("overlap"))
