@@ -12,10 +12,12 @@ banded, verified by weighted Jaccard similarity.
 3. Improved consistent weighted sampling draws ``ROWS * BANDS`` samples a text;
    two texts agree in one with probability equal to their weighted Jaccard
    similarity. Texts that agree in a whole band share a bucket.
-4. In each bucket every text is linked to one of them (its least id), which is
-   linear in the bucket's size, and links whose samples agree in too few places
-   are dropped. Connected components of these links are families: sets within
-   which near-duplicates can lie.
+4. In each bucket every text is compared with one of them (its least id) and
+   linked to it if their samples agree in enough places. Where one fails, the
+   least id may be a third text that shares only a passage: then all the texts
+   of the bucket, but those almost equal to the least id, are compared with
+   each other by their samples, in square blocks. Connected components of these
+   links are families: sets within which near-duplicates can lie.
 5. Inside a family all pairs are verified exactly, in square blocks of at most
    about ``2 * BLOCK`` texts, by the weights their shingles share. A block gives
    back a spanning forest of its similar pairs, never the pairs. Components of
@@ -50,6 +52,10 @@ ROWS, BANDS = 3, 8
 SAMPLES = ROWS * BANDS
 #: Samples that a link needs to agree in; at similarity 0.8 fewer are met once in 10^5 pairs.
 AGREE = 11
+#: Samples in which a text stands for another: whoever agrees with one agrees with both (two may differ).
+SAME = 22
+POOL = 512
+PARTS = 1024
 BUCKETS = 1 << 16
 SMOOTHING = 0.1
 BLOCK = 256
@@ -172,17 +178,70 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return rows.mapInArrow(draw, "id string, doc_id long, samples array<int>")
 
 
+def spanning(alike: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric relation."""
+    left, links = np.ones(len(alike), bool), []
+    for start in range(len(alike)):
+        stack = [start] if left[start] else []
+        left[start] = False
+        while stack:
+            i = stack.pop()
+            new = np.flatnonzero(alike[i] & left)
+            left[new] = False
+            links.extend((i, j) for j in new.tolist())
+            stack.extend(new.tolist())
+    return links
+
+
+def pooled_links(pools: DataFrame) -> DataFrame:
+    """``a, b``: a spanning forest, per pool and pair of blocks, of the pairs whose
+    samples agree. ``pools(pool, blocks, id, samples)``. Pools of one block share
+    ``PARTS`` groups."""
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("pool")
+        ids, pool, block = table.column("id"), table.column("pool").to_numpy(), table.column("block").to_numpy()
+        samples = table.column("samples").combine_chunks().flatten().to_numpy().reshape(len(ids), SAMPLES)
+        ends, a, b = np.append(np.flatnonzero(pool[1:] != pool[:-1]) + 1, len(pool)), [], []
+        for start, stop in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            own, own_block = samples[start:stop], block[start:stop]
+            same = np.zeros((len(own), len(own)), np.uint8)
+            for k in range(SAMPLES):
+                same += own[:, k, None] == own[None, :, k]
+            alike = same >= AGREE
+            if key[1].as_py() != key[2].as_py():
+                alike &= own_block[:, None] != own_block[None, :]
+            links = spanning(alike & ~np.eye(len(own), dtype=bool))
+            a.extend(start + i for i, _ in links)
+            b.extend(start + j for _, j in links)
+        at = lambda places: ids.take(pa.array(places, pa.int64()))
+        return pa.table({"a": at(a), "b": at(b)})
+
+    blocks = F.col("blocks")
+    cut = pools.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    cut = cut.withColumn("part", F.when(blocks > 1, F.col("pool")).otherwise(F.pmod("pool", F.lit(PARTS))))
+    paired = cut.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    paired = paired.select("part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "pool", "block", "id", "samples")
+    return paired.groupBy("part", "low", "high").applyInArrow(compare, "a string, b string")
+
+
 def candidate_links(texts: DataFrame) -> DataFrame:
     """``a, b``: each text of a bucket with the bucket's least id, if their
-    samples agree often enough. At most ``BANDS`` links a text."""
+    samples agree often enough, at most ``BANDS`` links a text. In buckets where
+    one does not, a forest of the pairs that agree among the others (see 4)."""
     bands = F.array(*[F.struct(F.lit(n).alias("band"), F.xxhash64(*[F.col("samples")[n * ROWS + i] for i in range(ROWS)]).alias("key"))
                       for n in range(BANDS)])
     banded = texts.where("samples is not null").select("id", F.inline(bands))
     least = banded.groupBy("band", "key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    links = banded.join(least, ["band", "key"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    starred = land(banded.join(least, ["band", "key"]).where("id <> b").select(F.xxhash64("band", "key").alias("pool"), F.col("id").alias("a"), "b"), "starred")
     of = lambda name: texts.select(F.col("id").alias(name), F.col("samples").alias(f"samples_{name}"))
     same = F.size(F.filter(F.zip_with("samples_a", "samples_b", lambda x, y: x == y), lambda e: e))
-    return links.join(of("a"), "a").join(of("b"), "b").where(same >= AGREE).select("a", "b")
+    compared = starred.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
+    compared = land(compared.select("a", "b", same.alias("same")), "compared")
+    apart = starred.join(compared.where(F.col("same") < SAME), ["a", "b"])
+    sizes = apart.groupBy("pool").agg(F.count(F.lit(1)).alias("n"), F.min("same").alias("worst")).where((F.col("n") > 1) & (F.col("worst") < AGREE))
+    pools = apart.join(sizes.select("pool", F.ceil(F.col("n") / POOL).cast("int").alias("blocks")), "pool")
+    pools = pools.select("pool", "blocks", F.col("a").alias("id")).join(texts.select("id", "samples"), "id")
+    return compared.where(F.col("same") >= AGREE).select("a", "b").union(pooled_links(pools)).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
