@@ -1,7 +1,7 @@
 """Token ids and counts of whole texts, inside tasks, by public tokenizers.
 
-``WordBpe`` gives exactly the ids of ``word_bpe_49k.json`` without special
-tokens. That tokenizer drops white space and never joins across it, so a text's
+``WordBpe`` gives exactly the ids of ``word_bpe_49k.json`` with none added; the
+names of its special tokens are one id where a text holds them. That tokenizer drops white space and never joins across it, so a text's
 ids are those of its space-separated pieces in order, and a piece is encoded
 once and remembered (up to a bound, then the memory starts anew). Lower-case
 words and the punctuation after them are separate words to the tokenizer too;
@@ -47,7 +47,6 @@ class WordBpe:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.words = Tokenizer.from_file(path)  # for words that are lower case and apart already
         self.words.encode_special_tokens = True
         self.words.normalizer = normalizers.Sequence([])
