@@ -11,14 +11,13 @@ from veilspark.llm import packing, tokens
 from .helpers import DOCS, docs
 
 TEXTS = [None, "", "Hello, World!! it's 42% done... Été—ok", "a b\tc\n\n d", "<|endoftext|> is text", "Íö ΣΑΣ İstanbul",
-         "word " * 9000, "thea.!! ***x y*** don't 'tis we'll", "x" * 5000, "\x1c a\x85b", "(paren) [br] a.b.c, d;e 日本語 текст"]
+         "word " * 9000, "thea.!! ***x y*** don't 'tis we'll", "x" * 5000, "\x1c a\x85b", "(paren) [br] a.b.c, d;e 日本語 текст",
+         "Straße ÄÖÜ ÿ ªº× Œuvre œil Łódź ŉ ǅ e\u0301té. É\u0301 ﬁn A\tB,\rC --- ...! 'S it'S 12a a12 ... .a", "Word\n,x Word.\n\nword"]
 
 
 @functools.cache
 def tokenizer():
-    t = Tokenizer.from_file(tokens.vocabulary("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.vocabulary("word_bpe_49k.json"))
 
 
 def reference(text):
