@@ -63,6 +63,18 @@ def test_pieces_cover_every_id_once(spark):
         assert used / window <= len(by_seq) <= 1.15 * used / window + 1
 
 
+def test_leftovers_travel_in_units():
+    w = packing.Windows(4096, 64)
+    for i in range(5000):
+        w.place(1 + i % 3, (i, 0, 1 + i % 3, 0, 1 + i % 3))
+    rows, by_unit = packing.open_rows(w.rest(), 7), defaultdict(list)
+    for r in rows:
+        by_unit[r[-1]].append(r)
+    for unit in by_unit.values():
+        assert [r[6] for r in unit] == [sum(x[2] for x in unit[:i]) for i in range(len(unit))]
+    assert len(rows) > 500 and len(by_unit) <= len(w.rest()) * (4096 // packing.UNIT + 1)
+
+
 def test_repeats_nulls_and_empty(spark):
     pieces = packing.pack(docs(spark, [(1, "a b"), (1, "a b"), (None, "a b"), (None, None)])).collect()
     assert sorted((p["doc_id"] or -1, p["length"]) for p in pieces) == [(-1, 1), (-1, 3), (1, 3), (1, 3)]

@@ -4,10 +4,12 @@ A task reads its documents in order, tokenizes them, cuts full windows off long
 ones, and places the rest best-fit: of ``OPEN`` open windows, the one with the
 least room that still suffices. When none fits and the number is reached, the
 fullest is emitted and a new one opened. Windows still open at the end of a
-partition hold what is left over; their pieces are landed with the others and
-then packed again, the leftovers of ``MERGE`` partitions in one task, largest
-piece first. State is bounded by the number of open windows; token ids stay in
-the task that made them.
+partition hold what is left over. Their pieces are tied into units of ``UNIT``
+tokens or more (the last of a window may be shorter), landed with the others,
+and the units of ``MERGE`` partitions are packed again in one task, largest
+first: at most ``MERGE * OPEN * (WINDOW / UNIT + 1)`` rows, however many pieces
+they hold. State is bounded by the number of open windows; token ids stay in the
+task that made them.
 
 Defined cases: a null or empty text is the end mark alone; ids of null or
 repeated documents are carried as they are, each row packed for itself; a text
@@ -35,12 +37,14 @@ WINDOW = 4096
 END = 2
 OPEN = 64
 MERGE = 64
+UNIT = 256
 #: Numbers of one task's windows; merged windows are numbered from MERGED on.
 PER_TASK = 1 << 31
 MERGED = 1 << 62
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
-          "part long, open boolean")
+          "part long, unit long")
+NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
 
 class Windows:
@@ -76,8 +80,23 @@ class Windows:
         return sorted(self.held.items())
 
 
-def piece_rows(closed, base: int, part: int, is_open: bool) -> list[tuple]:
-    return [(*piece, base + number, offset, part, is_open) for number, pieces in closed for offset, piece in pieces]
+def closed_rows(closed, base: int, part: int) -> list[tuple]:
+    return [(*piece, base + number, offset, part, None) for number, pieces in closed for offset, piece in pieces]
+
+
+def open_rows(rest, part: int) -> list[tuple]:
+    """Pieces left over, with their unit and their offset in it. No unit reaches
+    beyond its window, so each fits into one."""
+    rows, unit = [], 0
+    for _, pieces in rest:
+        filled = 0
+        for _, piece in pieces:
+            rows.append((*piece, None, filled, part, unit))
+            filled += piece[2]
+            if filled >= UNIT:
+                unit, filled = unit + 1, 0
+        unit += filled > 0
+    return rows
 
 
 def cut(doc_id, ids: np.ndarray, window: int) -> list[tuple]:
@@ -95,10 +114,8 @@ def cut(doc_id, ids: np.ndarray, window: int) -> list[tuple]:
 
 
 def to_arrow(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 8 + [pa.bool_()]
-    names = [c.split()[0] for c in PIECES.split(", ")]
-    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+    columns = list(zip(*rows, strict=True)) or [[]] * len(NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], NAMES)
 
 
 def pack(docs: DataFrame, window: int = WINDOW, open_windows: int = OPEN, tokenizer_folder: str | None = None) -> DataFrame:
@@ -116,21 +133,22 @@ def pack(docs: DataFrame, window: int = WINDOW, open_windows: int = OPEN, tokeni
                     for piece in cut(doc_id, ids[start:stop], window):
                         done += windows.place(piece[2], piece)
                 at += len(texts)
-                yield to_arrow(piece_rows(done, base, part, False))
-        yield to_arrow(piece_rows(windows.rest(), base, part, True))
+                yield to_arrow(closed_rows(done, base, part))
+        yield to_arrow(open_rows(windows.rest(), part))
 
-    def merge(key: tuple, left: pd.DataFrame) -> pd.DataFrame:
-        names = [c.split()[0] for c in PIECES.split(", ")]
-        rows = list(left.sort_values(["length", "part", "sequence_id", "offset"], ascending=[False, True, True, True])[names[:5]].itertuples(index=False, name=None))
+    def merge(key: tuple, units: pd.DataFrame) -> pd.DataFrame:
+        """Where each unit goes: ``part, unit, sequence_id, at``."""
+        units = units.sort_values(["length", "part", "unit"], ascending=[False, True, True])
         windows, base, done = Windows(window, None), MERGED + int(key[0]) * PER_TASK, []
-        for row in rows:
-            done += windows.place(int(row[2]), row)
-        out = piece_rows(done + windows.rest(), base, int(key[0]), False)
-        return pd.DataFrame(out, columns=names).astype({"doc_id": left["doc_id"].dtype})
-
-    first = land(docs.select("doc_id", "text").mapInArrow(online, PIECES), "pieces")
-    # Ids may be null: pandas keeps them apart from the rest as text.
-    left = first.where("open").withColumn("doc_id", F.col("doc_id").cast("string"))
-    merged = left.groupBy(F.floor(F.col("part") / MERGE).alias("_group")).applyInPandas(merge, PIECES.replace("doc_id long", "doc_id string"))
-    out = first.where("not open").unionByName(merged.withColumn("doc_id", F.col("doc_id").cast("long")))
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+        for part, unit, length in units[["part", "unit", "length"]].itertuples(index=False, name=None):
+            done += windows.place(int(length), (part, unit))
+        placed = [(*unit, base + number, at) for number, held in done + windows.rest() for at, unit in held]
+        return pd.DataFrame(placed, columns=["part", "unit", "sequence_id", "at"]).astype("int64")
+
+    pieces = land(docs.select("doc_id", "text").mapInArrow(online, PIECES), "pieces")
+    left = pieces.where("unit IS NOT NULL").drop("sequence_id")
+    units = left.groupBy("part", "unit").agg(F.sum("length").alias("length")).withColumn("_group", F.floor(F.col("part") / MERGE))
+    placed = units.groupBy("_group").applyInPandas(merge, "part long, unit long, sequence_id long, at long")
+    merged = left.join(placed, ["part", "unit"]).withColumn("offset", F.col("at") + F.col("offset"))
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    return pieces.where("unit IS NULL").select(*names).unionByName(merged.select(*names))
