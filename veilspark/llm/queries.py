@@ -11,7 +11,8 @@ import corpus_pipeline
 from veilspark.session import scratch_path
 from veilspark.sources.tables import table
 
-from . import decontaminate, line_dedup, near_dedup, packing, quality, rollups, secrets, sharding, topk, warc
+from . import (decontaminate, filter_audit, line_dedup, mixing, near_dedup, packing, quality, rollups, secrets, sharding,
+               topk, warc, whitening)
 from .common import land
 from .sql import ORACLES  # noqa: F401
 
@@ -74,6 +75,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_secrets, op3_decontamination, op4_topk, op5_token_rollups, op6_quality, op7_near_dedup, op8_packing, op9_warc, op10_line_dedup)
+    f.__name__: f for f in (op1_sharding, op2_secrets, op3_decontamination, op4_topk, op5_token_rollups, op6_quality, op7_near_dedup, op8_packing, op9_warc,
+                            op10_line_dedup, op11_filter_audit, op12_mixing, op13_whitening)
 } | {"pipeline": corpus_pipeline.run}

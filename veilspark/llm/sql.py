@@ -40,8 +40,44 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+AUDIT = r"""
+WITH RECURSIVE letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders(filter_order, used) AS (
+  SELECT '', 0
+  UNION ALL SELECT filter_order || letter, used + bit FROM orders JOIN letters ON used & bit = 0),
+steps AS (
+  SELECT filter_order, step::INTEGER AS step, bit,
+         (SELECT coalesce(sum(l.bit), 0) FROM letters l WHERE contains(substr(filter_order, 1, step - 1), l.letter))::INTEGER AS before
+  FROM orders, range(1, 6) AS r(step), letters WHERE length(filter_order) = 5 AND letter = substr(filter_order, step, 1)),
+told AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+failed AS (
+  SELECT doc_id, part, (len(w) < 200)::INTEGER + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INTEGER
+           + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INTEGER
+           + 8 * regexp_matches(t, '[#$%&*|]')::INTEGER
+           + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INTEGER AS fails FROM told),
+labelled AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+counts AS (
+  SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM failed LEFT JOIN labelled USING (doc_id) GROUP BY part, fails),
+results AS (
+  SELECT part, filter_order, step, bit, sum(n) FILTER (fails & (before | bit) = 0) AS kept,
+         sum(n) FILTER (fails & bit > 0 AND fails & before = 0) AS removed,
+         sum(n) FILTER (fails & bit > 0 AND fails & before > 0) AS redundant, sum(n) FILTER (fails = bit) AS unique_fails,
+         sum(good) FILTER (fails & bit > 0 AND fails & before = 0) AS good_lost,
+         sum(toxic) FILTER (fails & bit > 0 AND fails & before = 0) AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM results
+"""
+
 ORACLES: dict[str, str] = {
     "op4_topk": TOPK,
     "op9_warc": WARC,
     "op10_line_dedup": LINE_DEDUP,
+    "op11_filter_audit": AUDIT,
 }
