@@ -49,33 +49,58 @@ def standin_scorer(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["raw", "error", "latency_ms"])
 
 
-def score_batches(df: DataFrame, scorer: Scorer = standin_scorer) -> DataFrame:
-    """Batch scoring with an injected callable under ``mapInPandas``.
+class PartialAnswers(Exception):
+    """Raised by a scorer that could answer some rows of a batch only: ``done`` is a
+    frame (raw, error, latency_ms) indexed by the positions it has answers for."""
+
+    def __init__(self, done: pd.DataFrame, why: str = "") -> None:
+        super().__init__(why)
+        self.done = done
+
+
+ROWS_PER_CALL = 256
+
+
+def score_rows(df: DataFrame, scorer: Scorer, keys: str, rows_per_call: int = ROWS_PER_CALL) -> DataFrame:
+    """``keys`` (columns of ``df``, as a schema) with raw, error and latency_ms, by an
+    injected callable under ``mapInPandas``.
+
+    The callable gets at most ``rows_per_call`` rows at a time. If it raises, the
+    rows it has no answer for (all of the call's, unless it raises
+    ``PartialAnswers``) are tried one by one, so that only those that raise get an
+    ``error`` (the cascade then fails safe), with the time their call took; the
+    task never fails, and no row is asked more than twice."""
+    names = [f.name for f in T.StructType.fromDDL(keys).fields]
+    answer = ["raw", "error", "latency_ms"]
 
-    Arrow batches (``spark.sql.execution.arrow.maxRecordsPerBatch``) go to the
-    callable. If a batch raises, its rows are tried one by one, so that only
-    the rows that raise get an ``error`` (the cascade then fails safe), with the
-    time their call took; the task never fails."""
     def one(row: pd.DataFrame) -> pd.DataFrame:
         began = time.perf_counter()
         try:
-            return scorer(row)
+            return scorer(row)[answer]
         except Exception as e:  # noqa: BLE001 - becomes a fail-safe row
             return pd.DataFrame({"raw": [None], "error": [str(e)], "latency_ms": [(time.perf_counter() - began) * 1000.0]})
 
+    def call(rows: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return scorer(rows)[answer].reset_index(drop=True)
+        except Exception as e:  # noqa: BLE001 - found row by row
+            done = e.done[answer] if isinstance(e, PartialAnswers) else pd.DataFrame(columns=answer)
+            parts = [done.loc[[i]] if i in done.index else one(rows.iloc[[i]]) for i in range(len(rows))]
+            return pd.concat(parts, ignore_index=True)
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            try:
-                res = scorer(pdf).reset_index(drop=True)
-            except Exception:  # noqa: BLE001 - found row by row
-                res = pd.concat([one(pdf.iloc[[i]]) for i in range(len(pdf))], ignore_index=True)
-            yield pd.DataFrame({
-                "case_id": pdf["case_id"].astype("int64").values,
-                "config_id": pdf["config_id"].astype("int32").values,
-                "raw": res["raw"].values, "error": res["error"].values,
-                "latency_ms": res["latency_ms"].astype("float64").values,
-            })
-    return df.mapInPandas(run, RESPONSE_SCHEMA)
+            for at in range(0, len(pdf), rows_per_call):
+                rows = pdf.iloc[at:at + rows_per_call].reset_index(drop=True)
+                res = call(rows)
+                yield pd.DataFrame({k: rows[k].values for k in names} | {
+                    "raw": res["raw"].values, "error": res["error"].values, "latency_ms": res["latency_ms"].astype("float64").values})
+    return df.mapInPandas(run, f"{keys}, raw string, error string, latency_ms double")
+
+
+def score_batches(df: DataFrame, scorer: Scorer = standin_scorer, rows_per_call: int = ROWS_PER_CALL) -> DataFrame:
+    """Every row of ``df`` scored, as ``RESPONSE_SCHEMA``."""
+    return score_rows(df, scorer, "case_id long, config_id int", rows_per_call)
 
 
 def land(df: DataFrame, name: str) -> DataFrame:
@@ -97,12 +122,18 @@ def undecided_requests(classified: DataFrame, configs: list[dict]) -> DataFrame:
 
 def cascade(cases: DataFrame, configs: list[dict], rule_set: str = "v4",
             responses: DataFrame | None = None, scorer: Scorer | None = None,
-            strip_think: bool = True, keep_text: bool = False) -> DataFrame:
-    """D8 over cases x configs. ``cases`` needs case_id, text, label."""
+            strip_think: bool = True, keep_text: bool = False, store: str | None = None) -> DataFrame:
+    """D8 over cases x configs. ``cases`` needs case_id, text, label. With a
+    ``store``, the scorer is asked for requests without a kept answer only."""
     classified = classify(cases, rule_set)
     passthrough = [c for c in cases.columns if c not in ("text",)] + (["text"] if keep_text else [])
     if scorer is not None and responses is None:
-        responses = land(score_batches(undecided_requests(classified, configs), scorer), "responses")
+        requests = undecided_requests(classified, configs)
+        if store is not None:
+            from veilspark.operators.answer_store import ask
+            responses = ask(requests, store, scorer)
+        else:
+            responses = land(score_batches(requests, scorer), "responses")
     if responses is not None:
         rows = P.with_configs(classified.select(*passthrough, "matches", "verdict"), configs, ("config_id",))
         rows = rows.join(responses.select("case_id", "config_id", "raw", "error", "latency_ms"),

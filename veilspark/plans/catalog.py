@@ -478,6 +478,36 @@ def score_undecided(spark, sf_dir):
     return K.score_batches(r.select("case_id", "config_id", "text", "model", "endpoint", "prompt"))
 
 
+from veilspark.operators import answer_store as AS  # noqa: E402
+from veilspark.session import scratch_path  # noqa: E402
+
+_FIRST_RUN = V4_CONFIGS[:3]
+
+
+def two_runs(spark, sf_dir):
+    """A run over half of the configurations, then one over all, with one store."""
+    store, classified = scratch_path(spark, "answers"), C.classify(labelled_cases(spark, sf_dir), "v4")
+    AS.ask(K.undecided_requests(classified, _FIRST_RUN), store, run="run1")
+    return store, AS.ask(K.undecided_requests(classified, V4_CONFIGS), store, run="run2")
+
+
+@register("score_with_store",
+          f"SELECT case_id, config_id, {O.standin()[0]} AS raw, {O.standin()[1]} AS error, {O.standin()[2]} AS latency_ms, "
+          f"CASE WHEN config_id <= {_FIRST_RUN[-1]['config_id']} THEN 'run1' ELSE 'run2' END AS run FROM ({_UNDECIDED_SQL})")
+def score_with_store(spark, sf_dir):
+    """D6/M4 with kept answers: the second run's rows, and the run that asked for each."""
+    return two_runs(spark, sf_dir)[1]
+
+
+@register("answer_store_asked",
+          f"SELECT CASE WHEN config_id <= {_FIRST_RUN[-1]['config_id']} THEN 'run1' ELSE 'run2' END AS run, "
+          f"count(*) AS n_asked FROM (SELECT DISTINCT config_id, text FROM ({_UNDECIDED_SQL})) GROUP BY 1")
+def answer_store_asked(spark, sf_dir):
+    """How many requests each run asked: every different one once."""
+    store, _ = two_runs(spark, sf_dir)
+    return AS.commits.committed(spark, store, AS.ANSWERS).groupBy("run").agg(F.count(F.lit(1)).alias("n_asked"))
+
+
 @register("join_responses",
           f"SELECT case_id, config_id, label, predicted, method, latency_ms FROM ({_PRED_SQL})")
 def join_responses(spark, sf_dir):
