@@ -6,13 +6,17 @@ Base kinds, leftmost non-overlapping, positions in code points:
 * ``access``: ``AKIA`` and upper-case letters or digits, 20 characters or more;
 * ``hex``: 24 lower-case hexadecimal digits or more.
 
-The method adds candidate strings by character class (``CLASSES``). A window of
-fixed width slides over the candidate. The count of each symbol of the class in
-the window is kept up to date as one character enters and one leaves, and with
-it the sum S of c * log2(c); the window's entropy is log2(w) - S / w. A candidate
-whose best window reaches the class's threshold is a secret, unless a pattern of
-the allow list matches it or a span found before already covers part of it.
-Base spans are never suppressed.
+The method adds candidate strings by character class (``CLASSES``, the narrow
+alphabets first). A window of fixed width slides over the candidate, whose
+characters are turned into symbol numbers once. The count of each symbol in the
+window is kept up to date, a byte each, as one character enters and one leaves,
+and with it the sum S of c * log2(c); the window's entropy is log2(w) - S / w.
+The work is linear in the candidate. A candidate whose best window reaches the
+class's threshold is a secret, unless a pattern of the allow list matches it or a
+span found before already covers part of it. A candidate without a digit must
+reach ``DIGIT_FREE_BITS``. Base spans are never suppressed. The thresholds let
+through at most one in a hundred random keys of 24 symbols of the class's
+alphabet.
 
 All of it is column expressions: one pass over the table, no shuffle. Rows
 without a match pay for the pattern scans only.
@@ -41,35 +45,66 @@ BASE = [
 ASSIGN_VALUE_CHARS = 6
 
 # Kind, pattern of a candidate, its symbols, window width, threshold in bits.
+WIDTH = 16
+ALONE = r"(?<![A-Za-z0-9])[{}]{{16,}}(?![A-Za-z0-9])"  # no part of a longer run of letters and digits
 CLASSES = [
-    ("entropy_hex", r"[0-9A-F]{24,}", "0123456789ABCDEF", 24, 3.0),
-    ("entropy_base64", r"[A-Za-z0-9+/_-]{24,}", string.ascii_letters + string.digits + "+/_-", 24, 3.9),
+    ("entropy_hex", ALONE.format("0-9A-Fa-f"), string.hexdigits, WIDTH, 2.95),
+    ("entropy_base32", ALONE.format("A-Z2-7"), string.ascii_uppercase + "234567", WIDTH, 3.32),
+    ("entropy_lower", ALONE.format("a-z0-9"), string.ascii_lowercase + string.digits, WIDTH, 3.37),
+    ("entropy_base64", r"[A-Za-z0-9+/_-]{16,}", string.ascii_letters + string.digits + "+/_-", WIDTH, 3.5),
 ]
+#: Every candidate lies in a match of this.
+ANY_CLASS = CLASSES[-1][1]
+DIGIT_FREE_BITS = 3.75
 
 ALLOW_LIST = [
-    r"^[^0-9]+$",  # words, identifiers
-    r"^[0-9]+$",  # plain numbers
+    # words, numbers, and both in paths and names: nowhere do letters and digits meet, or capitals follow small letters
+    r"^(?!.*([a-z][A-Z0-9]|[A-Z]{2}[a-z]|[A-Z][0-9]|[0-9][A-Za-z]))",
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",  # UUIDs
     r"(?i)example|placeholder|changeme|dummy",
 ]
 
+#: Positions of matches are summed up by blocks of this many.
+BLOCK = 256
+
 SPAN = "struct<start:int,rank:int,end:int,kind:string,hit:string>"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def matches(text: Column, kind: str, rank: int, pattern: str) -> Column:
     """Spans of all matches. The text between matches and the matches
-    themselves alternate, so positions are running sums of their lengths."""
+    themselves alternate, so positions are running sums of their lengths, by
+    blocks first and then inside each block."""
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    found = F.filter(pairs, lambda p: p["hit"].isNotNull())  # one gap more than matches
+    found = F.transform(F.filter(pairs, lambda p: p["hit"].isNotNull()),  # one gap more than matches
+                        lambda p: F.struct(F.char_length(p["gap"]).alias("gap"), p["hit"].alias("hit")))
+    none = F.array().cast(f"array<{SPAN}>")
 
     def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.char_length(pair["gap"])
+        start = state["at"] + pair["gap"]
         end = start + F.char_length(pair["hit"])
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), pair["hit"].alias("hit"))
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    none = F.array().cast(f"array<{SPAN}>")
-    run = F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
+    def length(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0), lambda n, p: n + p["gap"] + F.char_length(p["hit"]))
+
+    def starts(blocks: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(blocks, first, lambda s, b: F.struct((s["at"] + length(b)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
+                           lambda s: s["out"])
+
+    def spans(blocks: Column, at: Column) -> Column:
+        return F.flatten(F.transform(blocks, lambda b, i: F.aggregate(
+            b, F.struct(F.get(at, i).alias("at"), none.alias("spans")), step, lambda s: s["spans"])))
+
+    run = bind(found, lambda f: bind(
+        F.transform(F.sequence(F.lit(1), F.size(f), F.lit(BLOCK)), lambda i: F.slice(f, i, BLOCK)),
+        lambda blocks: bind(starts(blocks), lambda at: spans(blocks, at))))
     return F.when(F.regexp_like(text, F.lit(pattern)), run).otherwise(none)
 
 
@@ -78,23 +113,35 @@ def weight(count: Column) -> Column:
 
 
 def best_entropy(candidate: Column, symbols: str, width: int) -> Column:
-    """The largest entropy of any window of ``width`` characters, by incremental counts."""
-    def symbol(at: Column) -> Column:
-        return F.instr(F.lit(symbols), F.substr(candidate, at, F.lit(1))) - 1
+    """The largest entropy of any window of ``width`` (at most 255) characters, by
+    incremental counts: a byte a symbol, eight symbols a word."""
+    numbers = F.split(F.lit(",".join(str(symbols.find(chr(c))) for c in range(128))), ",").cast("array<int>")
+    shift = lambda name, value, k: F.call_function(name, value, k.bitwiseAND(F.lit(7)) * 8)
+    word = lambda k: F.shiftright(k, 3)
+
+    def count(counts: Column, k: Column) -> Column:
+        return shift("shiftrightunsigned", F.get(counts, word(k)), k).bitwiseAND(F.lit(255))
 
-    def step(state: Column, i: Column) -> Column:
-        enters, leaves = symbol(i), F.when(i > width, symbol(i - width)).otherwise(-1)
-        counts = F.transform(state["counts"], lambda c, j: c + F.when(j == enters, 1).otherwise(0) - F.when(j == leaves, 1).otherwise(0))
-        before_in, before_out = F.get(state["counts"], enters), F.get(state["counts"], leaves)
-        change = F.when(enters == leaves, 0.0).otherwise(
-            weight(before_in + 1) - weight(before_in)
-            + F.when(leaves >= 0, weight(before_out - 1) - weight(before_out)).otherwise(0.0))
-        total = state["total"] + change
-        least = F.when(i >= width, F.least(state["least"], total)).otherwise(state["least"])
-        return F.struct(counts.alias("counts"), total.alias("total"), least.alias("least"))
+    def change(k: Column, j: Column) -> Column:
+        return F.when(j == word(k), shift("shiftleft", F.lit(1).cast("long"), k)).otherwise(0)
 
-    start = F.struct(F.array_repeat(F.lit(0), len(symbols)).alias("counts"), F.lit(0.0).alias("total"), F.lit(math.inf).alias("least"))
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(candidate)), start, step, lambda s: math.log2(width) - s["least"] / width)
+    def slide(codes: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            enters, leaves = F.get(codes, i), F.when(i >= width, F.get(codes, i - width)).otherwise(-1)
+            counts = F.transform(state["counts"], lambda c, j: c + change(enters, j) - change(leaves, j))
+            before_in, before_out = count(state["counts"], enters), count(state["counts"], leaves)
+            moved = F.when(enters == leaves, 0.0).otherwise(
+                weight(before_in + 1) - weight(before_in)
+                + F.when(leaves >= 0, weight(before_out - 1) - weight(before_out)).otherwise(0.0))
+            total = state["total"] + moved
+            least = F.when(i >= width - 1, F.least(state["least"], total)).otherwise(state["least"])
+            return F.struct(counts.alias("counts"), total.alias("total"), least.alias("least"))
+
+        start = F.struct(F.array_repeat(F.lit(0).cast("long"), len(symbols) // 8 + 1).alias("counts"), F.lit(0.0).alias("total"), F.lit(math.inf).alias("least"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda s: math.log2(width) - s["least"] / width)
+
+    chars = F.filter(F.split(candidate, ""), lambda c: c != "")
+    return bind(F.transform(chars, lambda c: F.get(numbers, F.ascii(c))), slide)
 
 
 def long_value(pattern: str) -> Callable[[Column], Column]:
@@ -106,7 +153,8 @@ def secret(symbols: str, width: int, bits: float, allow_list: list[str]) -> Call
         allowed = F.lit(False)
         for known in allow_list:
             allowed = allowed | F.regexp_like(s["hit"], F.lit(known))
-        return F.when(allowed, False).otherwise(best_entropy(s["hit"], symbols, width) >= bits - 1e-9)
+        need = F.when(F.regexp_like(s["hit"], F.lit("[0-9]")), bits).otherwise(max(bits, DIGIT_FREE_BITS))
+        return F.when(allowed, False).otherwise(best_entropy(s["hit"], symbols, width) >= need - 1e-9)
     return test
 
 
@@ -135,8 +183,10 @@ def scan(docs: DataFrame, allow_list: list[str] | None = None) -> DataFrame:
         if kind == "assign":
             spans = F.filter(spans, long_value(pattern))
         kinds[f"_{kind}"] = spans
+    none = F.array().cast(f"array<{SPAN}>")
     for rank, (kind, pattern, symbols, width, bits) in enumerate(CLASSES, len(BASE)):
-        kinds[f"_{kind}"] = F.filter(matches(text, kind, rank, pattern), secret(symbols, width, bits, allow_list))
+        spans = F.filter(matches(text, kind, rank, pattern), secret(symbols, width, bits, allow_list))
+        kinds[f"_{kind}"] = F.when(F.regexp_like(text, F.lit(ANY_CLASS)), spans).otherwise(none)
     rows = rows.select("doc_id", *[c.alias(k) for k, c in kinds.items()])
     rows = rows.withColumn("base", F.concat(*[f"_{k}" for k, _ in BASE]))
     found = F.col("base")
