@@ -25,6 +25,8 @@ from veilspark.sources.registry import SOURCES, SourceSpec, existing_table, spec
 
 # a row of a source: documents have turn 0
 LOCAL_KEY = ["local_id", "local_turn"]
+# the order in which the first of equal texts wins
+ORDER = ["source_rank", "bucket_order", *LOCAL_KEY]
 MIN_FINAL_CHARS = 10
 MOST_BROADCAST_IDS = 1_000_000
 
@@ -210,11 +212,17 @@ def collect_source(spark: SparkSession, sf_dir: str, spec: SourceSpec, rank: int
     return _collect(spark, sf_dir, [(rank, spec)])
 
 
-def union_sources(spark: SparkSession, sf_dir: str, specs: list[SourceSpec] | None = None) -> DataFrame:
-    """A5: all sources in priority order (provenance = source, source_rank);
-    each table is scanned once for all the sources that read it."""
+def union_sources(spark: SparkSession, sf_dir: str, specs: list[SourceSpec] | None = None, first_rank: int = 1) -> DataFrame:
+    """A5: all sources in priority order (provenance = source, source_rank, from
+    ``first_rank`` on); each table is scanned once for all the sources that read it."""
     specs = specs or SOURCES
-    return _collect(spark, sf_dir, list(enumerate(specs, start=1)))
+    return _collect(spark, sf_dir, list(enumerate(specs, start=first_rank)))
+
+
+def candidates(union: DataFrame) -> DataFrame:
+    """Stripped texts of the least length or more, with their fingerprint."""
+    u = union.withColumn("text", strip(F.col("text")))
+    return u.where(F.length("text") >= MIN_FINAL_CHARS).withColumn("fp", fingerprint(F.col("text")))
 
 
 def build_corpus(spark: SparkSession, sf_dir: str, specs: list[SourceSpec] | None = None,
@@ -231,9 +239,7 @@ def build_corpus(spark: SparkSession, sf_dir: str, specs: list[SourceSpec] | Non
                            rank.cast("int").alias("source_rank"), F.lit(None).cast("string").alias("lang"),
                            F.lit(0).alias("bucket_order"))
         u = rows if u is None else u.unionByName(rows)
-    u = u.withColumn("text", strip(F.col("text")))
-    u = u.where(F.length("text") >= MIN_FINAL_CHARS).withColumn("fp", fingerprint(F.col("text")))
-    d = first_wins(u, ["fp"], ["source_rank", "bucket_order", *LOCAL_KEY])
+    d = first_wins(candidates(u), ["fp"], ORDER)
     return d.select("case_id", "text", "label", "source", "source_rank", "lang", "fp")
 
 

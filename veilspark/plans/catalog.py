@@ -288,6 +288,22 @@ def build_corpus(spark, sf_dir):
     return CO.build_corpus(spark, sf_dir).select("case_id", "label", "source", "lang", "fp")
 
 
+from veilspark.operators import corpus_index as CI  # noqa: E402
+
+
+@register("build_corpus_in_batches", f"SELECT case_id, label, source, lang, fp FROM ({O.corpus_sql()})")
+def build_corpus_in_batches(spark, sf_dir):
+    """E1 + A5: the first five sources, then the others against the kept index,
+    the second batch twice; the same corpus as all sources at once."""
+    index = CI.CorpusIndex(K.scratch_path(spark, "corpus-index"), buckets=8, blocks=16)
+    first, rest = SOURCES[:5], SOURCES[5:]
+    CI.add(CO.candidates(CO.union_sources(spark, sf_dir, first)), index, "first")
+    later = CO.candidates(CO.union_sources(spark, sf_dir, rest, 1 + len(first)))
+    CI.add(later, index, "rest")
+    CI.add(later, index, "rest")
+    return index.corpus(spark).select("case_id", "label", "source", "lang", "fp")
+
+
 @register("corpus_composition",
           f"SELECT label, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total, "
           f"CAST(count(*) AS DOUBLE) * 100.0::DOUBLE / CAST(sum(count(*)) OVER () AS DOUBLE) AS share_pct "
