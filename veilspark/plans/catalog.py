@@ -877,6 +877,21 @@ def stream_dedup(spark, sf_dir):
     return ST.stream_dedup(spark, sf_dir, "10000 days").select("fp")
 
 
+_DEDUP_DAYS = 1
+
+
+@register("stream_dedup_expiring",
+          f"""WITH RECURSIVE e AS (SELECT event_id, ts, md5(concat_ws('|', CAST(user_id AS VARCHAR), event_type, props)) AS fp FROM events),
+              kept AS (
+                SELECT fp, min(ts) AS ts FROM e GROUP BY fp
+                UNION ALL
+                SELECT fp, ts FROM (SELECT k.fp, min(e.ts) AS ts FROM kept k JOIN e ON e.fp = k.fp AND e.ts > k.ts + INTERVAL {_DEDUP_DAYS} DAY GROUP BY k.fp))
+              SELECT min(event_id) AS event_id, fp FROM kept JOIN e USING (fp, ts) GROUP BY fp, ts""")
+def stream_dedup_expiring(spark, sf_dir):
+    """L3 with expiry: a repeat counts again when the kept one is over a day old."""
+    return ST.stream_dedup_expiring(spark, sf_dir, _DEDUP_DAYS * 86400).select("event_id", "fp")
+
+
 @register("stream_window_counts",
           "SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, "
           "count(*) AS n FROM events GROUP BY time_bucket(INTERVAL '1 day', ts), event_type")

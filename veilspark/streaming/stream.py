@@ -10,15 +10,19 @@ checks); a service would use a processing-time trigger instead.
 
 from __future__ import annotations
 
-from typing import Callable
+from contextlib import contextmanager
+from typing import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veilspark.functions import prompts as P
 from veilspark.operators import cascade as K
 from veilspark.operators.classify import classify
 from veilspark.session import scratch_path
+from veilspark.sources import commits
 
 
 ROUTED = "case_id long, predicted string, method string, route string"
@@ -39,9 +43,10 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | No
 
 def run_available_now(df: DataFrame, name: str, output_mode: str = "append",
                       partition_by: list[str] | None = None,
-                      batch_fn: Callable[[DataFrame, int], None] | None = None) -> str:
+                      batch_fn: Callable[[DataFrame, int], None] | None = None,
+                      progress: list | None = None) -> str:
     """Drain the stream into a parquet folder (or through ``batch_fn``) and
-    return the output path."""
+    return the output path; ``progress`` gets a report of each micro-batch."""
     spark = df.sparkSession
     out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
     w = df.writeStream.option("checkpointLocation", ckpt).outputMode(output_mode).trigger(availableNow=True)
@@ -55,9 +60,27 @@ def run_available_now(df: DataFrame, name: str, output_mode: str = "append",
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+    if progress is not None:
+        progress.extend(q.recentProgress)
     return out
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_store(spark: SparkSession, provider: str = ROCKSDB) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB: on disk and in native
+    memory, so it may outgrow the executors' heap."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stream_classify(spark: SparkSession, sf_dir: str, rule_set: str = "v4") -> DataFrame:
     """L1: rules on arriving messages; result equals the batch classifier."""
     s = read_stream(spark, sf_dir, "documents").select("doc_id", "text")
@@ -104,35 +127,94 @@ def stream_dedup(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> Dat
     return spark.read.parquet(run_available_now(d, "stream-dedup"))
 
 
-def stream_window_counts(spark: SparkSession, sf_dir: str, window: str = "1 day") -> DataFrame:
-    """L4 (extension): event counts per tumbling window and type. Every trigger
-    replaces the table of counts by the complete one, so windows that are still
-    open are in it too; state is one row for each window and type."""
-    s = event_time(read_stream(spark, sf_dir, "events"))
-    agg = s.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    counts = agg.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
+KEPT = "event_id long, ts timestamp, fp string"
+
+
+def expiring_dedup(events: DataFrame, delay_seconds: int) -> DataFrame:
+    """L3 with an exact rule: an event is dropped if one kept before it, with the
+    same ``fp``, is at most ``delay_seconds`` older. State is one time for each
+    fingerprint and goes when the watermark, the largest time seen less the
+    delay, has passed the last kept event by the delay, so it is bounded by the
+    events of two delays. Events that arrive in order of time are judged alike
+    however they are cut into micro-batches."""
+    delay = pd.Timedelta(seconds=delay_seconds)
+
+    def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, out = (pd.Timestamp(state.get[0], unit="us") if state.exists else None), []
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        for event_id, ts in zip(rows["event_id"], rows["ts"]):
+            if last is None or ts - last > delay:
+                last = ts
+                out.append((event_id, ts, key[0]))
+        state.update((int(last.value // 1000),))
+        state.setTimeoutTimestamp(max(int((last + delay).value // 10**6) + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["event_id", "ts", "fp"])
+
+    marked = events.select("event_id", "ts", "fp").withWatermark("ts", f"{delay_seconds} seconds")
+    return marked.groupBy("fp").applyInPandasWithState(judge, KEPT, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def in_arrival_order(events: DataFrame, slices: int) -> str:
+    """``events`` as files that a stream reads in order of time: ``slices`` of
+    equal length, one after the other. For inputs whose files are in no order."""
+    spark, out = events.sparkSession, scratch_path(events.sparkSession, "arrivals")
+    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    for i in range(slices):
+        at = [lo + (hi - lo) * k / slices for k in (i, i + 1)]
+        part = events.where((F.col("ts") >= F.lit(at[0])) & ((F.col("ts") < F.lit(at[1])) if i < slices - 1 else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(out)
+    return out
+
+
+def stream_dedup_expiring(spark: SparkSession, sf_dir: str, delay_seconds: int = 3600, slices: int = 6, progress: list | None = None) -> DataFrame:
+    """L3 over the events in order of time, one slice a micro-batch, state in RocksDB."""
+    events = event_time(spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")).withColumn("fp", event_fingerprint()).select("event_id", "ts", "fp")
+    arrivals = in_arrival_order(events, slices)
+    s = spark.readStream.schema(KEPT).option("maxFilesPerTrigger", 1).parquet(arrivals)
+    with state_store(spark):
+        out = run_available_now(expiring_dedup(s, delay_seconds), "stream-expiring", progress=progress)
+    return spark.read.schema(KEPT).parquet(out)
+
 
-    def replace(batch: DataFrame, batch_id: int, out: str) -> None:
-        batch.write.mode("overwrite").parquet(out)
+def window_counts(rows: DataFrame, kind: str, window: str, delay: str, progress: list | None = None) -> DataFrame:
+    """L4: counts of ``rows(ts, <kind>)`` per tumbling window, open windows
+    included. Each micro-batch commits the windows that it changed as rows of
+    its own; the table is never rewritten, and a batch that is replayed after a
+    failure is there already. The count of a window is that of the last batch
+    which changed it. State holds the windows the watermark has not passed;
+    events later than ``delay`` are dropped."""
+    agg = rows.withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w"), kind).agg(F.count(F.lit(1)).alias("n"))
+    counts = agg.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), kind, "n")
+    schema = f"window_start string, {kind} string, n long, batch long"
 
-    return spark.read.schema(counts.schema).parquet(run_available_now(counts, "stream-windows", "complete", batch_fn=replace))
+    def changed(batch: DataFrame, batch_id: int, out: str) -> None:
+        commits.commit(batch.withColumn("batch", F.lit(batch_id).cast("long")), out, f"{batch_id:012d}")
 
+    out = run_available_now(counts, "stream-counts", "update", batch_fn=changed, progress=progress)
+    return latest_counts(commits.committed(rows.sparkSession, out, schema), kind)
 
-def stream_verdict_counts(messages: DataFrame, window: str = "1 day", rule_set: str = "v4") -> DataFrame:
+
+def latest_counts(changes: DataFrame, kind: str) -> DataFrame:
+    """The last count of each window and kind."""
+    return changes.groupBy("window_start", kind).agg(F.max_by("n", "batch").alias("n"))
+
+
+def stream_window_counts(spark: SparkSession, sf_dir: str, window: str = "1 day", delay: str = "1 day") -> DataFrame:
+    """L4 (extension): event counts per tumbling window and type."""
+    return window_counts(event_time(read_stream(spark, sf_dir, "events")).select("ts", "event_type"), "event_type", window, delay)
+
+
+def stream_verdict_counts(messages: DataFrame, window: str = "1 day", rule_set: str = "v4", delay: str = "1 day",
+                          progress: list | None = None) -> DataFrame:
     """L4: per tumbling window of ``messages(ts, text)``, a stream, the messages
     of each verdict and the hits of each rule; open windows included."""
     found = classify(messages, rule_set)
     kinds = F.concat(F.array(F.concat(F.lit("verdict:"), F.col("verdict"))),
                      F.transform("matches", lambda m: F.concat(F.lit("rule:"), m)))
-    agg = found.select("ts", F.explode(kinds).alias("kind")).groupBy(F.window("ts", window).alias("w"), "kind") \
-        .agg(F.count(F.lit(1)).alias("n"))
-    counts = agg.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "kind", "n")
-
-    def replace(batch: DataFrame, batch_id: int, out: str) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    out = run_available_now(counts, "stream-verdicts", "complete", batch_fn=replace)
-    return messages.sparkSession.read.schema(counts.schema).parquet(out)
+    return window_counts(found.select("ts", F.explode(kinds).alias("kind")), "kind", window, delay, progress)
 
 
 def winner_config() -> dict:
