@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pyarrow as pa
+import pytest
 import tiktoken  # noqa: F401
 from pyspark.sql import functions as F
 
@@ -56,3 +57,21 @@ def test_empty(spark):
     store = scratch_path(spark, "rollups")
     rollups.commit(rollups.inserts(counts(spark, [])), store, "1")
     assert seen(spark, store) == {}
+
+
+def test_a_crash_between_and_other_content(spark, monkeypatch):
+    store, models = scratch_path(spark, "rollups"), {n: tokens.load(n) for n in tokens.TOKENIZERS}
+    rollups.commit(rollups.inserts(counts(spark)), store, "1")
+
+    def dies(*_):
+        raise RuntimeError("lost")
+    with monkeypatch.context() as m:
+        m.setattr(rollups.commits, "publish", dies)
+        with pytest.raises(RuntimeError):
+            rollups.commit(rollups.deletes(counts(spark, ROWS[:1])), store, "2")
+    assert seen(spark, store) == brute(ROWS, models)  # the batch that died is not seen, the first one still is
+    assert rollups.commit(rollups.deletes(counts(spark, ROWS[:1])), store, "2")
+    assert not rollups.commit(rollups.deletes(counts(spark, ROWS[:1])), store, "2")
+    with pytest.raises(rollups.commits.OtherContent):
+        rollups.commit(rollups.inserts(counts(spark, ROWS[:2])), store, "2")
+    assert seen(spark, store) == brute(ROWS[1:], models)

@@ -38,7 +38,8 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are inserted under both tokenizer versions; exact copies
     of a document with a smaller id are deleted; documents labelled toxic have
-    their counts revised to 0; the second batch is committed twice."""
+    their counts revised to 0; the second batch is committed twice. Documents
+    without an id are inserted and then neither deleted nor revised."""
     counts = land(rollups.count_tokens(table(spark, sf_dir, "documents"), ["word_bpe_49k", "byte_bpe_50k"]), "token-counts")
     first = counts.groupBy(F.col("text_md5").alias("_md5")).agg(F.min("doc_id").alias("_first"))
     kept = counts.join(first, F.col("text_md5").eqNullSafe(F.col("_md5")))

@@ -3,10 +3,11 @@
 A change to a document's count is an insert, a delete or a revision. Each turns
 into signed rows: +count under its key for what begins to hold, -count for what
 ceases to. A batch of changes is summed by (source, lang, tokenizer) before and
-after the shuffle, and its few sums are committed as one folder named by the
-batch. Totals are the sums over all committed batches, so they never need the
-documents again. Committing a batch id again replaces that folder by the same
-sums: a retried or repeated batch counts once.
+after the shuffle, and its few sums are committed under the batch's id by one
+marker (``sources.commits``): a batch that died half-way is not seen, a retried or
+repeated batch counts once, and other sums under a committed id are an error.
+Totals are the sums over all committed batches, so they never need the documents
+again.
 
 Defined cases: null sources and languages are groups of their own; null texts
 have no tokens but count as documents; ids take no part in the sums, so
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.sources import commits
+
 from . import tokens
 
 KEY = ["source", "lang", "tokenizer"]
@@ -80,11 +83,11 @@ def add_up(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
-def commit(changes: DataFrame, store: str, batch_id: str) -> None:
-    """Sum a batch and commit it under its id."""
-    add_up(signed(changes)).write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
+def commit(changes: DataFrame, store: str, batch_id: str) -> bool:
+    """Sum a batch and commit it under its id; False if it is committed already."""
+    return commits.commit(add_up(signed(changes)).select(*[c.split()[0] for c in DELTAS.split(", ")]), store, batch_id)
 
 
 def totals(spark: SparkSession, store: str) -> DataFrame:
     """``source, lang, tokenizer, n_docs, n_tokens`` over all committed batches."""
-    return add_up(spark.read.schema(DELTAS).parquet(store)).where("n_docs <> 0 or n_tokens <> 0")
+    return add_up(commits.committed(spark, store, DELTAS)).where("n_docs <> 0 or n_tokens <> 0")
