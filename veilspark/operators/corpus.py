@@ -127,8 +127,8 @@ def _per_source(col_rank, specs: list[tuple[int, SourceSpec]], fn, default):
 
 
 def _collect(spark: SparkSession, sf_dir: str, specs: list[tuple[int, SourceSpec]]) -> DataFrame | None:
-    """All sources at once: band -> keywords -> per-source first-wins dedup ->
-    clean -> quotas (ids chosen per source, then one bounded semi-join)."""
+    """All sources at once: band -> keywords -> per-source first-wins dedup of ids
+    -> quotas (ids chosen per source) -> their texts fetched and cleaned."""
     parts = [p for m in _scan_groups(specs).values() if (p := _tagged_rows(spark, sf_dir, m)) is not None]
     if not parts:
         return None
@@ -142,23 +142,23 @@ def _collect(spark: SparkSession, sf_dir: str, specs: list[tuple[int, SourceSpec
         (R.matches(F.col("raw"), sp.include, True) if sp.include else F.lit(True)) &
         (~R.matches(F.col("raw"), sp.exclude, True) if sp.exclude else F.lit(True))
     ) if (sp.include or sp.exclude) else None, F.lit(True))
-    rows = rows.where(F.col("raw").isNotNull() & band & kw)
-    rows = first_wins(rows.withColumn("fp", fingerprint(F.col("raw"))), ["source_rank", "fp"], LOCAL_KEY).drop("fp")
-    rows = rows.withColumn("text", clean(F.col("raw"))).drop("raw")
-    # the quota picks, the DE spill and the final join all read these rows:
-    # land them once in the shared folder (each source table is scanned once;
-    # only band-passing, deduplicated rows are written)
+    tagged = rows
+    texts = tagged.where(F.col("raw").isNotNull() & band & kw)
+    # ids only from here: texts stay where they are until the quotas have chosen.
+    # The quota picks and the DE spill all read these rows: land them once.
+    keyed = texts.select("source_rank", fingerprint(F.col("raw")).alias("fp"), *LOCAL_KEY, "lang")
     from veilspark.operators.cascade import land
-    rows = land(rows, "corpus-rows")
+    rows = land(first_wins(keyed, ["source_rank", "fp"], LOCAL_KEY), "corpus-ids")
     order, row_key = [F.col(c) for c in LOCAL_KEY], ["source_rank", *LOCAL_KEY]
+    whole_key = [*row_key, "fp"]  # an id may come with several texts
 
     def pick(sub: DataFrame, n_of, group_specs) -> DataFrame:
         # first n per source on (source_rank, local_id) only; the window limit
         # is the largest quota, the per-source quota is applied after it
         n_max = max(n_of(sp) for _, sp in group_specs)
-        ranked = first_n_per_group(sub.select(*row_key), ["source_rank"], order, n_max)
+        ranked = first_n_per_group(sub.select(*whole_key), ["source_rank"], [*order, F.col("fp")], n_max)
         n_col = _per_source(rk, group_specs, lambda sp: F.lit(n_of(sp)), F.lit(0))
-        return ranked.where(F.col("pos") <= n_col).select(*row_key)
+        return ranked.where(F.col("pos") <= n_col).select(*whole_key)
 
     total = [(r, sp) for r, sp in specs if sp.lang_quotas is None or sp.lang_sql is None]
     langq = [(r, sp) for r, sp in specs if not (sp.lang_quotas is None or sp.lang_sql is None)]
@@ -171,7 +171,7 @@ def _collect(spark: SparkSession, sf_dir: str, specs: list[tuple[int, SourceSpec
         ids = pick(rows.where(rk.isin([r for r, _ in quota_total])), n_tot, quota_total)
         chosen.append(ids.withColumn("bucket_order", F.lit(0)).withColumn("bucket", F.lit(None).cast("string")))
     if open_ranks:
-        ids = rows.where(rk.isin(open_ranks)).select(*row_key)
+        ids = rows.where(rk.isin(open_ranks)).select(*whole_key)
         chosen.append(ids.withColumn("bucket_order", F.lit(0)).withColumn("bucket", F.lit(None).cast("string")))
     if langq:
         mode = {r: sp.lang_mode for r, sp in langq}
@@ -180,14 +180,17 @@ def _collect(spark: SparkSession, sf_dir: str, specs: list[tuple[int, SourceSpec
         lq = rows.where(rk.isin([r for r, _ in langq]))
         en_ids = pick(lq.where(en_ok), lambda sp: sp.lang_quotas[0], langq)
         # DE: qualifies and was not taken while the EN quota was open
-        de_rows = lq.where(de_ok).join(F.broadcast(en_ids), row_key, "left_anti")
+        de_rows = lq.where(de_ok).join(F.broadcast(en_ids), whole_key, "left_anti")
         de_ids = pick(de_rows, lambda sp: sp.lang_quotas[1], langq)
         chosen.append(en_ids.withColumn("bucket_order", F.lit(0)).withColumn("bucket", F.lit("en")))
         chosen.append(de_ids.withColumn("bucket_order", F.lit(1)).withColumn("bucket", F.lit("de")))
     ids = chosen[0]
     for c in chosen[1:]:
         ids = ids.unionByName(c)
-    out = join_small(rows.drop("lang"), ids, row_key, "inner")
+    # the chosen ids fetch their texts (bands and keywords hold, since the
+    # fingerprint is theirs); rows that repeat an id and its text are one
+    found = join_small(tagged.drop("lang"), ids, row_key, "inner").where(fingerprint(F.col("raw")) == F.col("fp"))
+    out = found.withColumn("text", clean(F.col("raw"))).drop("raw").dropDuplicates(whole_key)
     label = _per_source(rk, specs, lambda sp: F.lit(sp.label), F.lit(None).cast("string"))
     name = _per_source(rk, specs, lambda sp: F.lit(sp.name), F.lit(None).cast("string"))
     return out.select(case_id(rk).alias("case_id"), *LOCAL_KEY, "text", label.alias("label"), name.alias("source"),

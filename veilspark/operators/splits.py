@@ -14,9 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Catalyst plans row_number() <= n as a WindowGroupLimit (partial limit before
-# the shuffle) only up to this n (spark.sql.optimizer.windowGroupLimitThreshold).
-WINDOW_GROUP_LIMIT_MAX = 1000
 LIMIT_BUCKETS = 64
 
 
@@ -110,15 +107,13 @@ def label_holdout(df: DataFrame, id_col: str = "case_id", seed: int = 42) -> Dat
 
 def first_n_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int,
                       rank_col: str = "pos") -> DataFrame:
-    """H1 quota: first n rows per group in ``order``. For n within the
-    WindowGroupLimit threshold the limit runs partially before the shuffle, so
-    a hot group ships at most n rows per input partition. Beyond it the first n
-    are found per (group, bucket) and then among those, so no task sorts more
-    than one bucket's rows or ``LIMIT_BUCKETS * n``."""
-    if n > WINDOW_GROUP_LIMIT_MAX:
-        parts = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(LIMIT_BUCKETS)))
-        inner = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-        df = parts.withColumn("_inner", F.row_number().over(inner)).where(F.col("_inner") <= n).drop("_bucket", "_inner")
+    """H1 quota: first n rows per group in ``order``, found per (group, bucket) and
+    then among those, so no task sorts more than one bucket's rows or
+    ``LIMIT_BUCKETS * n``, however many input partitions there are. For n within
+    the WindowGroupLimit threshold both limits also run before their shuffle."""
+    parts = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(LIMIT_BUCKETS)))
+    inner = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    df = parts.withColumn("_inner", F.row_number().over(inner)).where(F.col("_inner") <= n).drop("_bucket", "_inner")
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
 

@@ -1008,7 +1008,8 @@ def metrics_of_configs_table(spark, sf_dir):
 
 
 @register("write_best_config",
-          f"SELECT m.config_id, cfg.model, cfg.prompt_name, m.accuracy_pct, m.fnr_pct, m.fpr_pct, m.avg_latency_ms "
+          f"SELECT m.config_id, cfg.model, cfg.prompt_name, {_templates_case_sql(V4_CONFIGS, 'system').replace('config_id', 'm.config_id')} AS system, "
+          f"{_templates_case_sql(V4_CONFIGS, 'template').replace('config_id', 'm.config_id')} AS template, m.accuracy_pct, m.fnr_pct, m.fpr_pct, m.avg_latency_ms "
           f"FROM (SELECT *, avg(fpr_pct) OVER () AS mean_fpr FROM ({_METRICS_SQL})) m "
           f"JOIN {_CFG_VALUES} ON m.config_id = cfg.config_id WHERE m.fpr_pct < m.mean_fpr "
           f"ORDER BY m.fnr_pct + m.fpr_pct * 0.5, m.config_id LIMIT 1")
@@ -1018,9 +1019,9 @@ def write_best_config(spark, sf_dir):
     from pyspark.sql import Window
     mean = F.avg("fpr_pct").over(Window.partitionBy())  # one row a configuration
     best = E.best_config(v4_metrics(spark, sf_dir), mean)
-    cfg = P.configs_frame(spark, V4_CONFIGS).select("config_id", "model", "prompt_name")
+    cfg = P.configs_frame(spark, V4_CONFIGS).select("config_id", "model", "prompt_name", "system", "template")
     return SK.write_best_config(best.join(F.broadcast(cfg), "config_id").select(
-        "config_id", "model", "prompt_name", "accuracy_pct", "fnr_pct", "fpr_pct", "avg_latency_ms"))
+        "config_id", "model", "prompt_name", "system", "template", "accuracy_pct", "fnr_pct", "fpr_pct", "avg_latency_ms"))
 
 
 @register("collect_columns",
