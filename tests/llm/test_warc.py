@@ -1,5 +1,7 @@
 import hashlib
+import re
 import struct
+from datetime import UTC, datetime
 
 import pytest
 import zstandard
@@ -61,3 +63,44 @@ def test_empty_and_repeats(spark):
     assert got == []
     _, got = round_trip(spark, [(1, "u", BIG)] * 3 + [(2, "u", BIG)])
     assert sorted((r["page_id"], r["record_type"]) for r in got) == [(1, "response")] * 3 + [(2, "revisit")]
+
+
+def test_records_have_the_fields_of_the_standard(spark):
+    """Mandatory fields, a block of the length and type named, ids that are
+    unique and a revisit that names its response's id."""
+    folder = scratch_path(spark, "warc-test")
+    pages = spark.createDataFrame([r for r in ROWS if r[0] is not None], SCHEMA)
+    warc.write_archives(warc.plan_records(pages), folder, date=datetime(2024, 5, 6, 7, 8, 9, tzinfo=UTC)).collect()
+    files = spark.read.format("binaryFile").options(pathGlobFilter="*.warc.zst").load(folder).collect()
+    seen = {}
+    for _, record in (r for f in files for r in warc.read_archive(bytes(f["content"]))):
+        version, *lines = record.partition(b"\r\n\r\n")[0].decode().split("\r\n")
+        field = dict(line.split(": ", 1) for line in lines)
+        assert version == "WARC/1.1" and len(field) == len(lines)
+        assert field["WARC-Date"] == "2024-05-06T07:08:09Z" and field["Content-Type"] == "application/http; msgtype=response"
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", field["WARC-Record-ID"]) and re.fullmatch(r"[^\s]+", field["WARC-Target-URI"])
+        block = record.partition(b"\r\n\r\n")[2]
+        assert block.endswith(b"\r\n\r\n") and len(block) - 4 == int(field["Content-Length"])
+        http, _, body = block[:-4].partition(b"\r\n\r\n")
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n")
+        if field["WARC-Type"] == "response":
+            assert field["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(body).hexdigest()
+        else:
+            assert body == b"" and field["WARC-Profile"].endswith("identical-payload-digest")
+        assert field["WARC-Record-ID"] not in seen
+        seen[field["WARC-Record-ID"]] = field
+    assert len(seen) == len(ROWS) - 1
+    for field in seen.values():
+        if field["WARC-Type"] == "revisit":
+            response = seen[field["WARC-Refers-To"]]
+            assert response["WARC-Type"] == "response" and response["WARC-Payload-Digest"] == field["WARC-Payload-Digest"]
+            assert response["X-Page-ID"] == field["X-Refers-To-Page-ID"]
+
+
+def test_a_shared_payload_is_spread(spark):
+    """Payloads meet the decisions by page and digest: no exchange with payloads
+    is keyed by the digest alone."""
+    pages = spark.createDataFrame([(i, "u", "z" * 500) for i in range(50)], SCHEMA)
+    plan = warc.plan_records(pages)._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join LeftOuter" in line)
+    assert "page_id" in join and "payload_digest" in join

@@ -13,7 +13,13 @@ archive at a time (``archive_bytes`` of raw records), write it under a
 temporary name and move it into place; names depend on the task's number only,
 so a retried task replaces its own files.
 
-Defined cases: a null html is an empty payload; rows with a null ``page_id``
+Records are WARC/1.1 with all mandatory fields. Blocks are HTTP messages, whose
+head is made up here (a page table has none); the payload is the body. A
+revisit names the response's record id, and its page id in an ``X-`` field.
+
+Defined cases: a null html is an empty payload; a page without a url gets a
+``urn:x-page:`` one and reads back with a null url; white space in a url is
+written as ``%20``; rows equal in page and payload share a record id; rows with a null ``page_id``
 are written and sort before any id; rows that repeat the smallest ``page_id``
 of their payload are all responses; an empty table writes no archive and reads
 back as no rows; extra columns are ignored.
@@ -25,6 +31,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 import zstandard
@@ -40,6 +47,8 @@ DICT_MAGIC = 0x184D2A5D
 LEVEL = 3
 CHUNK = 16 << 10
 NOT_SET = "-"
+NO_URL = "urn:x-page:"
+HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 MANIFEST = "archive string, records long, bytes long"
 READ_SCHEMA = ("page_id long, url string, record_type string, refers_to long, payload_bytes long, "
@@ -48,33 +57,45 @@ READ_SCHEMA = ("page_id long, url string, record_type string, refers_to long, pa
 
 def plan_records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """``page_id, url, payload, payload_bytes, payload_digest, record_type,
-    refers_to``: which pages are written whole and which revisit another."""
+    refers_to``: which pages are written whole and which revisit another.
+
+    Equal payloads are found among ids and digests alone. Payloads are shuffled
+    once, by id and digest together, so a payload that many pages share does
+    not gather in one task."""
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256))
-    first = (rows.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest")
-             .agg(F.min(F.struct("page_id")).getField("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-             .where("_n > 1").select(F.col("payload_digest").alias("_digest"), "_first"))
-    met = rows.join(first, (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") >= min_revisit), "left")
-    revisit = F.col("_digest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
+    large = rows.where(F.col("payload_bytes") >= min_revisit).select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"))
+    first = (large.groupBy(F.col("_digest").alias("_d")).agg(F.min(F.struct("_page")).getField("_page").alias("_first"), F.count(F.lit(1)).alias("_n"))
+             .where("_n > 1").drop("_n"))
+    revisits = (large.join(first, F.col("_digest") == F.col("_d")).where(~F.col("_page").eqNullSafe(F.col("_first")))
+                .select("_page", "_digest", "_first").distinct())
+    met = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left")
+    revisit = F.col("_digest").isNotNull()
     return met.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
                       F.when(revisit, "revisit").otherwise("response").alias("record_type"),
                       F.when(revisit, F.col("_first")).alias("refers_to"))
 
 
-def record_bytes(row) -> bytes:
+def record_id(page: str, digest: str) -> str:
+    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {digest}').urn}>"
+
+
+def record_bytes(row, date: str) -> bytes:
     """One WARC record: header lines, an empty line, the block, two line ends.
-    A revisit has an empty block and names the response's page."""
-    page = row.page_id or NOT_SET
-    block = b"" if row.record_type == "revisit" else bytes(row.payload)
-    url = "" if row.url is None else " ".join(row.url.split())
-    head = ["WARC/1.1", f"WARC-Type: {row.record_type}",
-            f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {row.payload_digest}')}>",
-            f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{row.payload_digest}",
+    A response's block is an HTTP message whose body is the payload; a revisit's
+    block is that message's head alone, and names the response's record."""
+    page, revisit = row.page_id or NOT_SET, row.record_type == "revisit"
+    block = HTTP_HEAD % int(row.payload_bytes) + (b"" if revisit else bytes(row.payload))
+    url = "%20".join((row.url or "").split())
+    head = ["WARC/1.1", f"WARC-Type: {row.record_type}", f"WARC-Record-ID: {record_id(page, row.payload_digest)}", f"WARC-Date: {date}",
+            f"WARC-Target-URI: {url or NO_URL + page}", f"WARC-Payload-Digest: sha256:{row.payload_digest}",
+            f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type: application/http; msgtype=response",
             f"X-Page-ID: {page}", f"X-Payload-Length: {int(row.payload_bytes)}"]
-    if row.record_type == "revisit":
+    if revisit:
+        response = row.refers_to or NOT_SET
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                 f"WARC-Refers-To: {row.refers_to or NOT_SET}"]
+                 f"WARC-Refers-To: {record_id(response, row.payload_digest)}", f"X-Refers-To-Page-ID: {response}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -124,18 +145,24 @@ def parse_record(record: bytes) -> tuple:
     head, _, rest = record.partition(b"\r\n\r\n")
     field = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[:int(field["Content-Length"])]
+    if hashlib.sha256(block).hexdigest() != field["WARC-Block-Digest"].removeprefix("sha256:"):
+        raise ValueError(f"block of page {field['X-Page-ID']} does not match its digest")
     number = lambda key: None if field.get(key, NOT_SET) == NOT_SET else int(field[key])
-    kind = field["WARC-Type"]
+    kind, payload = field["WARC-Type"], block.partition(b"\r\n\r\n")[2]
     digest = field["WARC-Payload-Digest"].removeprefix("sha256:")
-    if kind == "response" and hashlib.sha256(block).hexdigest() != digest:
+    if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
         raise ValueError(f"payload of page {field['X-Page-ID']} does not match its digest")
-    return (number("X-Page-ID"), field["WARC-Target-URI"], kind, number("WARC-Refers-To"), int(field["X-Payload-Length"]),
-            digest, block if kind == "response" else None)
+    url = field["WARC-Target-URI"]
+    return (number("X-Page-ID"), None if url.startswith(NO_URL) else url, kind, number("X-Refers-To-Page-ID"), int(field["X-Payload-Length"]),
+            digest, payload if kind == "response" else None)
 
 
-def write_archives(records: DataFrame, folder: str, size: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(records: DataFrame, folder: str, size: int = ARCHIVE_BYTES, date: datetime | None = None) -> DataFrame:
     """Write the planned records below ``folder`` and, last, a manifest with one
-    row an archive (``archive, records, bytes``), which is returned."""
+    row an archive (``archive, records, bytes``), which is returned. ``date`` is
+    the WARC-Date of all records, the time of this call unless given."""
+    stamp = (date or datetime.now(UTC)).astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
         store, root = fs.FileSystem.from_uri(folder)
@@ -152,7 +179,7 @@ def write_archives(records: DataFrame, folder: str, size: int = ARCHIVE_BYTES) -
 
         for batch in batches:
             for row in batch.itertuples(index=False):
-                held.append(record_bytes(row))
+                held.append(record_bytes(row, stamp))
                 held_bytes += len(held[-1])
                 if held_bytes >= size:
                     yield flush()
