@@ -58,3 +58,18 @@ def test_nulls_repeats_and_clashes(spark):
     assert len(got) == 34 and len({(r["shard"], r["slot"]) for r in got}) == 34
     assert {r["size"] for r in got} == {1, 2}
     assert sharding.shard(docs(spark, []), 4).count() == 0
+
+
+def test_large_groups_of_equal_rows(spark, monkeypatch):
+    """More equal rows than a chunk: every row once, shards even, slots gapless."""
+    monkeypatch.setattr(sharding, "CHUNK", 16)
+    rows = [(None, None)] * 700 + [(5, "a")] * 333 + [(i, f"t{i}") for i in range(400)] + [(9, "t9")] * 16 + [(7, "x" * 100_000)]
+    got = sharding.shard(docs(spark, rows), 5).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == \
+        Counter((i, len(t or "") + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    counts = Counter(r["shard"] for r in got)
+    assert max(counts.values()) - min(counts.values()) <= 1
+    for s, n in counts.items():
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n))
+    again = sharding.shard(docs(spark, rows[::-1]).repartition(7), 5).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, got))

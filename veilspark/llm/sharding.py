@@ -9,15 +9,19 @@ overflowing rows leave their home shard.
 
 Only the row counts of the segments reach the driver (``segments`` numbers, a
 parameter), where the walk is settled: for each segment, which run of its rows
-goes to which shard and from which slot on. The rows are then ranked inside
-their segment and read their shard and slot from that plan, which is broadcast
-(at most ``segments * shards`` entries, in practice little over ``segments``).
-Texts never leave the scan; the one shuffle carries about 40 bytes a row.
+goes to which shard and from which slot on. Rows equal in id, checksum and size
+are counted where they are read and become one row with a number; these are
+ranked inside their segment and read their shard and slots from that plan,
+which is broadcast (at most ``segments * shards`` entries, in practice little
+over ``segments``). Last, each becomes as many rows as it counts, those of more
+than ``CHUNK`` in parts that are dealt over all tasks. No task ranks or writes
+the rows of a large group of equal ones alone. Texts never leave the scan; two
+shuffles carry about 40 bytes a distinct row.
 
 Defined cases: a null text has size 1 and the checksum of the empty text; a
-null or repeated ``doc_id`` is placed by id and checksum together, so such rows
-spread over the ring; equal rows are interchangeable and each gets its own
-slot; an empty table gives an empty result; extra columns are ignored.
+null or repeated ``doc_id`` is placed by id and checksum together, so rows with
+such an id spread over the ring by their texts; equal rows are interchangeable,
+lie in one segment and each gets its own slot; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from pyspark.sql import types as T
 from .common import small_table, utf8_bytes, whole_text
 
 SEGMENT_BITS = 13
+CHUNK = 1 << 14
 
 PLAN = T.StructType([
     T.StructField("p_segment", T.LongType()),
@@ -108,11 +113,18 @@ def shard(docs: DataFrame, shards: int = 8, vnodes: int = 64, load: float = 1.0)
     walks = ring_walks(shards, vnodes, segments)
     plan = small_table(spark, settle(counts, walks, capacities(sum(counts), shards, load)), PLAN)
     homes = F.array(*[F.lit(w[0]) for w in walks])
-    rank = F.row_number().over(Window.partitionBy("_segment").orderBy("_h", "doc_id", "text_crc32", "size")) - 1
-    ranked = keyed.withColumn("_rank", rank.cast("long"))
-    placed = ranked.join(F.broadcast(plan), (F.col("_segment") == F.col("p_segment"))
-                         & (F.col("_rank") >= F.col("p_from")) & (F.col("_rank") < F.col("p_to")))
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.col("p_shard").alias("shard"),
-        (F.col("p_slot") + F.col("_rank") - F.col("p_from")).alias("slot"),
-        F.get(homes, F.col("_segment").cast("int")).alias("home_shard"))
+    same = keyed.groupBy("_segment", "_h", "doc_id", "text_crc32", "size").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_segment").orderBy("_h", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = same.withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    runs = ranked.join(F.broadcast(plan), (F.col("_segment") == F.col("p_segment"))
+                       & (F.col("_at") < F.col("p_to")) & (F.col("_at") + F.col("_n") > F.col("p_from")))
+    low, high = F.greatest("_at", "p_from"), F.least(F.col("_at") + F.col("_n"), F.col("p_to"))
+    runs = runs.select("doc_id", "size", "text_crc32", F.col("p_shard").alias("shard"), (F.col("p_slot") + low - F.col("p_from")).alias("_slot"),
+                       (high - low).alias("_rows"), F.get(homes, F.col("_segment").cast("int")).alias("home_shard"))
+    few, many = runs.where(F.col("_rows") <= CHUNK), runs.where(F.col("_rows") > CHUNK)
+    steps = F.sequence(F.lit(0).cast("long"), F.col("_rows") - 1, F.lit(CHUNK).cast("long"))
+    parts = many.withColumn("_step", F.explode(steps)) \
+        .withColumns({"_slot": F.col("_slot") + F.col("_step"), "_rows": F.least(F.lit(CHUNK).cast("long"), F.col("_rows") - F.col("_step"))}) \
+        .drop("_step").repartition("shard", "_slot")  # chunks of equal rows are dealt out before they are written row by row
+    slots = F.explode(F.sequence(F.col("_slot"), F.col("_slot") + F.col("_rows") - 1))
+    return few.unionByName(parts).select("doc_id", "size", "text_crc32", "shard", slots.alias("slot"), "home_shard")
