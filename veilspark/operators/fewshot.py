@@ -169,7 +169,7 @@ def search(spark: SparkSession, cases: DataFrame, seed_examples: list[tuple[str,
     score with a full-dev score), verify the best on full dev, accept only if
     strictly better. Returns (examples, dev metrics, test metrics)."""
     from veilspark.operators.cascade import land
-    from veilspark.operators.splits import seeded_sample
+    from veilspark.operators.splits import seeded_samples
     # every round re-reads these rows: land them once (cuts the lineage of the
     # join + exact rank, and survives executor loss without recomputation)
     cases = land(cases.select("case_id", "text", "label", "split"), "fewshot-cases")
@@ -180,12 +180,14 @@ def search(spark: SparkSession, cases: DataFrame, seed_examples: list[tuple[str,
     def one(ex, on):
         return score(standin_predict(on, {0: ex})).first().asDict()
 
-    drawn = draw_replacements(train, list(range(1, rounds + 1)), seed)
+    numbers = list(range(1, rounds + 1))
+    drawn = draw_replacements(train, numbers, seed)
+    samples = land(seeded_samples(dev, sample_size, numbers, "case_id", seed), "fewshot-samples")
     best_ex = list(seed_examples)
     best = one(best_ex, dev)
     for rnd in range(1, rounds + 1):
         lists = lists_of(candidate_rows(best_ex, rnd, drawn, seed))
-        sample = seeded_sample(dev, sample_size, "case_id", seed, rnd)
+        sample = samples.where(F.col("round") == rnd).drop("round")
         rows = {r["cand_id"]: r for r in score(standin_predict(sample, lists | {-1: best_ex})).collect()}  # <= 9 rows
         winner = better(rows)
         if winner is None:

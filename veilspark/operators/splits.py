@@ -124,6 +124,17 @@ def seeded_sample(df: DataFrame, k: int, id_col: str = "case_id", seed: int = 42
     return df.withColumn("_h", seeded_hash(F.col(id_col), seed, *salt)).orderBy("_h", id_col).limit(k).drop("_h")
 
 
+def seeded_samples(df: DataFrame, k: int, rounds: list[int], id_col: str = "case_id", seed: int = 42) -> DataFrame:
+    """J5 for many rounds at once: ``round`` and the columns of ``df``, for each
+    round the rows of ``seeded_sample(df, k, id_col, seed, round)``. Ids are read
+    once for all rounds and cut to k a round before and after their shuffle; the
+    at most ``k * len(rounds)`` chosen ones then fetch their rows. Ids are unique."""
+    drawn = df.select(id_col, F.explode(F.array(*[F.lit(r) for r in rounds])).alias("round"))
+    drawn = drawn.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("round").cast("string"), F.col(id_col).cast("string"))))
+    chosen = first_n_per_group(drawn, ["round"], [F.col("_h"), F.col(id_col)], k).select("round", id_col)
+    return df.join(F.broadcast(chosen), id_col).select("round", *df.columns)
+
+
 def balanced_sample(train: DataFrame, cap: int = 200, order_col: str = "rank") -> DataFrame:
     """min(n_S, n_P, cap) rows of each class, first in train order. The
     per-class cut is planned as a WindowGroupLimit (cap <= threshold); the

@@ -370,6 +370,31 @@ def seeded_sample(spark, sf_dir):
     return S.seeded_sample(dev, 100, "case_id", 42, 1).select("case_id")
 
 
+_ROUNDS = list(range(1, 13))
+
+
+@register("seeded_samples",
+          f"SELECT r AS round, case_id FROM ({SPLIT_DOCS_SQL}), (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS r) WHERE split = 'dev' "
+          f"QUALIFY row_number() OVER (PARTITION BY r ORDER BY md5(concat_ws('|', '42', CAST(r AS VARCHAR), CAST(case_id AS VARCHAR))), case_id) <= 100")
+def seeded_samples(spark, sf_dir):
+    """The dev samples of all 12 rounds from one reading of the ids."""
+    dev = split_docs(spark, sf_dir).where(F.col("split") == "dev").select("case_id")
+    return S.seeded_samples(K.land(dev, "dev"), 100, _ROUNDS, "case_id", 42)
+
+
+from veilspark.sources import shuffled as SH  # noqa: E402
+
+
+@register("write_shuffled_corpus",
+          f"SELECT case_id, md5(text) AS text_md5, split, rank AS ordinal FROM ({O.split_sql(DOCS_AS_CASES_SQL)})")
+def write_shuffled_corpus(spark, sf_dir):
+    """J3 + H2: all documents written in the seeded order with their split, and
+    read back; the ordinals come from where the rows lie on disk."""
+    docs = docs_as_cases(spark, sf_dir).select("case_id", "text")
+    back = SH.write_shuffled(S.label_train_dev_test(docs, "case_id", 42), rows_per_file=20_000)
+    return back.select("case_id", F.md5("text").alias("text_md5"), "split", "ordinal")
+
+
 _LAB_DOCS_SQL = (f"SELECT s.*, CASE WHEN l.toxic = 1 THEN 'SENSITIVE' ELSE 'PUBLIC' END AS label "
                  f"FROM ({SPLIT_DOCS_SQL}) s JOIN labels l ON s.case_id = l.doc_id")
 
@@ -694,6 +719,32 @@ def eval_by_subset(spark, sf_dir):
     return m.select("eval_set", "model", *[c.strip() for c in _METRIC_COLS.split(",")])
 
 
+from veilspark.operators import membership as MB  # noqa: E402
+
+_SET_COLS = ("config_id, total, n_sensitive, n_public, correct, false_negatives, false_positives, llm_calls, "
+             "accuracy, fnr, fpr, accuracy_pct, fnr_pct, fpr_pct")
+SHORT = 300
+
+
+@register("eval_by_membership",
+          f"""WITH p AS ({_PRED_SQL}), h AS (SELECT case_id, split FROM ({_HOLD_SQL})), t AS (SELECT case_id, length(text) AS n FROM ({O.CASES})),
+              m AS (SELECT p.*, 'full' AS eval_set FROM p UNION ALL
+                    SELECT p.*, 'holdout' AS eval_set FROM p JOIN h ON p.case_id = h.case_id WHERE h.split = 'test' UNION ALL
+                    SELECT p.*, 'short' AS eval_set FROM p JOIN t ON p.case_id = t.case_id WHERE t.n <= {SHORT})
+              SELECT eval_set, {_SET_COLS} FROM ({O.metrics_sql(O.confusion_sql('SELECT * FROM m', by='eval_set, config_id'))})""")
+def eval_by_membership(spark, sf_dir):
+    """E4 + F10 from kept bitmaps: the cascade runs once; the full set, the
+    holdout and a set of short cases named afterwards are intersected with it."""
+    cells = K.land(MB.outcome_cells(predictions(spark, sf_dir)), "outcome-cells")
+    cases = labelled_cases(spark, sf_dir)
+    held = S.label_holdout(cases.select("case_id"), "case_id", 42)
+    names = F.array_compact(F.array(F.lit("full"), F.when(F.col("split") == "test", F.lit("holdout"))))
+    sets = K.land(MB.bitmaps(held.select("case_id", F.explode(names).alias("eval_set")), ["eval_set"]), "eval-sets")
+    added = MB.bitmaps(cases.where(F.length("text") <= SHORT).select("case_id", F.lit("short").alias("eval_set")), ["eval_set"])
+    m = MB.set_metrics(cells, sets.unionByName(added))
+    return m.select("eval_set", *[c.strip() for c in _SET_COLS.split(",")])
+
+
 @register("best_config_unconstrained",
           f"SELECT m.config_id, cfg.model, cfg.prompt_name, m.accuracy_pct, m.fnr_pct, m.fpr_pct, m.avg_latency_ms "
           f"FROM ({_METRICS_SQL}) m JOIN {_CFG_VALUES} ON m.config_id = cfg.config_id "
