@@ -124,32 +124,103 @@ def candidates(spark: SparkSession, train: DataFrame, incumbent: list[tuple[str,
     return spark.createDataFrame(candidate_rows(incumbent, rnd, draw_replacements(train, [rnd], seed), seed), EXAMPLE_SCHEMA)
 
 
+def example_words(spark: SparkSession, texts: list[str]) -> dict[str, list[str]]:
+    """The distinct words of each example as it is shown (its first ``EXAMPLE_CUT``
+    characters), for at most the examples of all rounds."""
+    told = spark.createDataFrame([(t,) for t in sorted(set(texts))], "text string")
+    shown = told.select("text", word_set(F.substring("text", 1, EXAMPLE_CUT)).alias("words"))
+    return {r["text"]: r["words"] for r in shown.collect()}
+
+
+def one_literal(words: list[str]) -> Column:
+    """Words, which hold no blanks, as one constant array."""
+    return F.split(F.lit(" ".join(words)), " ") if words else F.array().cast("array<string>")
+
+
+def case_words(cases: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """``cases`` without their texts, with ``rule_hit``, ``_n`` (the case's distinct
+    words) and ``_shared`` (those of them in ``vocabulary``): all that an overlap
+    with any example of these words depends on."""
+    others = [c for c in cases.columns if c != "text"]
+    own = classify_fast(cases, "v4").select(*others, "rule_hit", word_set(F.col("text")).alias("_own"))
+    return own.select(*others, "rule_hit", F.size("_own").alias("_n"),
+                      F.array_intersect("_own", one_literal(vocabulary)).alias("_shared"))
+
+
+def nearness(words: Column, sensitive: Column) -> Column:
+    """(jac, s) of one example; at equal overlap SENSITIVE is the greater (fail-safe)."""
+    both = F.size(F.array_intersect(F.col("_shared"), words))
+    share = both.cast("double") / (F.col("_n") + F.size(words) - both).cast("double")
+    return F.struct(F.when(both > 0, share).otherwise(F.lit(0.0)).alias("jac"), sensitive.alias("s"))
+
+
+def answer_of(best: Column) -> Column:
+    safe = F.col("rule_hit") | (best["jac"] <= 0) | best["s"]
+    return F.when(safe, F.lit(SENSITIVE)).otherwise(F.lit(PUBLIC))
+
+
 def standin_predict(cases: DataFrame, lists: dict[int, list[tuple[str, str]]]) -> DataFrame:
     """Predictions (case_id, cand_id, label, predicted) of the stand-in for
     every case and example list (``lists`` by candidate id: <= 9 of <= 12)."""
     examples = sorted({e for ex in lists.values() for e in ex})
     number = {e: i for i, e in enumerate(examples)}
-    known = F.array(*[F.struct(word_set(F.substring(F.lit(t), 1, EXAMPLE_CUT)).alias("words"),
-                               F.lit(label == SENSITIVE).alias("s")) for t, label in examples])
+    words = example_words(cases.sparkSession, [t for t, _ in examples])
+    known = F.array(*[F.struct(one_literal(words[t]).alias("words"), F.lit(label == SENSITIVE).alias("s")) for t, label in examples])
     members = F.array(*[F.struct(F.lit(k).alias("cand_id"), F.array(*[F.lit(number[e]) for e in ex]).alias("of"))
                         for k, ex in sorted(lists.items())])
-    own = classify_fast(cases, "v4").select("case_id", "label", "rule_hit", word_set(F.col("text")).alias("_own"))
-    # of a long text only the words that some example has are looked at again
-    met = own.select("case_id", "label", "rule_hit", F.size("_own").alias("_n"),
-                     F.array_intersect("_own", F.flatten(known["words"])).alias("_shared"))
-
-    def nearness(example: Column) -> Column:
-        both = F.size(F.array_intersect(F.col("_shared"), example["words"]))
-        share = both.cast("double") / (F.col("_n") + F.size(example["words"]) - both).cast("double")
-        # at equal overlap SENSITIVE wins (fail-safe)
-        return F.struct(F.when(both > 0, share).otherwise(F.lit(0.0)).alias("jac"), example["s"].alias("s"))
-
-    near = met.select("case_id", "label", "rule_hit", F.transform(known, nearness).alias("_near"))
+    met = case_words(cases.select("case_id", "text", "label"), sorted({w for ws in words.values() for w in ws}))
+    near = met.select("case_id", "label", "rule_hit", F.transform(known, lambda e: nearness(e["words"], e["s"])).alias("_near"))
     best = near.select("case_id", "label", "rule_hit", F.inline(F.transform(members, lambda m: F.struct(
         m["cand_id"].alias("cand_id"),
         F.array_max(F.transform(m["of"], lambda i: F.get(F.col("_near"), i))).alias("_best")))))
-    safe = F.col("rule_hit") | (F.col("_best.jac") <= 0) | F.col("_best.s")
-    return best.select("case_id", "cand_id", "label", F.when(safe, F.lit(SENSITIVE)).otherwise(F.lit(PUBLIC)).alias("predicted"))
+    return best.select("case_id", "cand_id", "label", answer_of(F.col("_best")).alias("predicted"))
+
+
+def placed(words: Column, sensitive: Column, pos: Column) -> Column:
+    near = nearness(words, sensitive)
+    return F.struct(near["jac"].alias("jac"), near["s"].alias("s"), pos.alias("pos"))
+
+
+def two_nearest(rows: Column) -> Column:
+    return F.slice(F.sort_array(rows, asc=False), 1, 2)
+
+
+def of_list(examples: list[tuple[str, str]], words: dict[str, list[str]]) -> Column:
+    """The two nearest of a whole list: array of (jac, s, pos), nearest first."""
+    known = F.array(*[F.struct(one_literal(words[t]).alias("words"), F.lit(label == SENSITIVE).alias("s"), F.lit(i).alias("pos"))
+                      for i, (t, label) in enumerate(examples)])
+    return two_nearest(F.transform(known, lambda e: placed(e["words"], e["s"], e["pos"])))
+
+
+def predict_moves(kept: DataFrame, moves: list[dict], words: dict[str, list[str]]) -> DataFrame:
+    """Predictions (case_id, cand_id, label, predicted) for lists that differ from the
+    incumbent's in one place. ``kept`` holds ``case_words`` and ``_near``, the two
+    nearest of the incumbent's list. The best of the list without one example is
+    the first of the two that is not this one, so only the new example is compared:
+    the work does not depend on the length of the list. A move without a
+    text is the incumbent."""
+    told = F.array(*[F.struct(
+        F.lit(m["slot"]).alias("cand_id"), F.lit(m["pos"]).alias("pos"),
+        one_literal(words[m["text"]] if m["text"] is not None else []).alias("words"),
+        F.lit(m["text"] is not None and m["label"] == SENSITIVE).alias("s")) for m in moves])
+
+    def best(m: Column) -> Column:
+        left = F.filter("_near", lambda x: x["pos"] != m["pos"])
+        return F.array_max(F.concat(left, F.array(placed(m["words"], m["s"], m["pos"]))))
+
+    out = kept.select("case_id", "label", "rule_hit", F.inline(F.transform(told, lambda m: F.struct(
+        m["cand_id"].alias("cand_id"), best(m).alias("_best")))))
+    return out.select("case_id", "cand_id", "label", answer_of(F.col("_best")).alias("predicted"))
+
+
+def accept_move(kept: DataFrame, move: dict, examples: list[tuple[str, str]], words: dict[str, list[str]]) -> DataFrame:
+    """``kept`` for ``examples``, the list after ``move``. A case that did not have the
+    example now gone among its two compares the new one alone; the others compare
+    the whole list."""
+    left = F.filter("_near", lambda x: x["pos"] != move["pos"])
+    new = placed(one_literal(words[move["text"]]), F.lit(move["label"] == SENSITIVE), F.lit(move["pos"]))
+    near = F.when(F.size(left) < F.size("_near"), of_list(examples, words)).otherwise(two_nearest(F.concat(left, F.array(new))))
+    return kept.withColumn("_near", near)
 
 
 def score(pred: DataFrame) -> DataFrame:
@@ -167,35 +238,41 @@ def search(spark: SparkSession, cases: DataFrame, seed_examples: list[tuple[str,
     Per round: candidates, quick score on a seeded dev sample (the incumbent is
     re-scored on the same sample -- deviation: the reference compares a sample
     score with a full-dev score), verify the best on full dev, accept only if
-    strictly better. Returns (examples, dev metrics, test metrics)."""
+    strictly better. Returns (examples, dev metrics, test metrics).
+
+    The replacements of all rounds are drawn first, so the words that matter are
+    known (at most ``rounds * 8 + MAX_EXAMPLES`` examples of ``EXAMPLE_CUT``
+    characters): texts are read once more, and what is landed of a case is its
+    words among these and the two nearest examples of the incumbent."""
     from veilspark.operators.cascade import land
     from veilspark.operators.splits import seeded_samples
-    # every round re-reads these rows: land them once (cuts the lineage of the
-    # join + exact rank, and survives executor loss without recomputation)
-    cases = land(cases.select("case_id", "text", "label", "split"), "fewshot-cases")
-    train = cases.where(F.col("split") == "train").select("case_id", "text", "label")
-    dev = cases.where(F.col("split") == "dev").select("case_id", "text", "label")
-    test = cases.where(F.col("split") == "test").select("case_id", "text", "label")
-
-    def one(ex, on):
-        return score(standin_predict(on, {0: ex})).first().asDict()
-
     numbers = list(range(1, rounds + 1))
-    drawn = draw_replacements(train, numbers, seed)
+    drawn = draw_replacements(cases.where(F.col("split") == "train").select("case_id", "text", "label"), numbers, seed)
+    words = example_words(spark, [t for t, _ in seed_examples] + [t for t in drawn.values() if t is not None])
+    narrow = case_words(cases.where(F.col("split").isin("dev", "test")).select("case_id", "text", "label", "split"),
+                        sorted({w for ws in words.values() for w in ws}))
+    narrow = land(narrow.withColumn("_near", of_list(seed_examples, words)), "fewshot-cases")
+    dev, test = (narrow.where(F.col("split") == s).drop("split") for s in ("dev", "test"))
     samples = land(seeded_samples(dev, sample_size, numbers, "case_id", seed), "fewshot-samples")
-    best_ex = list(seed_examples)
-    best = one(best_ex, dev)
-    for rnd in range(1, rounds + 1):
-        lists = lists_of(candidate_rows(best_ex, rnd, drawn, seed))
-        sample = samples.where(F.col("round") == rnd).drop("round")
-        rows = {r["cand_id"]: r for r in score(standin_predict(sample, lists | {-1: best_ex})).collect()}  # <= 9 rows
+    stays = {"slot": -1, "pos": -1, "text": None, "label": None}
+
+    def one(move, on):
+        return score(predict_moves(on, [move], words)).first().asDict()
+
+    best_ex, best = list(seed_examples), one(stays, dev)
+    for rnd in numbers:
+        moves = [m | {"text": drawn.get((rnd, m["move"], m["j"]))} for m in candidate_moves(best_ex, rnd, seed)]
+        moves = {m["slot"]: m for m in moves if m["text"] is not None}
+        sample = samples.where(F.col("round") == rnd)
+        rows = {r["cand_id"]: r for r in score(predict_moves(sample, [*moves.values(), stays], words)).collect()}  # <= 9 rows
         winner = better(rows)
         if winner is None:
             continue
-        full = one(lists[winner], dev)
+        full = one(moves[winner], dev)
         if full["score"] < best["score"]:
-            best, best_ex = full, lists[winner]
-    return best_ex, best, one(best_ex, test)
+            best, best_ex = full, lists_of(assemble(best_ex, [moves[winner]], {winner: moves[winner]["text"]}))[winner]
+            dev, samples = (land(accept_move(t, moves[winner], best_ex, words), "fewshot-near") for t in (dev, samples))
+    return best_ex, best, one(stays, test.withColumn("_near", of_list(best_ex, words)))
 
 
 def better(rows: dict[int, Row]) -> int | None:
