@@ -97,6 +97,17 @@ def test_source_read_elsewhere_or_nowhere(spark, tmp_path):
     assert CO.build_corpus(spark, str(tmp_path), [none, first]).count() == 2
 
 
+def test_alternative_source_has_its_own_rules(spark, tmp_path):
+    rows = [(1, "short one"), (2, "a text of some length"), (3, "x" * 700), (4, "y" * 40), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/new.parquet")
+    own = SourceSpec("other", "new", "SENSITIVE", 5, None, cut=30, quota=3)
+    first = SourceSpec("first", "old", "PUBLIC", 10, 50, other_tables=("older", own, "new"))
+    same = SourceSpec("same", "old", "PUBLIC", 10, 50, other_tables=("new",))
+    got = [tuple(r) for r in CO.union_sources(spark, str(tmp_path), [first, same]).select("source", "label", "local_id", "text").collect()]
+    assert sorted(got) == [("first", "PUBLIC", 1, "short one"), ("first", "PUBLIC", 2, "a text of some length"), ("first", "PUBLIC", 3, "x" * 30),
+                           ("same", "PUBLIC", 2, "a text of some length"), ("same", "PUBLIC", 4, "y" * 40)]
+
+
 def test_generic_collector(spark):
     rows = [(3, "x" * 30), (1, "x" * 30), (2, "short"), (4, "  two\n words" + "y" * 30), (5, None), (6, "z" * 501), (7, "w" * 40)]
     df = spark.createDataFrame(rows, "id long, body string")

@@ -21,7 +21,8 @@ from veilspark.functions import rules as R
 from veilspark.functions.text import clean, fingerprint, strip
 from veilspark.operators.joins import join_small, spread
 from veilspark.operators.splits import first_n_per_group
-from veilspark.sources.registry import SOURCES, SourceSpec, existing_table, spec_rows
+from veilspark.sources.registry import SOURCES, SourceSpec, existing_reading, spec_rows
+from veilspark.sources.tables import table
 
 # a row of a source: documents have turn 0
 LOCAL_KEY = ["local_id", "local_turn"]
@@ -78,26 +79,23 @@ def language_bucket(lang: Column, mode: str = "substring") -> tuple[Column, Colu
 
 
 def _scan_groups(specs: list[tuple[int, SourceSpec]]) -> dict:
-    """Specs that read the same table the same way share one scan."""
+    """Specs (readings that exist) that read the same table the same way share one scan."""
     groups: dict = {}
     for rank, spec in specs:
-        key = (spec.table, spec.other_tables, spec.first_human, spec.id_sql, spec.turn_sql, spec.text_sql, spec.human_role)
+        key = (spec.table, spec.first_human, spec.id_sql, spec.turn_sql, spec.text_sql, spec.human_role)
         groups.setdefault(key, []).append((rank, spec))
     return groups
 
 
-def _tagged_rows(spark: SparkSession, sf_dir: str, members: list[tuple[int, SourceSpec]]) -> DataFrame | None:
+def _tagged_rows(spark: SparkSession, sf_dir: str, members: list[tuple[int, SourceSpec]]) -> DataFrame:
     """One scan for all ``members``; each row is tagged with every source
     (source_rank) whose predicate it satisfies -> (source_rank, local_id, raw, lang)."""
     rank0, spec0 = members[0]
     if spec0.first_human:
         rows = spec_rows(spark, sf_dir, spec0.__class__(**{**spec0.__dict__, "where_sql": None, "lang_sql": None}))
         tags = F.array(*[F.lit(r) for r, _ in members])
-        return None if rows is None else rows.select(F.explode(tags).alias("source_rank"), *LOCAL_KEY, "raw", "lang")
-    _, base = existing_table(spark, sf_dir, spec0)
-    if base is None:
-        return None
-    base = spread(base)
+        return rows.select(F.explode(tags).alias("source_rank"), *LOCAL_KEY, "raw", "lang")
+    base = spread(table(spark, sf_dir, spec0.table))
     if spec0.human_role:
         base = base.where(F.col("role") == spec0.human_role)
     tag_items = [F.when(F.expr(sp.where_sql), F.lit(r)) if sp.where_sql else F.lit(r) for r, sp in members]
@@ -129,9 +127,11 @@ def _per_source(col_rank, specs: list[tuple[int, SourceSpec]], fn, default):
 def _collect(spark: SparkSession, sf_dir: str, specs: list[tuple[int, SourceSpec]]) -> DataFrame | None:
     """All sources at once: band -> keywords -> per-source first-wins dedup of ids
     -> quotas (ids chosen per source) -> their texts fetched and cleaned."""
-    parts = [p for m in _scan_groups(specs).values() if (p := _tagged_rows(spark, sf_dir, m)) is not None]
-    if not parts:
+    # each source by the reading whose table exists: its band, filters, quota and cut hold
+    specs = [(r, reading) for r, sp in specs if (reading := existing_reading(spark, sf_dir, sp)[0]) is not None]
+    if not specs:
         return None
+    parts = [_tagged_rows(spark, sf_dir, m) for m in _scan_groups(specs).values()]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
@@ -190,7 +190,8 @@ def _collect(spark: SparkSession, sf_dir: str, specs: list[tuple[int, SourceSpec
     # the chosen ids fetch their texts (bands and keywords hold, since the
     # fingerprint is theirs); rows that repeat an id and its text are one
     found = join_small(tagged.drop("lang"), ids, row_key, "inner").where(fingerprint(F.col("raw")) == F.col("fp"))
-    out = found.withColumn("text", clean(F.col("raw"))).drop("raw").dropDuplicates(whole_key)
+    shown = _per_source(rk, specs, lambda sp: None if sp.cut is None else F.substring(clean(F.col("raw")), 1, sp.cut), clean(F.col("raw")))
+    out = found.withColumn("text", shown).drop("raw").dropDuplicates(whole_key)
     label = _per_source(rk, specs, lambda sp: F.lit(sp.label), F.lit(None).cast("string"))
     name = _per_source(rk, specs, lambda sp: F.lit(sp.name), F.lit(None).cast("string"))
     return out.select(case_id(rk).alias("case_id"), *LOCAL_KEY, "text", label.alias("label"), name.alias("source"),

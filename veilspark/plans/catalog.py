@@ -1115,6 +1115,19 @@ def source_status(spark, sf_dir):
     return status_of(spark, sf_dir, STATUS_SOURCES)
 
 
+# the alternative of the stories: no upper length, cleaned texts cut instead
+OWN_RULES = _with(SOURCES[2], max_len=None, cut=500)
+WITH_OWN_RULES = [*SOURCES[:2], _with(SOURCES[2], table="stories", other_tables=("story_posts", OWN_RULES)), *SOURCES[3:]]
+
+
+@register("union_sources_own_rules",
+          f"SELECT case_id, text, label, source, source_rank, lang FROM ({O.union_sources_sql([*SOURCES[:2], OWN_RULES, *SOURCES[3:]])})")
+def union_sources_own_rules(spark, sf_dir):
+    """A4: the first tables of one source are missing; it is read by an
+    alternative with its own length band and cut."""
+    return CO.union_sources(spark, sf_dir, WITH_OWN_RULES).select("case_id", "text", "label", "source", "source_rank", "lang")
+
+
 @register("build_corpus_labelled", f"SELECT case_id, label, source, lang, fp FROM ({O.corpus_sql(labelled=O.CASES)})")
 def build_corpus_labelled(spark, sf_dir):
     """A5 + J8: the ten sources, then the labelled cases."""

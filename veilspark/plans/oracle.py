@@ -203,7 +203,8 @@ def collect_source_sql(spec, rank: int) -> str:
     base = (f"SELECT local_id, local_turn, raw, lang FROM ({spec_rows_sql(spec)}) WHERE raw IS NOT NULL AND "
             f"{band_sql('raw', spec.min_len, spec.max_len, spec.inclusive)}{kw} "
             f"QUALIFY row_number() OVER (PARTITION BY md5(raw) ORDER BY local_id, local_turn) = 1")
-    cleaned = f"SELECT local_id, local_turn, {clean_sql('raw')} AS text, lang FROM ({base})"
+    shown = clean_sql("raw") if spec.cut is None else f"substr({clean_sql('raw')}, 1, {spec.cut})"
+    cleaned = f"SELECT local_id, local_turn, {shown} AS text, lang FROM ({base})"
     head = (f"SELECT CAST('0x' || substr(md5(concat_ws(':', {rank}, local_id, local_turn)), 1, 15) AS BIGINT) AS case_id, local_id, local_turn, text, "
             f"{lit(spec.label)} AS label, {lit(spec.name)} AS source, {rank} AS source_rank")
     if spec.lang_quotas is None or spec.lang_sql is None:

@@ -46,7 +46,10 @@ class SourceSpec:
     first_human: bool = False                     # first human turn per conversation (C8)
     include: str | None = None                    # keyword pattern key (C5)
     exclude: str | None = None                    # keyword pattern key (C6)
-    other_tables: tuple[str, ...] = ()            # read instead, in this order, where ``table`` is missing (A4)
+    cut: int | None = None                        # code points kept of a cleaned text
+    # read instead, in this order, where ``table`` is missing (A4): tables read by the
+    # same rules, or sources with a band, filters, quota and cut of their own
+    other_tables: tuple[str | SourceSpec, ...] = ()
 
 
 def _srcs(lo: int, hi: int) -> str:
@@ -77,13 +80,20 @@ SOURCES: list[SourceSpec] = [
 ]
 
 
-def existing_table(spark: SparkSession, sf_dir: str, spec: SourceSpec) -> tuple[str | None, DataFrame | None]:
-    """Name and rows of the first of the spec's tables that exists (A4). Only a
-    missing *path* counts as absent; a failure while reading an existing table
-    is raised."""
-    for name in (spec.table, *spec.other_tables):
+def readings(spec: SourceSpec) -> list[SourceSpec]:
+    """The ways to read a source, in order: each a source by itself, under its name and label."""
+    own = replace(spec, other_tables=())
+    return [own, *[replace(o, name=spec.name, label=spec.label, other_tables=()) if isinstance(o, SourceSpec) else replace(own, table=o)
+                   for o in spec.other_tables]]
+
+
+def existing_reading(spark: SparkSession, sf_dir: str, spec: SourceSpec) -> tuple[SourceSpec | None, DataFrame | None]:
+    """The first of the spec's readings whose table exists, and that table (A4).
+    Only a missing *path* counts as absent; a failure while reading an existing
+    table is raised."""
+    for reading in readings(spec):
         try:
-            return name, table(spark, sf_dir, name)
+            return reading, table(spark, sf_dir, reading.table)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -95,14 +105,14 @@ def source_status(spark: SparkSession, sf_dir: str, specs: list[SourceSpec] | No
     ``ok``, ``fallback`` (another table than the first), ``empty`` or ``missing``."""
     out = None
     for spec in specs or SOURCES:
-        name, _ = existing_table(spark, sf_dir, spec)
-        found = F.lit("ok" if name == spec.table else "fallback")
-        if name is None:
+        reading, _ = existing_reading(spark, sf_dir, spec)
+        if reading is None:
             one = spark.range(1).select(F.lit(spec.name).alias("source"), F.lit(None).cast("string").alias("table_read"),
                                         F.lit("missing").alias("status"), F.lit(0).cast("long").alias("n_rows"))
         else:
-            one = spec_rows(spark, sf_dir, replace(spec, table=name)).agg(F.count(F.lit(1)).alias("n_rows")) \
-                .select(F.lit(spec.name).alias("source"), F.lit(name).alias("table_read"),
+            found = F.lit("ok" if reading.table == spec.table else "fallback")
+            one = spec_rows(spark, sf_dir, reading).agg(F.count(F.lit(1)).alias("n_rows")) \
+                .select(F.lit(spec.name).alias("source"), F.lit(reading.table).alias("table_read"),
                         F.when(F.col("n_rows") > 0, found).otherwise(F.lit("empty")).alias("status"), "n_rows")
         out = one if out is None else out.unionByName(one)
     return out
@@ -111,7 +121,7 @@ def source_status(spark: SparkSession, sf_dir: str, specs: list[SourceSpec] | No
 def spec_rows(spark: SparkSession, sf_dir: str, spec: SourceSpec) -> DataFrame | None:
     """(local_id, local_turn, raw, lang) rows of one source, or ``None`` when the table
     and its alternatives are missing (A4: an empty source)."""
-    _, base = existing_table(spark, sf_dir, spec)
+    spec, base = existing_reading(spark, sf_dir, spec)
     if base is None:
         return None
     if spec.where_sql:
