@@ -39,6 +39,29 @@ def test_expiring_dedup_and_its_state(spark, slices):
         assert sum(p["stateOperators"][0]["numRowsRemoved"] for p in progress) > 0
 
 
+def test_expiring_dedup_of_many_fingerprints(spark):
+    """State rows, and with them calls to Python, do not grow with the fingerprints."""
+    draw = random.Random(5)
+    rows = [(i, START + dt.timedelta(seconds=i * 30), f"fp{draw.randint(0, 4000)}" if i % 50 else None) for i in range(6000)]
+    df, progress = spark.createDataFrame(rows, ST.KEPT), []
+    stream = spark.readStream.schema(ST.KEPT).option("maxFilesPerTrigger", 1).parquet(ST.in_arrival_order(df, 2))
+    with ST.state_store(spark):
+        out = ST.run_available_now(ST.expiring_dedup(stream, 10 * 3600), "t", progress=progress)
+    assert sorted(r["event_id"] for r in spark.read.schema(ST.KEPT).parquet(out).collect()) == plain(rows, 10 * 3600)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) <= ST.BUCKETS < len({r[2] for r in rows[:3000]})
+
+
+def test_arrivals_are_dealt_out_in_one_scan(spark):
+    rows, df = events(spark)
+    calls = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda x: calls.add(1) or x, "string").asNondeterministic()
+    folder = ST.in_arrival_order(df.union(spark.createDataFrame([(-1, None, "none")], ST.KEPT)).repartition(3).withColumn("fp", counted("fp")), 5)
+    assert calls.value <= len(rows) + 1
+    files = spark.read.parquet(folder).groupBy(F.input_file_name()).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count("*").alias("n")).orderBy("lo").collect()
+    assert len(files) == 5 and sum(f["n"] for f in files) == len(rows)
+    assert all(a["hi"] < b["lo"] for a, b in zip(files, files[1:]))
+
+
 def test_window_counts_in_many_batches(spark):
     rows, df = events(spark)
     folder, progress = ST.in_arrival_order(df.withColumn("fp", F.substring("fp", 1, 3)), 6), []

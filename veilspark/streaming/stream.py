@@ -16,6 +16,7 @@ from typing import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veilspark.functions import prompts as P
@@ -130,42 +131,58 @@ def stream_dedup(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> Dat
 KEPT = "event_id long, ts timestamp, fp string"
 
 
-def expiring_dedup(events: DataFrame, delay_seconds: int) -> DataFrame:
+BUCKETS = 1024
+HELD = "fps array<string>, lasts array<long>"
+
+
+def expiring_dedup(events: DataFrame, delay_seconds: int, buckets: int = BUCKETS) -> DataFrame:
     """L3 with an exact rule: an event is dropped if one kept before it, with the
     same ``fp``, is at most ``delay_seconds`` older. State is one time for each
     fingerprint and goes when the watermark, the largest time seen less the
     delay, has passed the last kept event by the delay, so it is bounded by the
     events of two delays. Events that arrive in order of time are judged alike
-    however they are cut into micro-batches."""
-    delay = pd.Timedelta(seconds=delay_seconds)
+    however they are cut into micro-batches.
+
+    Fingerprints are judged ``buckets`` at a time, by hash: a call to Python costs
+    more than the rows of most fingerprints do. The number belongs to the stream's
+    checkpoint."""
+    delay = delay_seconds * 1_000_000
 
     def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        last = dict(zip(*state.get)) if state.exists else {}
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"])
+            keep = []
+            for at, fp, us in zip(rows.index, rows["fp"], rows["ts"].astype("datetime64[us]").astype("int64")):
+                if fp not in last or us - last[fp] > delay:
+                    last[fp] = us
+                    keep.append(at)
+            if keep:
+                yield rows.loc[keep, ["event_id", "ts", "fp"]]
+        passed = state.getCurrentWatermarkMs()
+        last = {fp: us for fp, us in last.items() if (us + delay) // 1000 + 1 > passed}
+        if last:
+            state.update((list(last), list(last.values())))
+            state.setTimeoutTimestamp((min(last.values()) + delay) // 1000 + 1)
+        elif state.exists:
             state.remove()
-            return
-        last, out = (pd.Timestamp(state.get[0], unit="us") if state.exists else None), []
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for event_id, ts in zip(rows["event_id"], rows["ts"]):
-            if last is None or ts - last > delay:
-                last = ts
-                out.append((event_id, ts, key[0]))
-        state.update((int(last.value // 1000),))
-        state.setTimeoutTimestamp(max(int((last + delay).value // 10**6) + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["event_id", "ts", "fp"])
 
-    marked = events.select("event_id", "ts", "fp").withWatermark("ts", f"{delay_seconds} seconds")
-    return marked.groupBy("fp").applyInPandasWithState(judge, KEPT, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    marked = events.select("event_id", "ts", "fp", F.pmod(F.xxhash64("fp"), F.lit(buckets)).alias("bucket")).withWatermark("ts", f"{delay_seconds} seconds")
+    return marked.groupBy("bucket").applyInPandasWithState(judge, KEPT, HELD, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def in_arrival_order(events: DataFrame, slices: int) -> str:
     """``events`` as files that a stream reads in order of time: ``slices`` of
-    equal length, one after the other. For inputs whose files are in no order."""
-    spark, out = events.sparkSession, scratch_path(events.sparkSession, "arrivals")
+    equal length, one after the other. For inputs whose files are in no order.
+    All tasks deal the events out to the slices at once; each slice is then
+    copied into its file."""
+    spark, dealt, out = events.sparkSession, scratch_path(events.sparkSession, "slices"), scratch_path(events.sparkSession, "arrivals")
     lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    later = [F.when(F.col("ts") >= F.lit(lo + (hi - lo) * k / slices), 1).otherwise(0) for k in range(1, slices)]
+    events.where("ts IS NOT NULL").withColumn("slice", sum(later, F.lit(0))).write.partitionBy("slice").parquet(dealt)
     for i in range(slices):
-        at = [lo + (hi - lo) * k / slices for k in (i, i + 1)]
-        part = events.where((F.col("ts") >= F.lit(at[0])) & ((F.col("ts") < F.lit(at[1])) if i < slices - 1 else F.lit(True)))
-        part.coalesce(1).write.mode("append").parquet(out)
+        part = spark.read.schema(T.StructType(events.schema.fields + [T.StructField("slice", T.IntegerType())])).parquet(dealt).where(F.col("slice") == i)
+        part.drop("slice").coalesce(1).write.mode("append").parquet(out)
     return out
 
 
