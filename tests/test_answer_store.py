@@ -1,6 +1,8 @@
+import gc
 import os
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from veilspark.functions import prompts as P
@@ -107,3 +109,19 @@ def test_commits(spark, tmp_path):
     assert len(commits.markers(spark, store)) == 2
     with pytest.raises(ValueError):
         commits.commit(rows(1), store, "a=b")
+
+
+def test_a_call_holds_its_own_rows_only(spark, tmp_path):
+    """Of a long Arrow batch, only the rows of one call are Python objects; landed answers come in short batches."""
+    def scorer(rows):
+        alive = sum(len(o) for o in gc.get_objects() if isinstance(o, pd.DataFrame) and "text" in o.columns)
+        return pd.DataFrame({"raw": [str(alive)] * len(rows), "error": [None] * len(rows), "latency_ms": [0.0] * len(rows)})
+    df = spark.createDataFrame([(2**60 + i if i % 9 else None, 1, f"t{i}") for i in range(500)], "case_id long, config_id int, text string").coalesce(1)
+    got = K.score_batches(df, scorer, 20).collect()
+    assert max(int(r["raw"]) for r in got) <= 40
+    assert sorted(r["case_id"] or 0 for r in got) == sorted(r["case_id"] or 0 for r in df.collect())
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with K.batches_of(spark, 7):
+        sizes = df.mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in it), "n long").collect()
+    assert max(r["n"] for r in sizes) == 7 and sum(r["n"] for r in sizes) == 500 and spark.conf.get(key) == before

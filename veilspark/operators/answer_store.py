@@ -61,6 +61,7 @@ def ask(requests: DataFrame, store: str, scorer: K.Scorer = K.standin_scorer, ru
     spark, run = requests.sparkSession, run or f"run-{uuid.uuid4().hex[:12]}"
     if run not in commits.markers(spark, store):
         scored = K.score_rows(open_requests(requests, store, retry_errors), scorer, f"{KEY} string", rows_per_call)
-        commits.commit(scored.select(KEY, "raw", "error", "latency_ms", F.lit(run).alias("run")), store, run)
+        with K.batches_of(spark, rows_per_call):
+            commits.commit(scored.select(KEY, "raw", "error", "latency_ms", F.lit(run).alias("run")), store, run)
     keyed = requests.select("case_id", "config_id", request_key().alias(KEY))
     return keyed.join(answers(spark, store), KEY, "left").select("case_id", "config_id", "raw", "error", "latency_ms", "run")

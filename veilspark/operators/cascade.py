@@ -9,7 +9,7 @@ Rules run once per case, before the config expansion (they do not depend on
 the config). The scorer sees undecided rows only. Answers come from one of:
   * a landed ``responses`` table (case_id, config_id, raw, error, latency_ms),
     joined with one LEFT JOIN on the narrow (text-free) rows;
-  * an injected batch callable run under ``mapInPandas`` (the one Python
+  * an injected batch callable run under ``mapInArrow`` (the one Python
     worker step of the engine); its answers are landed in the shared
     checkpoint folder before use, so re-evaluation never re-scores;
   * by default the deterministic stand-in (pure Column expressions).
@@ -18,12 +18,15 @@ the config). The scorer sees undecided rows only. Answers come from one of:
 from __future__ import annotations
 
 import time
+from contextlib import contextmanager
 from typing import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from veilspark.functions import answers as A
 from veilspark.functions import prompts as P
@@ -63,14 +66,16 @@ ROWS_PER_CALL = 256
 
 def score_rows(df: DataFrame, scorer: Scorer, keys: str, rows_per_call: int = ROWS_PER_CALL) -> DataFrame:
     """``keys`` (columns of ``df``, as a schema) with raw, error and latency_ms, by an
-    injected callable under ``mapInPandas``.
+    injected callable under ``mapInArrow``.
 
-    The callable gets at most ``rows_per_call`` rows at a time. If it raises, the
+    The callable gets at most ``rows_per_call`` rows at a time, and only these are
+    made into Python objects: of longer Arrow batches a task holds no more than the
+    batch itself (at most ``spark.sql.execution.arrow.maxBytesPerBatch``). If it raises, the
     rows it has no answer for (all of the call's, unless it raises
     ``PartialAnswers``) are tried one by one, so that only those that raise get an
     ``error`` (the cascade then fails safe), with the time their call took; the
     task never fails, and no row is asked more than twice."""
-    names = [f.name for f in T.StructType.fromDDL(keys).fields]
+    kinds = {f.name: to_arrow_type(f.dataType) for f in T.StructType.fromDDL(keys).fields}
     answer = ["raw", "error", "latency_ms"]
 
     def one(row: pd.DataFrame) -> pd.DataFrame:
@@ -88,14 +93,27 @@ def score_rows(df: DataFrame, scorer: Scorer, keys: str, rows_per_call: int = RO
             parts = [done.loc[[i]] if i in done.index else one(rows.iloc[[i]]) for i in range(len(rows))]
             return pd.concat(parts, ignore_index=True)
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for at in range(0, len(pdf), rows_per_call):
-                rows = pdf.iloc[at:at + rows_per_call].reset_index(drop=True)
-                res = call(rows)
-                yield pd.DataFrame({k: rows[k].values for k in names} | {
-                    "raw": res["raw"].values, "error": res["error"].values, "latency_ms": res["latency_ms"].astype("float64").values})
-    return df.mapInPandas(run, f"{keys}, raw string, error string, latency_ms double")
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for at in range(0, batch.num_rows, rows_per_call):
+                part = batch.slice(at, rows_per_call)
+                res = call(part.to_pandas())
+                yield pa.RecordBatch.from_pydict({k: part.column(k).cast(kind) for k, kind in kinds.items()} | {
+                    "raw": pa.array(res["raw"].astype(object), pa.string(), from_pandas=True), "error": pa.array(res["error"].astype(object), pa.string(), from_pandas=True),
+                    "latency_ms": pa.array(res["latency_ms"].astype("float64"), pa.float64(), from_pandas=True)})
+    return df.mapInArrow(run, f"{keys}, raw string, error string, latency_ms double")
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs started inside send Python at most ``rows`` rows a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def score_batches(df: DataFrame, scorer: Scorer = standin_scorer, rows_per_call: int = ROWS_PER_CALL) -> DataFrame:
@@ -133,7 +151,8 @@ def cascade(cases: DataFrame, configs: list[dict], rule_set: str = "v4",
             from veilspark.operators.answer_store import ask
             responses = ask(requests, store, scorer)
         else:
-            responses = land(score_batches(requests, scorer), "responses")
+            with batches_of(requests.sparkSession, ROWS_PER_CALL):
+                responses = land(score_batches(requests, scorer), "responses")
     if responses is not None:
         rows = P.with_configs(classified.select(*passthrough, "matches", "verdict"), configs, ("config_id",))
         rows = rows.join(responses.select("case_id", "config_id", "raw", "error", "latency_ms"),
