@@ -96,7 +96,7 @@ def standin_answer(config_id: Column, text: Column) -> tuple[Column, Column, Col
 
 def standin_answer_py(config_id: int, text: str | None) -> tuple[str | None, str | None, float]:
     """The same stand-in in plain Python, used as the default batch scorer
-    callable under ``mapInPandas``."""
+    callable under ``mapInArrow``."""
     import hashlib
     h = hashlib.md5(f"{config_id}|{text or ''}".encode()).hexdigest()
     k = int(h[0:2], 16) % 20

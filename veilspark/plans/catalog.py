@@ -514,7 +514,7 @@ def parse_response(spark, sf_dir):
           f"SELECT case_id, config_id, {O.standin()[0]} AS raw, {O.standin()[1]} AS error, "
           f"{O.standin()[2]} AS latency_ms FROM ({_UNDECIDED_SQL})")
 def score_undecided(spark, sf_dir):
-    """D6 through the Python batch hook (mapInPandas) with the stand-in callable."""
+    """D6 through the Python batch hook (mapInArrow) with the stand-in callable."""
     r = K.undecided_requests(C.classify(labelled_cases(spark, sf_dir), "v4"), V4_CONFIGS)
     return K.score_batches(r.select("case_id", "config_id", "text", "model", "endpoint", "prompt"))
 
